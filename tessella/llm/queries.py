@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, sharding
+from tessella.llm import mixing, quality, sharding
 from tessella.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.cascade(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.interleave(table(spark, sf_dir, "documents"), 16)
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -22,6 +26,7 @@ def op10_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_curriculum": op1_mix_curriculum,
+    "op3_quality_cascade": op3_quality_cascade,
     "op10_shard_interleave": op10_shard_interleave,
 }
 
