@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, quality, sharding
-from tessella.llm.common import table
+from tessella.llm import langid, mixing, quality, sharding, toxicity
+from tessella.llm.common import held_out, table
 
 
 def op1_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,19 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op7_language_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.interleave(table(spark, sf_dir, "documents"), 16)
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -27,6 +40,8 @@ def op10_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_curriculum": op1_mix_curriculum,
     "op3_quality_cascade": op3_quality_cascade,
+    "op4_toxicity_trees": op4_toxicity_trees,
+    "op7_language_softmax": op7_language_softmax,
     "op10_shard_interleave": op10_shard_interleave,
 }
 
