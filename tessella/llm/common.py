@@ -44,7 +44,7 @@ def scan_bytes(df: DataFrame) -> int:
 
     It only picks how finely data are dealt out, never what is computed.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 60 else 1 << 30
 
 

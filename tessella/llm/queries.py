@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, mixing, quality, sharding, toxicity
+from tessella.llm import bpe, langid, mixing, quality, sharding, token_files, toxicity
 from tessella.llm.common import held_out, table
 
 
@@ -15,6 +15,10 @@ def op1_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), bpe.vocabulary_file(None, "byte_bpe_50k.json"))
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -32,6 +36,10 @@ def op7_language_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), bpe.vocabulary_file(None, "word_bpe_49k.json"), end_id=2)
+
+
 def op10_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.interleave(table(spark, sf_dir, "documents"), 16)
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -39,9 +47,11 @@ def op10_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_curriculum": op1_mix_curriculum,
+    "op2_bpe_word_table": op2_bpe_word_table,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_toxicity_trees": op4_toxicity_trees,
     "op7_language_softmax": op7_language_softmax,
+    "op9_token_wavelet": op9_token_wavelet,
     "op10_shard_interleave": op10_shard_interleave,
 }
 

@@ -41,3 +41,66 @@ def segment_max(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.maximum.reduceat(values, bounds[:-1][full])
     return out
+
+
+_P = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """P^i and P^-i modulo 2^64 for i below n."""
+    while len(_POWERS["p"]) < n:
+        for key, base in (("p", int(_P)), ("q", pow(int(_P), -1, 1 << 64))):
+            have = _POWERS[key]
+            _POWERS[key] = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
+    return _POWERS["p"], _POWERS["q"]
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of raw[starts[i]:ends[i]]; slices are in order and don't overlap."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + group, "right")))
+        a, b = int(starts[at]), int(ends[end - 1])
+        p, q = _powers(b - a + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * p[: b - a])])
+        s, e = starts[at:end] - a, ends[at:end] - a
+        out[at:end] = mix64((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64))
+        at = end
+    return out
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of large strings without nulls."""
+    raw, offsets = bytes_of(strings)
+    return slice_hashes(raw, offsets[:-1], offsets[1:])
+
+
+def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts and the offsets of each, as Arrow holds them; null is empty."""
+    strings = strings.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8) if len(strings) else np.zeros(1, np.int64)
+    data = strings.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def strings_from(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
+
+
+def gather_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each range in turn."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(total)
