@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, quality, sharding, token_files, toxicity
+from tessella.llm import bpe, langid, mixing, quality, sharding, token_files, toxicity, vectors
 from tessella.llm.common import held_out, table
 
 
@@ -36,6 +36,10 @@ def op7_language_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_vector_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op9_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), bpe.vocabulary_file(None, "word_bpe_49k.json"), end_id=2)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_cascade": op3_quality_cascade,
     "op4_toxicity_trees": op4_toxicity_trees,
     "op7_language_softmax": op7_language_softmax,
+    "op8_vector_multi_index": op8_vector_multi_index,
     "op9_token_wavelet": op9_token_wavelet,
     "op10_shard_interleave": op10_shard_interleave,
 }
