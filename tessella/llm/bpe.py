@@ -217,7 +217,7 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
         if with_ids:
             fields += [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())]
         found: list[list] = [[] for _ in fields]
-        order = np.argsort(replies["bucket"].to_numpy())
+        order = np.unique(replies["bucket"].to_numpy(), return_index=True)[1]  # blocks of equal content get equal replies
         answers = [_unpacked(replies["payload"][int(i)].as_py()) for i in order]
         n_ids = np.concatenate([a[0] for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
         ids = np.concatenate([a[1] for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)

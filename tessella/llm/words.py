@@ -104,3 +104,36 @@ def gather_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of each text's distinct shingles, ascending; offsets of the texts).
+
+    Shingles are k words in a row, A-Z lower-cased; a text of fewer words has its
+    whole sequence as one, and one without words has none.
+    """
+    words, codes, bounds = split_words(texts)
+    raw, offsets = bytes_of(words)
+    low = raw + np.where((raw >= 65) & (raw <= 90), 32, 0).astype(np.uint8)
+    ids = slice_hashes(low, offsets[:-1], offsets[1:])[codes]
+    n = np.diff(bounds)
+    rolled = np.zeros(max(len(ids) - k + 1, 0), np.uint64)
+    for j in range(k):
+        rolled = rolled * _P + ids[j : len(rolled) + j]
+    rolled = mix64(rolled)
+    found = np.zeros(int(np.where(n >= k, n - k + 1, n > 0).sum()), np.uint64)
+    ends = np.cumsum(np.where(n >= k, n - k + 1, n > 0))
+    starts = ends - np.where(n >= k, n - k + 1, n > 0)
+    full = n >= k
+    found[gather_ranges(starts[full], n[full] - k + 1)] = rolled[gather_ranges(bounds[:-1][full], n[full] - k + 1)]
+    for i in np.flatnonzero((n > 0) & ~full):
+        h = np.uint64(n[i])
+        for x in ids[bounds[i] : bounds[i + 1]].tolist():
+            h = np.uint64((int(h) * int(_P) + x) & 0xFFFFFFFFFFFFFFFF)
+        found[starts[i]] = mix64(np.array([h], np.uint64))[0]
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        found[a:b].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[starts[ends > starts]] = True
+    return found[new], np.concatenate([[0], np.cumsum(segment_sum(new.astype(np.int32), np.append(starts, len(found)) if len(starts) else np.zeros(1, int)))]).astype(np.int64)
