@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, ngram_join, quality, sharding, token_files, toxicity, vectors
+from tessella.llm import bpe, langid, mixing, ngram_join, quality, sharding, suffix_dedup, token_files, toxicity, vectors
 from tessella.llm.common import held_out, table
 
 
@@ -29,6 +29,10 @@ def op4_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"), 100)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_word_table": op2_bpe_word_table,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_toxicity_trees": op4_toxicity_trees,
+    "op5_suffix_array": op5_suffix_array,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_language_softmax": op7_language_softmax,
     "op8_vector_multi_index": op8_vector_multi_index,
