@@ -348,7 +348,7 @@ def _designs(spark: SparkSession) -> DataFrame:
     return recommend.compose(spark.sql(X.REQUESTS), spark.sql(X.PRODUCTS), spark.sql(X.STYLES), spark.sql(X.PALETTES))
 
 
-@query("design_pick", """SELECT * FROM (VALUES (1, 'shop', true, 'bold', true, 'sky', true, 'popups|quiet'), (2, 'journal', true, 'plain', false, 'ink', true, 'ads|popups|noise'), (3, 'landing', false, 'plain', true, 'ink', false, 'clutter|slow|noise'), (4, 'shop', true, 'soft glass', true, 'sky', true, 'popups|print')) AS t(id, product, product_matched, style, style_matched, palette, palette_matched, avoided)""")
+@query("design_pick", """SELECT * FROM (VALUES (1, 'shop', true, 'bold', true, 'sun', true, 'popups|quiet'), (2, 'journal', true, 'plain', false, 'ink', true, 'ads|popups|noise'), (3, 'landing', false, 'plain', true, 'ink', false, 'clutter|slow|noise'), (4, 'shop', true, 'soft glass', true, 'sun', true, 'popups|print')) AS t(id, product, product_matched, style, style_matched, palette, palette_matched, avoided)""")
 def design_pick(spark, sf_dir):
     return _designs(spark).select("id", F.col("product.product_type").alias("product"), "product_matched", F.col("style_name").alias("style"), "style_matched", F.col("palette.name").alias("palette"), "palette_matched", F.array_join("anti_patterns", "|").alias("avoided"))
 
