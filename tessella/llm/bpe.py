@@ -13,13 +13,18 @@ none is set and the word is longer.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
+from os.path import commonprefix
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
@@ -62,6 +67,9 @@ class PieceEncoder:
         False: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ſ]++|[0-9]|[!-/:-@\[-`{-~]++"),
     }
 
+    #: Words that need no pattern: letters whose cases are single letters, and at most one sign.
+    SIMPLE = {True: "^ ?[A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+[.,;:!?]?$", False: "^[A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+[.,;:!?]?$"}
+
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
@@ -75,25 +83,83 @@ class PieceEncoder:
         norms = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.lowered = kinds == ["Split", "ByteLevel"] and norms == ["NFC", "Replace", "Lowercase"]
         self.cut = self.CUTS[bool(self.spaced)] if self.spaced or self.lowered else None
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        specials = [t["content"] for t in spec["added_tokens"]]
+        self.marks = (commonprefix(specials),) if commonprefix(specials) else tuple(specials)
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c or b >= 128}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.known: dict[str, list[int]] = {}
+
+    #: Pieces whose ids are kept for later words; beyond it they are computed anew.
+    STORE = 300_000
+
+    def piece(self, piece: str) -> list[int]:
+        ids = self.known.get(piece)
+        if ids is None:
+            plain = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(plain)]
+            if len(self.known) < self.STORE:
+                self.known[piece] = ids
+        return ids
 
     def __call__(self, word: str) -> list[int]:
-        if self.cut is None or not self.USUAL.match(word) or any(s in word for s in self.specials):
+        if self.cut is None or not self.USUAL.match(word) or any(m in word for m in self.marks):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         if self.lowered:
             word = word.lower()
-        ids: list[int] = []
-        for piece in self.cut.findall(word):
-            ids += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return ids
-
-    def many(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each word, all ids)."""
-        found = [self(w) for w in words]
-        lengths = np.fromiter(map(len, found), np.int32, len(found))
-        return lengths, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+        return [i for piece in self.cut.findall(word) for i in self.piece(piece)]
+
+    def many(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids in order).
+
+        Letters with at most one sign behind them are told apart over Arrow arrays, and
+        each distinct run of letters is encoded once, whatever its case where that is
+        dropped and whatever sign follows.
+        """
+        words = words.cast(pa.large_string())
+        simple = np.zeros(len(words), bool)
+        if self.cut is not None and len(words):
+            simple = pc.match_substring_regex(words, self.SIMPLE[bool(self.spaced)]).to_numpy(zero_copy_only=False)
+        plain = words.filter(pa.array(simple))
+        plain = pc.utf8_lower(plain) if self.lowered else plain
+        signed = pc.match_substring_regex(plain, "[.,;:!?]$").to_numpy(zero_copy_only=False)
+        cores = pc.replace_substring_regex(plain, "[.,;:!?]$", "").dictionary_encode()
+        signs = pc.utf8_slice_codeunits(plain.filter(pa.array(signed)), -1).to_pylist()
+        with without_collection():
+            core_ids = [self.piece(c) for c in cores.dictionary.to_pylist()]
+            rest_ids = [self(w) for w in words.filter(pa.array(~simple)).to_pylist()]
+            core_n, core_flat = _flat(core_ids)
+            rest_n, rest_flat = _flat(rest_ids)
+        codes = cores.indices.to_numpy(zero_copy_only=False)
+        lengths = np.zeros(len(words), np.int64)
+        lengths[simple] = core_n[codes] + signed * 1  # a sign is one id in any vocabulary that has all bytes
+        lengths[~simple] = rest_n
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        ids = np.empty(int(lengths.sum()), np.uint32)
+        ids[gather_ranges(starts[simple], core_n[codes])] = core_flat[gather_ranges((np.cumsum(core_n) - core_n)[codes], core_n[codes])]
+        of_sign = {c: self.piece(c) for c in ".,;:!?"} if signs else {}
+        if any(len(i) != 1 for i in of_sign.values()):
+            raise ValueError("the vocabulary lacks an id for a sign")
+        ids[ends[simple][signed] - 1] = [of_sign[c][0] for c in signs]
+        ids[gather_ranges(starts[~simple], rest_n)] = rest_flat
+        return lengths, ids
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return lengths, np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
+
+
+@contextmanager
+def without_collection() -> Iterator[None]:
+    """Very many small lists are made, none in a cycle; scanning them again and again would cost most of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def pieces(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +267,7 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
         lists = [_unpacked(p) for p in words["payload"].to_pylist()]
         lengths = np.concatenate([x[0] for x in lists]).astype(np.int64)
         distinct = strings_from(np.concatenate([x[1] for x in lists]), np.concatenate([[0], np.cumsum(lengths)])).dictionary_encode()
-        n_ids, ids = encoder.many(distinct.dictionary.to_pylist())
+        n_ids, ids = encoder.many(distinct.dictionary)
         starts = np.cumsum(n_ids) - n_ids
         codes, at, replies = distinct.indices.to_numpy(zero_copy_only=False), 0, []
         for part in lists:

@@ -31,6 +31,8 @@ from tessella.llm.words import gather_ranges, segment_sum, split_words
 MAGIC = b"WVM1"
 #: Bits between two stored counts of ones, and tokens of a shard, about.
 STEP, SHARD_TOKENS = 512, 4_000_000
+#: Bytes of text that are encoded at once, about.
+BATCH_BYTES = 16_000_000
 
 
 NAMES = ["shard", "first_doc", "last_doc", "n_docs", "n_tokens", "payload"]
@@ -145,27 +147,16 @@ class WaveletMatrix:
 
 
 class BatchEncoder:
-    """Ids of whole texts for vocabularies that drop white space; a bounded store of words
-    met before spares most of the work."""
-
-    STORE = 200_000
+    """Ids of whole texts for vocabularies that drop white space; each distinct word of a batch
+    is encoded once, and pieces met before not at all."""
 
     def __init__(self, vocabulary: str):
-        self.encoder, self.known = PieceEncoder(vocabulary), {}
+        self.encoder = PieceEncoder(vocabulary)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids)."""
         words, codes, bounds = split_words(texts)
-        known, new, found = self.known, self.encoder, []
-        for w in words.to_pylist():
-            ids = known.get(w)
-            if ids is None:
-                ids = new(w)
-                if len(known) < self.STORE:
-                    known[w] = ids
-            found.append(ids)
-        n_ids = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(n_ids.sum()))
+        n_ids, flat = self.encoder.many(words)
         per_text = segment_sum(n_ids[codes], bounds).astype(np.int64)
         return per_text, flat[gather_ranges((np.cumsum(n_ids) - n_ids)[codes], n_ids[codes])]
 
@@ -193,7 +184,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
 
         for batch in batches:
-            step = max(1, len(batch) * 2_000_000 // max(batch.nbytes, 1))
+            step = max(1, len(batch) * BATCH_BYTES // max(batch.nbytes, 1))
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
                 lengths, ids = encode(part.column(1))
