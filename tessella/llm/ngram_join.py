@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessella.llm.bpe import _packed, _unpacked
 from tessella.llm.common import parts, written
 from tessella.llm.graph import components, forest
-from tessella.llm.words import gather_ranges, shingle_sets
+from tessella.llm.words import gather_ranges, shingle_sets, slices
 
 #: Sets that live, and that visit, in one task; entries in a block of an index list.
 HOMES, VISITORS, LIST_BLOCK = 1024, 4096, 64
@@ -106,7 +106,7 @@ def sizes_and_candidates(docs: DataFrame, k: int, percent: int, n_buckets: int)
     """(doc_id, n, candidate): set sizes, and whether enough of the set is shared with others."""
 
     def shingle(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0)
             tokens, bounds = shingle_sets(batch.column(1), k)
             n = np.diff(bounds)
@@ -141,7 +141,7 @@ def ordered_sets(sets: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     prefix holds its tokens, in that order, that some other set has too."""
 
     def deal(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
             n = np.array([len(x) for x in lists], np.int64)
             tokens = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
@@ -294,7 +294,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     chosen = sizes.where("candidate").select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             tokens, bounds = shingle_sets(batch.column(1), k)
             blobs = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(b).hexdigest() for b in blobs], pa.string()), pa.array(blobs, pa.binary())], ["doc_id", "digest", "tokens"])

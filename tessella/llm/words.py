@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -137,3 +139,15 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = found[1:] != found[:-1]
     new[starts[ends > starts]] = True
     return found[new], np.concatenate([[0], np.cumsum(segment_sum(new.astype(np.int32), np.append(starts, len(found)) if len(starts) else np.zeros(1, int)))]).astype(np.int64)
+
+
+#: Bytes of a batch that are worked on at once, about: what arrays a task holds follows this, not the batch.
+SLICE_BYTES = 8_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Each batch in stretches of about `size` bytes, the same ones whenever it is read."""
+    for batch in batches:
+        step = max(1, len(batch) * size // max(batch.nbytes, 1))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
