@@ -24,7 +24,7 @@ from tessella.llm.bpe import _packed, _unpacked
 from tessella.llm.common import parts, written
 from tessella.llm.ngram_join import _dealt, _deltas, _undeltas
 from tessella.llm.suffix_array import CoverSorter
-from tessella.llm.words import bytes_of, gather_ranges, mix64, slice_hashes
+from tessella.llm.words import SLICE_BYTES, bytes_of, gather_ranges, mix64, slice_hashes, slices
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once.
@@ -83,7 +83,7 @@ def recurring(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
         return hashlib.sha256(batch.column(0).to_numpy(zero_copy_only=False).tobytes() + batch.column(1).to_numpy(zero_copy_only=False).tobytes() + offsets.tobytes()).hexdigest()[:24]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, offsets = bytes_of(batch.column(2))
             runs = [anchors(raw[a:b], length) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             if not runs:
@@ -98,7 +98,7 @@ def recurring(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(b)], pa.int32()), pa.array([blob], pa.binary())], BLOB)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             blob = _packed(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array([named(batch)]), pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], BLOB)
 
@@ -165,7 +165,7 @@ def marked(texts: DataFrame, length: int, n_buckets: int, n_groups: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([int(g)], pa.int32()), pa.array([_packed(doc[mine], key[mine], start[mine], windows[mine])], pa.binary())], ["bucket", "group", "payload"])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4 * SLICE_BYTES):
             raw, offsets = bytes_of(batch.column(2))
             runs = [_unpacked(b) for b in batch.column(3).to_pylist()]
             if not runs:
