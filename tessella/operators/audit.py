@@ -244,7 +244,7 @@ def dominant(pages: DataFrame, html: str = "html", k: int = 5) -> DataFrame:
 
 def feature_matrix(features: DataFrame, products: list[str]) -> DataFrame:
     """(feature, one boolean for each product)."""
-    rows = features.groupBy("feature").pivot("product", products).agg(F.count("*"))
+    rows = features.groupBy("feature").pivot("product", products).agg(F.count(F.lit(1)))
     return rows.select("feature", *[F.coalesce(F.col(f"`{p}`") > 0, F.lit(False)).alias(p) for p in products])
 
 

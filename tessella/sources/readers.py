@@ -14,16 +14,23 @@ CORRUPT = "_corrupt_record"
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """utf-8 if every file's bytes are valid UTF-8, else cp1252; decided on the executors."""
+    """utf-8 if every file's bytes are valid UTF-8, else iso-8859-1, to be mended by `cp1252`; decided on the executors."""
     bad = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1)
-    return "cp1252" if bad.count() else "utf-8"
+    return "iso-8859-1" if bad.count() else "utf-8"
+
+
+def _cp1252() -> tuple[str, str]:
+    """Control characters of iso-8859-1, and what the same bytes are in cp1252, where it has them."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, c in pairs if c), "".join(c for _, c in pairs)
 
 
 def header_of(spark: SparkSession, path: str, encoding: str, sep: str = ",") -> list[str]:
     """Names in the first record, a byte-order mark removed."""
     first = spark.read.option("encoding", encoding).option("sep", sep).option("multiLine", True).option("header", False).csv(path).limit(1).collect()
     names = [str(v) if v is not None else "" for v in first[0]] if first else []
-    return [n.removeprefix("﻿") for n in names]
+    names = [n.removeprefix("\ufeff") for n in names]
+    return names if encoding == "utf-8" else [n.translate(str.maketrans(*_cp1252())) for n in names]
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, list[str], list[str]]:
@@ -35,12 +42,15 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame,
     raw = spark.read.schema(T.StructType(fields)).option("encoding", encoding).option("sep", sep).option("multiLine", True).option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     last = {name: i for i, name in enumerate(header)}
     warnings = [f"duplicate column: {n}" for n in sorted({h for h in header if header.count(h) > 1})]
+    if encoding != "utf-8":
+        raw = raw.select(*[F.translate(c, *_cp1252()).alias(c) for c in raw.columns])
     return raw.select(*[F.col(f"c{i}").alias(n) for n, i in sorted(last.items(), key=lambda x: x[1])], CORRUPT), header, warnings
 
 
 def ragged(table: DataFrame) -> DataFrame:
     """(rows) that were longer or shorter than the header."""
-    return table.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    every = F.concat_ws("", *table.columns)  # Spark doesn't parse for the raw record alone
+    return table.where(F.col(CORRUPT).isNotNull() & (F.length(every) >= 0)).select(CORRUPT)
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame | None:
