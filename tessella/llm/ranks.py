@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a slice, about.
-SLICE_ROWS = 10_000
+#: Rows in a slice, about: few, so that a large group fills many slices, until the table of slices would grow long.
+SLICE_ROWS, MANY_SLICES, LARGE_SLICE_ROWS = 500, 4096, 50_000
 
 
 def seeded_hash(seed: int, *cols: str) -> Column:
@@ -25,7 +25,7 @@ def slice_of(h: str, n_slices: int) -> Column:
 
 
 def slices_for(n_rows: int) -> int:
-    return max(1, n_rows // SLICE_ROWS)
+    return max(1, min(n_rows // SLICE_ROWS, MANY_SLICES), n_rows // LARGE_SLICE_ROWS)
 
 
 def running(rows: DataFrame, group: list[str], slice_col: str, order: list[str], amount: Column, out: str) -> DataFrame:
