@@ -42,7 +42,7 @@ s AS (SELECT page_id, pos, passage, len(list_filter(regexp_split_to_array(passag
  FROM p WHERE length(passage) > 40)"""
 
 
-@query("geo_passages", f"WITH {_PASSAGES} SELECT page_id, pos, words, sentences, specific, standalone, specific AND standalone AND words <= 120 AS citable FROM s")
+@query("geo_passages", f"WITH {_PASSAGES} SELECT page_id, CAST(pos AS INTEGER) AS pos, words, sentences, specific, standalone, specific AND standalone AND words <= 120 AS citable FROM s")
 def geo_passages(spark, sf_dir):
     return passages.scored(load(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "pos", "words", "sentences", "specific", "standalone", "citable")
 
@@ -54,7 +54,7 @@ def geo_page_score(spark, sf_dir):
 
 
 @query("geo_weak_top10", f"""WITH {_PASSAGES}, w AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM s WHERE NOT (specific AND standalone AND words <= 120))
-SELECT page_id, rank, substr(passage, 1, 80) AS preview, words, sentences, array_to_string(list_filter([CASE WHEN NOT specific THEN 'not_specific' END, CASE WHEN NOT standalone THEN 'leans_on_context' END, CASE WHEN words > 120 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS issues FROM w WHERE rank <= 10""")
+SELECT page_id, CAST(rank AS INTEGER) AS rank, substr(passage, 1, 80) AS preview, words, sentences, array_to_string(list_filter([CASE WHEN NOT specific THEN 'not_specific' END, CASE WHEN NOT standalone THEN 'leans_on_context' END, CASE WHEN words > 120 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS issues FROM w WHERE rank <= 10""")
 def geo_weak_top10(spark, sf_dir):
     return passages.weak(load(spark, sf_dir, "pages"), "page_id", "html")
 
