@@ -142,7 +142,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of a batch that are worked on at once, about: what arrays a task holds follows this, not the batch.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
