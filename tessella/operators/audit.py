@@ -69,6 +69,21 @@ def keyword_clusters(results: DataFrame, least: int = 3, depth: int = 10) -> Dat
     return pairs.where(F.col("shared") >= least)
 
 
+def cluster_ids(pairs: DataFrame) -> DataFrame:
+    """(keyword, cluster) of the connected groups of pairs (a, b), named by their first keyword.
+
+    Each round takes the smallest label among neighbours; labels are checkpointed.
+    """
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
+    now = checkpointed(both.groupBy(F.col("a").alias("keyword")).agg(F.least(F.min("b"), F.first("a")).alias("cluster")))
+    while True:
+        near = both.join(now, F.col("b") == F.col("keyword")).groupBy("a").agg(F.min("cluster").alias("seen"))
+        new = checkpointed(now.join(near, F.col("keyword") == F.col("a")).select("keyword", F.least("cluster", "seen").alias("cluster")))
+        if new.exceptAll(now).isEmpty():
+            return new
+        now = new
+
+
 def intents(keywords: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
     """keywords with intent, by the first pattern of a lexicon that matches; informational otherwise."""
     lexicon = lexicon or {"transactional": r"(?i)\b(buy|price|order|cheap|coupon|deal)\b", "commercial": r"(?i)\b(best|top|review|vs|compare)\b", "navigational": r"(?i)\b(login|sign in|website|official)\b"}

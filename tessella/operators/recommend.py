@@ -140,7 +140,7 @@ def compose(requests: DataFrame, products: DataFrame | None = None, styles: Data
         "style_name": name,
         "pattern": F.coalesce("product.recommended_pattern", F.lit(PATTERN)),
         "effects": effects(name),
-        "key_sections": F.filter(F.transform(F.split(F.coalesce("product.key_sections", F.lit(SECTIONS)), "[;,]"), F.trim), lambda s: s != ""),
+        "key_sections": F.filter(F.transform(F.split(F.coalesce("product.key_sections", F.lit(SECTIONS)), "[;,]"), lambda s: F.trim(s)), lambda s: s != ""),
         "anti_patterns": listed("product.anti_patterns", "style.avoid_for"),
         "fallbacks": F.array_compact(F.array(*said)),
     })

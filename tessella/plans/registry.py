@@ -494,3 +494,6 @@ def dangling_references(spark, sf_dir):
 def cyclic_nodes(spark, sf_dir):
     edges = spark.sql("SELECT * FROM (VALUES ('a', 'b'), ('b', 'c'), ('c', 'd'), ('d', 'b')) AS t(source, target)")
     return audit.cyclic_nodes(edges).where("node <> 'a'")
+
+
+from tessella.plans import more  # noqa: E402, F401  registers further queries
