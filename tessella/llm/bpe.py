@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import parts
+from tessella.llm.common import arrow_rows, parts
 from tessella.llm.words import bytes_of, gather_ranges, slice_hashes, strings_from
 
 DOCS, WORDS = 0, 1
@@ -210,6 +210,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_buckets: int, kind: int) -> Ite
     """Rows (block, bucket, payload): of kind DOCS one for each batch, of kind WORDS one for each
     bucket of its distinct words. A block's name is a digest of its documents."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         ids, texts = batch.column(0), batch.column(1)
         raw, offsets = bytes_of(texts)
         begins = word_borders(raw, offsets)
@@ -258,6 +259,7 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
     row per word. Blocks are named by content, so a recomputed block meets its replies;
     if the input itself changed in between, the missing reply is an error, not a gap.
     """
+    arrow_rows(docs.sparkSession, 5_000)
     n = parts(docs, 8.0) if n_buckets is None else n_buckets
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)

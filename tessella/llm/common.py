@@ -21,7 +21,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -39,6 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_rows(spark: SparkSession, n: int) -> None:
+    """Sets how many rows an Arrow batch holds from here on. Spark's 10,000 suit short rows; of
+    texts of several kilobytes they take tens of megabytes at once in each task, on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df, from file sizes; no job is run.
 

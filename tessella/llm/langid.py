@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import held_out
+from tessella.llm.common import arrow_rows, held_out
 
 #: Labelled rows that are collected for training, at most about.
 TRAIN_ROWS = 4_000
@@ -184,6 +184,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     are scored whole and each by itself: repeated rows get the same answer, an empty
     table stays empty. rejected: the score is below the calibrated threshold.
     """
+    arrow_rows(docs.sparkSession, 2_000)
     held = docs.sparkSession.sparkContext.broadcast(model)  # table size fixed by BITS and the number of languages
 
     @F.arrow_udf(KIND)
@@ -199,6 +200,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             names = np.array([*m.languages, UNDETERMINED], object)
             score = np.where(letters, score, 0.0)
             yield pa.StructArray.from_arrays([pa.array(names[np.where(letters, best, -1)], pa.string()), pa.array(score), pa.array(~letters | (score < m.reject_below))], ["lang_pred", "score", "rejected"])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.drop("lang_pred", "score", "rejected", "_language").withColumn("_language", language(F.col(text_col)))
     return rows.select("*", "_language.*").drop("_language")

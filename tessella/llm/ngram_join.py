@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import _packed, _unpacked
-from tessella.llm.common import parts, written
+from tessella.llm.common import arrow_rows, parts, written
 from tessella.llm.graph import components, forest
 from tessella.llm.words import gather_ranges, shingle_sets, slices
 
@@ -289,6 +289,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     as to component_id. An empty table gives no rows; further columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    arrow_rows(docs.sparkSession, 2_000)
     n_buckets = parts(docs, 6.0)
     sizes = written(sizes_and_candidates(docs, k, percent, n_buckets), "set-sizes")
     chosen = sizes.where("candidate").select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")

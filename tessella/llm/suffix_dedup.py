@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import _packed, _unpacked
-from tessella.llm.common import parts, written
+from tessella.llm.common import arrow_rows, parts, written
 from tessella.llm.ngram_join import _dealt, _deltas, _undeltas
 from tessella.llm.suffix_array import CoverSorter
 from tessella.llm.words import SLICE_BYTES, bytes_of, gather_ranges, mix64, slice_hashes, slices
@@ -239,6 +239,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     summary = docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"), *(["text"] if with_text else []))
+    arrow_rows(docs.sparkSession, 4_000)
     runs = written(recurring(docs, length, parts(docs, 6.0)), "recurring-anchors")
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "runs").hint("shuffle_hash")
     texts = docs.join(runs, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "runs")

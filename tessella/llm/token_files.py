@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import PieceEncoder
-from tessella.llm.common import parts, scratch
+from tessella.llm.common import arrow_rows, parts, scratch
 from tessella.llm.words import gather_ranges, segment_sum, split_words
 
 MAGIC = b"WVM1"
@@ -168,6 +168,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
     follow one another, shorter texts first; null ids come first. No rows, no shard.
     A shard closes once it holds shard_tokens; one document is never cut.
     """
+    arrow_rows(docs.sparkSession, 10_000)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     size = max(json.loads(vocabulary)["model"]["vocab"].values())
     bits = int(max([size, end_id, *(t["id"] for t in json.loads(vocabulary)["added_tokens"])])).bit_length()

@@ -151,3 +151,4 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
         step = max(1, len(batch) * size // max(batch.nbytes, 1))
         for at in range(0, len(batch), step):
             yield batch.slice(at, step)
+            pa.default_memory_pool().release_unused()
