@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each text, their digest, and that of the text they decode to."""
-    return bpe.encode(docs, bpe.vocabulary_file(None, "byte_bpe_50k.json"), with_ids=True).drop("decoded")
+    return bpe.encode(docs, bpe.vocabulary_file(None, "byte_bpe_50k.json"), with_ids=True, block_rows=2_000)
 
 
 STAGES = [

@@ -18,6 +18,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 from itertools import chain
 from os.path import commonprefix
 from pathlib import Path
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import arrow_rows, parts
-from tessella.llm.words import bytes_of, gather_ranges, slice_hashes, strings_from
+from tessella.llm.words import bytes_of, gather_ranges, give_back, slice_hashes, strings_from
 
 DOCS, WORDS = 0, 1
 
@@ -162,6 +163,7 @@ def without_collection() -> Iterator[None]:
             gc.enable()
 
 
+@cache
 def pieces(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all pieces behind one another, offsets by id): the table decoding joins with."""
     spec = json.loads(vocabulary)
@@ -210,7 +212,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_buckets: int, kind: int) -> Ite
     """Rows (block, bucket, payload): of kind DOCS one for each batch, of kind WORDS one for each
     bucket of its distinct words. A block's name is a digest of its documents."""
     for batch in batches:
-        pa.default_memory_pool().release_unused()
+        give_back()
         ids, texts = batch.column(0), batch.column(1)
         raw, offsets = bytes_of(texts)
         begins = word_borders(raw, offsets)
@@ -247,9 +249,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_buckets: int, kind: int) -> Ite
 SCHEMA = "block string, bucket int, payload binary"
 
 
-def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with with_ids
-    the real thing, ids (array of int) and decoded (string).
+def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_ids: bool = False, with_decoded: bool = False, block_rows: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and the real thing
+    where asked for: ids (array of int) with with_ids, decoded (string) with with_decoded.
+
+    A block has at most block_rows documents: the more, the fewer words are sent twice, and
+    the more memory a task takes.
 
     Null and empty texts have no tokens and decode to the empty text. Texts are encoded
     whole; repeated rows each give a row; a null id stays null; no rows give none.
@@ -259,12 +264,13 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
     row per word. Blocks are named by content, so a recomputed block meets its replies;
     if the input itself changed in between, the missing reply is an error, not a gap.
     """
-    arrow_rows(docs.sparkSession, 5_000)
+    arrow_rows(docs.sparkSession, block_rows)
     n = parts(docs, 8.0) if n_buckets is None else n_buckets
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode_words(key: tuple, words: pa.Table) -> pa.Table:
+        give_back()
         encoder = PieceEncoder(held.value)
         lists = [_unpacked(p) for p in words["payload"].to_pylist()]
         lengths = np.concatenate([x[0] for x in lists]).astype(np.int64)
@@ -280,10 +286,10 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
         return pa.table({"block": words["block"], "bucket": words["bucket"], "payload": pa.array(replies, pa.binary())})
 
     def put_together(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         piece_raw, piece_off = pieces(held.value)
         fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-        if with_ids:
-            fields += [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())]
+        fields += [pa.field("ids", pa.list_(pa.int32()))] * with_ids + [pa.field("decoded", pa.string())] * with_decoded
         found: list[list] = [[] for _ in fields]
         order = np.unique(replies["bucket"].to_numpy(), return_index=True)[1]  # blocks of equal content get equal replies
         answers = [_unpacked(replies["payload"][int(i)].as_py()) for i in order]
@@ -300,12 +306,12 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
                 tokens = ids[gather_ranges(starts[mine], n_ids[mine])]
                 text = piece_raw[gather_ranges(piece_off[tokens], piece_off[tokens + 1] - piece_off[tokens])].tobytes().decode("utf-8", "replace")
                 row = [int(numbers[i]) if known[i] else None, len(tokens), hashlib.sha256(tokens.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
-                for column, value in zip(found, [*row, *([tokens.astype(np.int32), text] if with_ids else [])], strict=True):
+                for column, value in zip(found, [*row, *[tokens.astype(np.int32)] * with_ids, *[text] * with_decoded], strict=True):
                     column.append(value)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(found, fields, strict=True)], schema=pa.schema(fields))
 
     words = rows.mapInArrow(lambda it: _blocks(it, n, WORDS), SCHEMA)
     replies = words.groupBy("bucket").applyInArrow(encode_words, SCHEMA)
     texts = rows.mapInArrow(lambda it: _blocks(it, n, DOCS), SCHEMA)
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(put_together, out)

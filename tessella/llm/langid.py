@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import arrow_rows, held_out
+from tessella.llm.words import give_back
 
 #: Labelled rows that are collected for training, at most about.
 TRAIN_ROWS = 4_000
@@ -200,7 +201,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             names = np.array([*m.languages, UNDETERMINED], object)
             score = np.where(letters, score, 0.0)
             yield pa.StructArray.from_arrays([pa.array(names[np.where(letters, best, -1)], pa.string()), pa.array(score), pa.array(~letters | (score < m.reject_below))], ["lang_pred", "score", "rejected"])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     rows = docs.drop("lang_pred", "score", "rejected", "_language").withColumn("_language", language(F.col(text_col)))
     return rows.select("*", "_language.*").drop("_language")

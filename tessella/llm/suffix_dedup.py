@@ -24,7 +24,7 @@ from tessella.llm.bpe import _packed, _unpacked
 from tessella.llm.common import arrow_rows, parts, written
 from tessella.llm.ngram_join import _dealt, _deltas, _undeltas
 from tessella.llm.suffix_array import CoverSorter
-from tessella.llm.words import SLICE_BYTES, bytes_of, gather_ranges, mix64, slice_hashes, slices
+from tessella.llm.words import SLICE_BYTES, bytes_of, gather_ranges, give_back, mix64, slice_hashes, slices
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once.
@@ -165,7 +165,7 @@ def marked(texts: DataFrame, length: int, n_buckets: int, n_groups: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([int(g)], pa.int32()), pa.array([_packed(doc[mine], key[mine], start[mine], windows[mine])], pa.binary())], ["bucket", "group", "payload"])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 * SLICE_BYTES):
+        for batch in slices(batches, 2 * SLICE_BYTES):
             raw, offsets = bytes_of(batch.column(2))
             runs = [_unpacked(b) for b in batch.column(3).to_pylist()]
             if not runs:
@@ -192,6 +192,7 @@ def marked(texts: DataFrame, length: int, n_buckets: int, n_groups: int) -> Data
     def sort(bucket: tuple, blobs: pa.Table) -> pa.Table:
         if bucket[0].as_py() < 0:  # marked already
             return blobs.select(["bucket", "group", "payload"])
+        give_back()
         unpacked = [_unpacked(p) for p in blobs["payload"].to_pylist()]
         doc, key, start, windows, raw = (np.concatenate([u[k] for u in unpacked]) for k in range(5))
         ends = np.cumsum(windows + length - 1)
@@ -239,15 +240,16 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     summary = docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"), *(["text"] if with_text else []))
-    arrow_rows(docs.sparkSession, 4_000)
+    arrow_rows(docs.sparkSession, 2_000)
     runs = written(recurring(docs, length, parts(docs, 6.0)), "recurring-anchors")
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "runs").hint("shuffle_hash")
     texts = docs.join(runs, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "runs")
     texts = written(texts, "recurring-texts")
-    n_groups = parts(texts, 4.0)
-    marks = written(marked(texts, length, parts(texts, 3.0), n_groups), "marked-windows")
+    n_groups = parts(texts, 2.0)
+    marks = written(marked(texts, length, parts(texts, 1.5), n_groups), "marked-windows")
 
     def cut(rows: pa.Table, marks_: pa.Table) -> pa.Table:
+        give_back()
         columns: tuple[list, ...] = ([], [], [], [], [], [], [])
         if len(marks_):
             blobs = [_unpacked(p) for p in marks_["payload"].to_pylist()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: From so many bytes on, an array has pages of its own, which go back to the system when it is freed.
+OWN_PAGES = 4 << 20
+_MMAP_THRESHOLD = -3  # mallopt's name for it in the GNU C library
+_LIBC = ctypes.CDLL(None)
+if hasattr(_LIBC, "mallopt") and hasattr(_LIBC, "malloc_trim"):
+    # Python workers live on between stages; else the library would raise this bound and keep what arrays leave.
+    _LIBC.mallopt(_MMAP_THRESHOLD, OWN_PAGES)
+
+
+def give_back() -> None:
+    """Returns memory that is free by now to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, code of each word, offsets of the texts' words); a null text has none.
 
@@ -151,4 +168,4 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
         step = max(1, len(batch) * size // max(batch.nbytes, 1))
         for at in range(0, len(batch), step):
             yield batch.slice(at, step)
-            pa.default_memory_pool().release_unused()
+            give_back()

@@ -80,7 +80,7 @@ def test_bpe_round_trip(spark, vocabularies):
     for i, text, *_ in rows():
         ids = t.encode(text or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest(), ids))
-    got = bpe.encode(docs, vocabularies["byte_bpe_50k.json"], with_ids=True).collect()
+    got = bpe.encode(docs, vocabularies["byte_bpe_50k.json"], with_ids=True, with_decoded=True).collect()
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.ids) for r in got) == sorted(want)
     assert all(r.decoded == (dict((i, x) for i, x, *_ in rows())[r.doc_id] or "") for r in got)
     assert bpe.encode(empty(spark), vocabularies["byte_bpe_50k.json"]).count() == 0
