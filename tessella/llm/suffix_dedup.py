@@ -246,7 +246,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     texts = docs.join(runs, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "runs")
     texts = written(texts, "recurring-texts")
     n_groups = parts(texts, 2.0)
-    marks = written(marked(texts, length, parts(texts, 1.5), n_groups), "marked-windows")
+    marks = written(marked(texts, length, parts(texts, 0.5, 32), n_groups), "marked-windows")
 
     def cut(rows: pa.Table, marks_: pa.Table) -> pa.Table:
         give_back()
