@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_rows, parts
-from tessella.llm.words import bytes_of, gather_ranges, give_back, slice_hashes, strings_from
+from tessella.llm.blobs import packed, unpacked
+from tessella.llm.common import Workspace, parts
+from tessella.llm.merges import Merges
+from tessella.llm.words import bytes_of, gather_ranges, give_back, segment_sum, slice_hashes, strings_from
 
 DOCS, WORDS = 0, 1
 
@@ -57,8 +58,8 @@ def byte_letters() -> dict[int, str]:
 class PieceEncoder:
     """Ids of single words as the tokenizers library gives them for the words alone.
 
-    The usual words are cut by a pattern compiled once and go straight to the BPE
-    model; whatever holds other characters or a special token takes the whole tokenizer.
+    The usual words are cut by a pattern compiled once and merged all at once (merges);
+    whatever holds other characters or a special token takes the whole tokenizer.
     """
 
     #: Latin letters whose normal forms and lower cases are single characters.
@@ -86,28 +87,40 @@ class PieceEncoder:
         self.cut = self.CUTS[bool(self.spaced)] if self.spaced or self.lowered else None
         specials = [t["content"] for t in spec["added_tokens"]]
         self.marks = (commonprefix(specials),) if commonprefix(specials) else tuple(specials)
-        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c or b >= 128}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, list[int]] = {}
+        self.merges = Merges(spec["model"], byte_letters()) if self.cut else None
 
-    #: Pieces whose ids are kept for later words; beyond it they are computed anew.
-    STORE = 300_000
-
-    def piece(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            plain = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(plain)]
-            if len(self.known) < self.STORE:
-                self.known[piece] = ids
-        return ids
-
-    def __call__(self, word: str) -> list[int]:
+    def cuts(self, word: str) -> list[str] | None:
+        """The pieces of a word that the pattern may cut; None if it takes the whole tokenizer."""
         if self.cut is None or not self.USUAL.match(word) or any(m in word for m in self.marks):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        if self.lowered:
-            word = word.lower()
-        return [i for piece in self.cut.findall(word) for i in self.piece(piece)]
+            return None
+        return self.cut.findall(word.lower() if self.lowered else word)
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids in order); each distinct piece is merged once."""
+        encoded = pieces.dictionary_encode()
+        codes = encoded.indices.to_numpy(zero_copy_only=False)
+        n, flat = self.merges(*bytes_of(encoded.dictionary))
+        return n[codes], flat[gather_ranges((np.cumsum(n) - n)[codes], n[codes])]
+
+    def rest(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids in order) of words with whatever characters."""
+        cuts = [self.cuts(w) for w in words]
+        odd = [self.tokenizer.encode(w, add_special_tokens=False).ids for w, c in zip(words, cuts, strict=True) if c is None]
+        odd_n, odd_flat = _flat(odd)
+        is_odd = np.fromiter((c is None for c in cuts), bool, len(cuts))
+        n_pieces = np.fromiter((len(c) for c in cuts if c is not None), np.int64, len(cuts) - len(odd))
+        lengths = np.zeros(len(words), np.int64)
+        lengths[is_odd] = odd_n
+        flat = np.zeros(0, np.uint32)
+        if n_pieces.sum():
+            n, flat = self.pieces(pa.array([p for c in cuts if c for p in c], pa.large_string()))
+            lengths[~is_odd] = segment_sum(n, np.concatenate([[0], np.cumsum(n_pieces)])).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        ids = np.empty(int(lengths.sum()), np.uint32)
+        ids[gather_ranges(starts[is_odd], odd_n)] = odd_flat
+        ids[gather_ranges(starts[~is_odd], lengths[~is_odd])] = flat
+        return lengths, ids
 
     def many(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids in order).
@@ -124,12 +137,10 @@ class PieceEncoder:
         plain = pc.utf8_lower(plain) if self.lowered else plain
         signed = pc.match_substring_regex(plain, "[.,;:!?]$").to_numpy(zero_copy_only=False)
         cores = pc.replace_substring_regex(plain, "[.,;:!?]$", "").dictionary_encode()
-        signs = pc.utf8_slice_codeunits(plain.filter(pa.array(signed)), -1).to_pylist()
+        signs = pc.utf8_slice_codeunits(plain.filter(pa.array(signed)), -1)
+        core_n, core_flat = self.merges(*bytes_of(cores.dictionary)) if len(cores) else _flat([])
         with without_collection():
-            core_ids = [self.piece(c) for c in cores.dictionary.to_pylist()]
-            rest_ids = [self(w) for w in words.filter(pa.array(~simple)).to_pylist()]
-            core_n, core_flat = _flat(core_ids)
-            rest_n, rest_flat = _flat(rest_ids)
+            rest_n, rest_flat = self.rest(words.filter(pa.array(~simple)).to_pylist())
         codes = cores.indices.to_numpy(zero_copy_only=False)
         lengths = np.zeros(len(words), np.int64)
         lengths[simple] = core_n[codes] + signed * 1  # a sign is one id in any vocabulary that has all bytes
@@ -138,10 +149,10 @@ class PieceEncoder:
         starts = ends - lengths
         ids = np.empty(int(lengths.sum()), np.uint32)
         ids[gather_ranges(starts[simple], core_n[codes])] = core_flat[gather_ranges((np.cumsum(core_n) - core_n)[codes], core_n[codes])]
-        of_sign = {c: self.piece(c) for c in ".,;:!?"} if signs else {}
-        if any(len(i) != 1 for i in of_sign.values()):
-            raise ValueError("the vocabulary lacks an id for a sign")
-        ids[ends[simple][signed] - 1] = [of_sign[c][0] for c in signs]
+        if len(signs):
+            of_sign = np.zeros(128, np.uint32)
+            of_sign[list(b".,;:!?")] = self.pieces(pa.array(list(".,;:!?"), pa.large_string()))[1]  # one id each
+            ids[ends[simple][signed] - 1] = of_sign[bytes_of(signs)[0]]
         ids[gather_ranges(starts[~simple], rest_n)] = rest_flat
         return lengths, ids
 
@@ -193,21 +204,6 @@ def word_borders(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    head = json.dumps([[a.dtype.str, len(a)] for a in arrays]).encode()
-    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def _unpacked(blob: bytes) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    body, at, out = zstandard.ZstdDecompressor().decompress(blob[4 + n :]), 0, []
-    for kind, count in json.loads(blob[4 : 4 + n]):
-        out.append(np.frombuffer(body, kind, count, at))
-        at += out[-1].nbytes
-    return out
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], n_buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, bucket, payload): of kind DOCS one for each batch, of kind WORDS one for each
     bucket of its distinct words. A block's name is a digest of its documents."""
@@ -235,14 +231,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_buckets: int, kind: int) -> Ite
             small = rank[codes]
             planes = [(small >> np.uint32(8 * k)).astype(np.uint8) for k in range(3 if len(order) < 1 << 24 else 4)]
             per_text = np.searchsorted(begins, offsets)
-            payload = _packed(numbers, known.astype(np.uint8), per_text.astype(np.int64), place[use].astype(np.uint32), *planes)
+            payload = packed(numbers, known.astype(np.uint8), per_text.astype(np.int64), place[use].astype(np.uint32), *planes)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.array([payload], pa.binary())], ["block", "bucket", "payload"])
         else:
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 mine = order[cuts[b] : cuts[b + 1]]
                 lengths = w_off[mine + 1] - w_off[mine]
-                payload = _packed(lengths.astype(np.uint32), w_raw[gather_ranges(w_off[mine], lengths)])
+                payload = packed(lengths.astype(np.uint32), w_raw[gather_ranges(w_off[mine], lengths)])
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(b)], pa.int32()), pa.array([payload], pa.binary())], ["block", "bucket", "payload"])
 
 
@@ -256,6 +252,8 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
     A block has at most block_rows documents: the more, the fewer words are sent twice, and
     the more memory a task takes.
 
+    The result is computed here, once, and read from the shared folder.
+
     Null and empty texts have no tokens and decode to the empty text. Texts are encoded
     whole; repeated rows each give a row; a null id stays null; no rows give none.
     vocabulary is a tokenizer's JSON; its size bounds what is broadcast.
@@ -264,7 +262,6 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
     row per word. Blocks are named by content, so a recomputed block meets its replies;
     if the input itself changed in between, the missing reply is an error, not a gap.
     """
-    arrow_rows(docs.sparkSession, block_rows)
     n = parts(docs, 8.0) if n_buckets is None else n_buckets
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -272,7 +269,7 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
     def encode_words(key: tuple, words: pa.Table) -> pa.Table:
         give_back()
         encoder = PieceEncoder(held.value)
-        lists = [_unpacked(p) for p in words["payload"].to_pylist()]
+        lists = [unpacked(p) for p in words["payload"].to_pylist()]
         lengths = np.concatenate([x[0] for x in lists]).astype(np.int64)
         distinct = strings_from(np.concatenate([x[1] for x in lists]), np.concatenate([[0], np.cumsum(lengths)])).dictionary_encode()
         n_ids, ids = encoder.many(distinct.dictionary)
@@ -282,7 +279,7 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
             mine = codes[at : at + len(part[0])]
             at += len(mine)
             flat = ids[gather_ranges(starts[mine], n_ids[mine])]
-            replies.append(_packed(n_ids[mine].astype(np.uint16 if n_ids[mine].max(initial=0) < 1 << 16 else np.uint32), flat.astype(np.uint16 if encoder.size <= 1 << 16 else np.uint32)))
+            replies.append(packed(n_ids[mine].astype(np.uint16 if n_ids[mine].max(initial=0) < 1 << 16 else np.uint32), flat.astype(np.uint16 if encoder.size <= 1 << 16 else np.uint32)))
         return pa.table({"block": words["block"], "bucket": words["bucket"], "payload": pa.array(replies, pa.binary())})
 
     def put_together(texts: pa.Table, replies: pa.Table) -> pa.Table:
@@ -292,12 +289,12 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
         fields += [pa.field("ids", pa.list_(pa.int32()))] * with_ids + [pa.field("decoded", pa.string())] * with_decoded
         found: list[list] = [[] for _ in fields]
         order = np.unique(replies["bucket"].to_numpy(), return_index=True)[1]  # blocks of equal content get equal replies
-        answers = [_unpacked(replies["payload"][int(i)].as_py()) for i in order]
+        answers = [unpacked(replies["payload"][int(i)].as_py()) for i in order]
         n_ids = np.concatenate([a[0] for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
         ids = np.concatenate([a[1] for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
         starts = np.cumsum(n_ids) - n_ids
         for blob in texts["payload"].to_pylist():
-            numbers, known, per_text, place, *planes = _unpacked(blob)
+            numbers, known, per_text, place, *planes = unpacked(blob)
             if len(place) != len(n_ids):
                 raise RuntimeError("a block's words came back incomplete: the input changed while it was read")
             codes = place[sum(p.astype(np.uint32) << np.uint32(8 * k) for k, p in enumerate(planes))]
@@ -314,4 +311,5 @@ def encode(docs: DataFrame, vocabulary: str, n_buckets: int | None = None, with_
     replies = words.groupBy("bucket").applyInArrow(encode_words, SCHEMA)
     texts = rows.mapInArrow(lambda it: _blocks(it, n, DOCS), SCHEMA)
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
-    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(put_together, out)
+    whole = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(put_together, out)
+    return Workspace(docs.sparkSession, "bpe").write(whole, "encoded", block_rows)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster shares (spark.checkpoint.dir).
+    """A fresh folder in the one the cluster shares (spark.checkpoint.dir); it goes when Spark ends.
 
     Where that is unset, as in local tests, a temporary folder is set up and
     remembered in the session.
@@ -25,24 +27,64 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once, written to the shared folder and read from there.
-
-    It cuts the lineage, and lost executors cost no more than a re-read.
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    store, at = _located(spark, path)
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system and path object, whatever the store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) that hold inside the block only."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Workspace:
+    """The tables that one operator writes on its way, in the shared folder.
+
+    A written table cuts the lineage: it was computed once, and lost executors cost no
+    more than a re-read. Shuffle files are removed once the table they led to stands;
+    tables are dropped after their last use, and what a lazy result still reads goes
+    when Spark ends.
     """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
-def arrow_rows(spark: SparkSession, n: int) -> None:
-    """Sets how many rows an Arrow batch holds from here on. Spark's 10,000 suit short rows; of
-    texts of several kilobytes they take tens of megabytes at once in each task, on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, scratch(spark, name), 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """df, written and read again. rows: how many an Arrow batch holds meanwhile. Spark's
+        10,000 suit short rows; of long texts they take tens of megabytes in each task."""
+        self.n += 1
+        path = f"{self.path}/{self.n:03d}-{name}"
+        more = {} if rows is None else {"spark__sql__execution__arrow__maxRecordsPerBatch": str(rows)}
+        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **more):
+            df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that `write` gave, once nothing lazy reads them any more."""
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            store, at = _located(self.spark, path)
+            store.delete(at, True)
 
 
 def scan_bytes(df: DataFrame) -> int:

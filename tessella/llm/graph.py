@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import written
+from tessella.llm.common import Workspace
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +60,14 @@ def thinned(links: DataFrame, batch: int = 1_000_000) -> DataFrame:
     return links.where("u is not null and v is not null and u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(thin, "u long, v long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, space: Workspace) -> DataFrame:
     """(node, component) of every node that links (u, v: long) connect to a smaller one.
 
     component is the smallest node reachable. Nodes that are their own component's
     smallest, or without links, don't occur. Nulls and links to oneself don't count;
-    no links give no rows.
+    no links give no rows. The last round's table stays in the workspace.
     """
-    now = written(thinned(links).distinct(), "links")
+    now = space.write(thinned(links).distinct(), "links")
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
@@ -79,4 +79,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        now = written(small.union(least.select("u", F.col("low").alias("v"))).distinct(), "links")
+        before, now = now, space.write(small.union(least.select("u", F.col("low").alias("v"))).distinct(), "links")
+        space.drop(before)

@@ -20,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_rows, held_out
-from tessella.llm.words import give_back
+from tessella.llm.common import held_out
+from tessella.llm.words import array_slices
 
 #: Labelled rows that are collected for training, at most about.
 TRAIN_ROWS = 4_000
+#: Languages whose counts may travel to every task.
+SMALL_LANGS = 10_000
 BITS, DIM, ORDERS = 15, 16, (2, 3, 4)
 #: Share of right answers on calibration rows that the rejection threshold may cost.
 REJECT_RIGHT = 0.001
@@ -165,13 +167,22 @@ def calibrate(model: LanguageModel, texts: list[str], y: np.ndarray, rng: np.ran
 def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Trains on at most about max_rows rows with text and language outside the held-out fold.
 
-    The rows are those whose hashed id falls in a share of the range set by a count,
-    so the same rows are taken however the table is partitioned.
+    Half of the rows are shared out in proportion, half evenly between languages, so that
+    rare ones are learned too. The rows are those whose hashed id falls in their
+    language's share of the range, so the same rows are taken however the table is
+    partitioned.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    share = min(1.0, max_rows / max(usable.select(id_col, lang_col).count(), 1))
-    rows = usable.where(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 30)) < int(share * (1 << 30)) if share < 1 else F.lit(True))
-    got = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(2 * max_rows).toArrow().sort_by("i")
+    usable = usable.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    counts = usable.groupBy("l").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("langs")).first()
+    if total["n"] > max_rows:
+        share = max_rows / 2 / total["n"] + F.lit(max_rows / 2 / total["langs"]) / F.col("n")
+        taken = F.pmod(F.xxhash64(F.lit(3), "i"), F.lit(1 << 30)) < share * (1 << 30)
+        of = counts.select(F.col("l").alias("of"), "n")
+        of = F.broadcast(of) if total["langs"] <= SMALL_LANGS else of  # else texts are shuffled
+        usable = usable.join(of, F.col("l") == F.col("of")).where(taken).select("i", "t", "l")
+    got = usable.limit(2 * max_rows).toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
     return train(got["t"].to_pylist(), got["l"].to_pylist())
 
 
@@ -185,23 +196,27 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     are scored whole and each by itself: repeated rows get the same answer, an empty
     table stays empty. rejected: the score is below the calibrated threshold.
     """
-    arrow_rows(docs.sparkSession, 2_000)
     held = docs.sparkSession.sparkContext.broadcast(model)  # table size fixed by BITS and the number of languages
 
     @F.arrow_udf(KIND)
     def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = held.value
         for texts in batches:
-            letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            if m.languages:
-                p = softmax(scores(m, texts) / m.temperature)
-                best, score = p.argmax(axis=1), p.max(axis=1)
-            else:
-                letters, best, score = np.zeros(len(texts), bool), np.zeros(len(texts), int), np.zeros(len(texts))
-            names = np.array([*m.languages, UNDETERMINED], object)
-            score = np.where(letters, score, 0.0)
-            yield pa.StructArray.from_arrays([pa.array(names[np.where(letters, best, -1)], pa.string()), pa.array(score), pa.array(~letters | (score < m.reject_below))], ["lang_pred", "score", "rejected"])
-            give_back()
-
-    rows = docs.drop("lang_pred", "score", "rejected", "_language").withColumn("_language", language(F.col(text_col)))
-    return rows.select("*", "_language.*").drop("_language")
+            parts = [answers(held.value, part) for part in array_slices(texts)]
+            yield pa.concat_arrays(parts) if parts else answers(held.value, texts)
+
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    name = max(docs.columns, key=len) + "_language"  # clashes with none
+    return docs.select(*kept, language(F.col(text_col)).alias(name)).select(*kept, f"{name}.*")
+
+
+def answers(m: LanguageModel, texts: pa.Array) -> pa.StructArray:
+    """lang_pred, score and rejected of each text."""
+    letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    if m.languages and len(texts):
+        p = softmax(scores(m, texts) / m.temperature)
+        best, score = p.argmax(axis=1), p.max(axis=1)
+    else:
+        letters, best, score = np.zeros(len(texts), bool), np.zeros(len(texts), int), np.zeros(len(texts))
+    names = np.array([*m.languages, UNDETERMINED], object)
+    score = np.where(letters, score, 0.0)
+    return pa.StructArray.from_arrays([pa.array(names[np.where(letters, best, -1)], pa.string()), pa.array(score), pa.array(~letters | (score < m.reject_below))], ["lang_pred", "score", "rejected"])

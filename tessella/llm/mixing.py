@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, n_words, written
+from tessella.llm.common import WORD, Workspace, n_words
 from tessella.llm.ranks import running, seeded_hash, slice_of, slices_for
 
 SEED = 20_011
@@ -80,12 +80,17 @@ def curriculum(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: f
     Only ids, sources and sizes are shuffled. Running sums use hash slices, so a
     source with a third of all rows is spread over tasks as others are.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    rows = written(rows.withColumn("_h", seeded_hash(seed, "doc_id", "size")), "mix-rows")
+    return _curriculum(docs, schedule, max_epochs, seed, id_col, text_col, source_col).drop("key")
+
+
+def _curriculum(docs: DataFrame, schedule: DataFrame | None, max_epochs: float, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """What `curriculum` returns, and key, a hash of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("key"))
+    rows = Workspace(docs.sparkSession, "mix").write(rows.withColumn("_h", seeded_hash(seed, "doc_id", "size")), "rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, ramp_schedule(sizes) if schedule is None else schedule, max_epochs)
     n_rows = rows.count()
-    placed = running(rows.withColumn("_slice", slice_of("_h", slices_for(n_rows))), ["source"], "_slice", ["_h", "doc_id"], F.col("size"), "_start")
+    placed = running(rows.withColumn("_slice", slice_of("_h", slices_for(n_rows))), ["source"], "_slice", ["_h", "doc_id", "key"], F.col("size"), "_start")
     placed = placed.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     goal = F.round("target").cast("long")
 
@@ -98,26 +103,31 @@ def curriculum(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: f
     placed = placed.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(F.filter(passes, lambda p: F.lit(False))))
     placed = placed.withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["taken"]))
     placed = placed.withColumn("position", F.try_element_at("passes", F.lit(1))["position"])
-    out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "passes")
+    out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "passes", "key")
     n_ranges = max(1, n_rows // 200_000 + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return out.repartitionByRange(n_ranges, F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def training_stream(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """docs as training reads them: a row per pass over a document, in training order, with
-    docs' own columns. The pass that a target ends within holds its first words only
-    (one a source); documents beyond the target don't occur.
+    docs' own columns, whatever their names. The pass that a target ends within holds its
+    first words only (one a source); documents beyond the target don't occur, nor do null
+    and empty texts, which have no words to read.
 
-    Rows are matched by id and size; ids that repeat with equal sizes share their
-    passes evenly only if their texts are alike, so ids should be unique.
+    Rows are matched by id, size and a hash of the text. Rows alike in all three are each
+    read as the least read of them is, so reruns agree. No rows give none.
     """
-    names = docs.columns
-    mix = curriculum(docs, schedule, max_epochs, seed).where("taken > 0").dropDuplicates(["doc_id", "size"]).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "passes")
-    rows = docs.withColumn("_words", n_words(F.col("text")))
-    read = rows.join(mix, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    read = read.select(*names, "_words", F.explode("passes").alias("_pass"))
-    begun = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_pass.taken").cast("int")), "")
-    read = read.withColumn("text", F.when(F.col("_pass.taken") < F.col("_words"), begun).otherwise(F.col("text")))
-    if "n_chars" in names:
-        read = read.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return read.repartitionByRange(F.col("_pass.position"), "doc_id").sortWithinPartitions("_pass.position", "doc_id").select(*names)
+    same = ["doc_id", "size", "key"]
+    mix = _curriculum(docs, schedule, max_epochs, seed).where("taken > 0").groupBy(*same).agg(F.min("passes").alias("passes"))
+    mix = mix.select(*[F.col(c).alias(f"mix_{c}") for c in same], "passes")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), n_words("text").alias("size"), F.xxhash64("text").alias("key"))
+    read = rows.join(mix, F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & (F.col("size") == F.col("mix_size")) & (F.col("key") == F.col("mix_key")))
+    read = read.select("row", "doc_id", "size", F.explode("passes").alias("once"))
+    text = F.col("row.text")
+    begun = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("once.taken").cast("int")), "")
+    text = F.when(F.col("once.taken") < F.col("size"), begun).otherwise(text)
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    ordered = read.repartitionByRange(F.col("once.position"), "doc_id").sortWithinPartitions("once.position", "doc_id")
+    return ordered.select(row.alias("row")).select("row.*")

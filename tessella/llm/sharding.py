@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import utf8_crc32, written
+from tessella.llm.common import Workspace, utf8_crc32
 from tessella.llm.ranks import running, seeded_hash, slice_of, slices_for
 
 SEED = 20_011
@@ -36,13 +36,15 @@ def interleave(docs: DataFrame, n_shards: int = 16, seed: int = SEED, id_col: st
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
         utf8_crc32(F.col(text_col)).alias("text_crc32"),
     )
-    rows = written(rows.withColumn("_h", seeded_hash(seed, "doc_id", "text_crc32")), "shard-rows")
+    space = Workspace(docs.sparkSession, "shards")
+    rows = space.write(rows.withColumn("_h", seeded_hash(seed, "doc_id", "text_crc32")), "rows")
     n_rows = rows.count()
     n_slices = slices_for(n_rows)
     ranked = running(rows.withColumn("_slice", slice_of("_h", n_slices)), ["source"], "_slice", ["_h", "doc_id", "size", "text_crc32"], F.lit(1), "_rank")
     totals = rows.groupBy("source").agg(F.count("*").alias("_n")).withColumnRenamed("source", "_source")
     placed = ranked.join(totals, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_at", (F.col("_rank") + 0.5) / F.col("_n"))
-    placed = written(placed.select("doc_id", "source", "size", "text_crc32", "_h", "_at", F.floor(F.col("_at") * n_slices).cast("long").alias("_slice")), "shard-ranks")
+    placed = space.write(placed.select("doc_id", "source", "size", "text_crc32", "_h", "_at", F.floor(F.col("_at") * n_slices).cast("long").alias("_slice")), "ranks")
+    space.drop(rows)
     order = running(placed, [], "_slice", ["_at", "_h", "source", "doc_id", "size", "text_crc32"], F.lit(1), "position")
     n = max(n_rows, 1)
     shard = F.expr(f"position * {n_shards}L div {n}L")
@@ -51,16 +53,17 @@ def interleave(docs: DataFrame, n_shards: int = 16, seed: int = SEED, id_col: st
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, seed: int = SEED) -> None:
-    """Writes docs as n_shards folders shard=K of Parquet, rows in slot order.
+    """Writes docs as n_shards folders shard=K of Parquet, rows in slot order, columns whatever
+    their names but shard.
 
     Rows are matched to their slots by id and checksum; rows alike in both are
     numbered on each side, so each takes one of the slots.
     """
-    rows = docs.withColumn("_crc", utf8_crc32(F.col("text")))
-    number = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    slots = interleave(docs, n_shards, seed).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_slot_crc"), "shard", "slot")
-    slots = slots.withColumn("_no", number("_id", "_slot_crc"))
-    rows = rows.withColumn("_row_no", number("doc_id", "_crc"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_slot_crc")) & (F.col("_no") == F.col("_row_no"))
-    out = rows.join(slots, same).drop("_id", "_slot_crc", "_no", "_row_no", "_crc")
-    out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    same = ["doc_id", "text_crc32"]
+    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))).alias("copy")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), utf8_crc32(F.col("text")).alias("text_crc32")).select("*", number)
+    slots = interleave(docs, n_shards, seed).select(*same, number, "shard", "slot")
+    slots = slots.select(*[F.col(c).alias(f"at_{c}") for c in slots.columns])
+    match = F.col("doc_id").eqNullSafe(F.col("at_doc_id")) & (F.col("text_crc32") == F.col("at_text_crc32")) & (F.col("copy") == F.col("at_copy"))
+    out = rows.join(slots, match).repartition(n_shards, "at_shard").sortWithinPartitions("at_shard", "at_slot")
+    out.select("row.*", F.col("at_shard").alias("shard")).write.partitionBy("shard").parquet(path)

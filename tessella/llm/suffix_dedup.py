@@ -17,16 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import _packed, _unpacked
-from tessella.llm.common import arrow_rows, parts, written
-from tessella.llm.ngram_join import _dealt, _deltas, _undeltas
+from tessella.llm.blobs import BLOB, OWN, blob_row, blob_table, fingerprints, packed, unpacked
+from tessella.llm.common import Workspace, parts
+from tessella.llm.ngram_join import BATCH_ROWS, block_numbers, checked, deal_entries, shared_entries
 from tessella.llm.suffix_array import CoverSorter
 from tessella.llm.words import SLICE_BYTES, bytes_of, gather_ranges, give_back, mix64, slice_hashes, slices
 
 LENGTH, GRAM = 100, 32
+NO_ID = -(1 << 63)
 #: Bytes hashed at once.
 CHUNK = 1 << 17
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -70,82 +71,72 @@ def _table(names: list[str], kinds: list, columns: list) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-BLOB, BLOB_KINDS = ["block", "bucket", "payload"], [pa.string(), pa.int32(), pa.binary()]
-BLOB_SCHEMA = "block string, bucket int, payload binary"
+def recurring(docs: DataFrame, length: int, n_buckets: int, space: Workspace) -> DataFrame:
+    """(doc_id, key, runs) of the documents with recurring anchors, each once; runs packs their
+    anchors' names, first window starts and numbers of windows. docs: doc_id, key, text.
 
-
-def recurring(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """(doc_id, key, runs) of the documents with recurring anchors; runs packs their anchors'
-    names, first window starts and numbers of windows. docs: doc_id, key, text."""
-
-    def named(batch: pa.RecordBatch) -> str:
-        offsets = bytes_of(batch.column(2))[1]
-        return hashlib.sha256(batch.column(0).to_numpy(zero_copy_only=False).tobytes() + batch.column(1).to_numpy(zero_copy_only=False).tobytes() + offsets.tobytes()).hexdigest()[:24]
+    The blocks are written once, with what stays behind for each, so replies meet their
+    block however docs was partitioned or ordered. An anchor that recurs within a block is
+    one entry for the block, whatever the number of its documents.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = block_numbers()
         for batch in slices(batches):
+            block = next(numbers)
             raw, offsets = bytes_of(batch.column(2))
             runs = [anchors(raw[a:b], length) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            if not runs:
-                continue
             name, start, windows = (np.concatenate(x) for x in zip(*runs, strict=True))
-            owner = np.repeat(np.arange(len(runs), dtype=np.uint32), [len(r[0]) for r in runs])
-            order, cuts = _dealt(name, n_buckets)
-            block = named(batch)
-            for b in np.flatnonzero(np.diff(cuts)):
-                mine = order[cuts[b] : cuts[b + 1]]
-                blob = _packed(*_deltas((name[mine] >> np.uint64(32)).astype(np.uint32)), owner[mine].astype(np.uint16 if len(runs) <= 1 << 16 else np.uint32), start[mine].astype(np.uint32 if len(raw) < 1 << 32 else np.uint64), windows[mine].astype(np.uint8 if windows[mine].max() < 256 else np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(b)], pa.int32()), pa.array([blob], pa.binary())], BLOB)
+            owner = np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs])
+            again, blobs = deal_entries(block, name, n_buckets, owner, start, windows)
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            yield blob_row(block, OWN, ids, keys, fingerprints(name[again]), owner[again].astype(np.uint32), start[again].astype(np.uint32), windows[again].astype(np.uint32), np.array([len(blobs)]))
+            yield from blobs
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            blob = _packed(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array([named(batch)]), pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], BLOB)
-
-    def count(key: tuple, blobs: pa.Table) -> pa.Table:
-        unpacked = [_unpacked(p) for p in blobs["payload"].to_pylist()]
-        prints = [_undeltas(u[:4]) for u in unpacked]
-        order = np.argsort(np.concatenate(prints), kind="stable")
-        ranked = np.concatenate(prints)[order]
-        again = np.zeros(len(ranked), bool)
-        again[1:] = ranked[1:] == ranked[:-1]
-        again[:-1] |= again[1:]
-        flags = np.empty(len(ranked), bool)
-        flags[order] = again
-        out, at = [], 0
-        for u, p in zip(unpacked, prints, strict=True):
-            mine = np.flatnonzero(flags[at : at + len(p)])
-            at += len(p)
-            out.append(_packed(p[mine], *(x[mine] for x in u[4:])))
-        return _table(BLOB, BLOB_KINDS, [blobs["block"].to_pylist(), blobs["bucket"].to_pylist(), out])
-
-    def gather(head: pa.Table, replies: pa.Table) -> pa.Table:
+    def count(blobs: pa.Table) -> pa.Table:
+        replies = [packed(prints[shared], *(v[shared] for v in values)) for prints, values, shared in shared_entries(blobs)]
+        return blob_table(blobs["block"], blobs["bucket"], replies)
+
+    def gather(own: pa.Table, replies: pa.Table) -> pa.Table:
         columns: tuple[list, ...] = ([], [], [])
-        once = np.unique(replies["bucket"].to_numpy(), return_index=True)[1]  # blocks of equal content get equal replies
-        answers = [_unpacked(replies["payload"][int(i)].as_py()) for i in once]
-        if answers:
-            name, owner, start, windows = (np.concatenate([a[k] for a in answers]) for k in range(4))
-            order = np.lexsort((start, owner))
-            name, owner, start, windows = name[order], owner[order], start[order], windows[order]
-            for blob in head["payload"].to_pylist():
-                ids, keys = _unpacked(blob)
-                cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
-                for i in np.flatnonzero(np.diff(cuts)):
-                    a, b = cuts[i], cuts[i + 1]
-                    for column, value in zip(columns, (int(ids[i]), int(keys[i]), _packed(name[a:b], start[a:b].astype(np.int64), windows[a:b].astype(np.int64))), strict=True):
-                        column.append(value)
+        ids, keys, *local, n_blobs = unpacked(own["payload"][0].as_py())
+        answers = [local, *checked(int(n_blobs[0]), replies)]
+        name, owner, start, windows = (np.concatenate([a[k] for a in answers]) for k in range(4))
+        order = np.lexsort((start, owner))
+        name, owner, start, windows = name[order], owner[order], start[order], windows[order]
+        cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
+        for i in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[i], cuts[i + 1]
+            for column, value in zip(columns, (int(ids[i]), int(keys[i]), packed(name[a:b], start[a:b].astype(np.int64), windows[a:b].astype(np.int64))), strict=True):
+                column.append(value)
         return _table(["doc_id", "key", "runs"], [pa.int64(), pa.int64(), pa.binary()], list(columns))
 
-    replies = docs.mapInArrow(deal, BLOB_SCHEMA).groupBy("bucket").applyInArrow(count, BLOB_SCHEMA)
-    found = docs.mapInArrow(heads, BLOB_SCHEMA).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(gather, "doc_id long, key long, runs binary")
-    return found.groupBy("doc_id", "key").agg(F.first("runs").alias("runs"))
+    blobs = space.write(docs.mapInArrow(deal, BLOB), "anchors", BATCH_ROWS)
+    replies = blobs.where(f"bucket <> {OWN}").groupBy("bucket").applyInArrow(count, BLOB)
+    own = blobs.where(f"bucket = {OWN}")
+    found = own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(gather, "doc_id long, key long, runs binary")
+    found = space.write(found.groupBy("doc_id", "key").agg(F.first("runs").alias("runs")), "recurring-anchors")
+    space.drop(blobs)
+    return found
+
 
+def first_of_equal(raw: np.ndarray, begin: np.ndarray, windows: np.ndarray, length: int, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the stretches, position in it of the first with the same bytes).
 
-def first_of_equal(keys: list[np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by hash and then keys, position in it of the first with the same hash)."""
+    Equal ones stand together, by keys. Hashes bring them there; bytes decide.
+    """
+    end = begin + windows + length - 1
+    hashes = slice_hashes(raw, begin, end)
     order = np.lexsort((*reversed(keys), hashes))
+    at = np.arange(len(order))
     new = np.concatenate([[True], np.diff(hashes[order]) != 0]) if len(order) else np.zeros(0, bool)
-    return order, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    later, whole = np.flatnonzero(first != at), raw.tobytes()
+    own, head = order[later], order[first[later]]
+    ends = zip(begin[own].tolist(), end[own].tolist(), begin[head].tolist(), end[head].tolist(), strict=True)
+    same = np.fromiter((whole[a:b] == whole[c:d] for a, b, c, d in ends), bool, len(later))
+    first[later[~same]] = later[~same]  # equal hashes by chance: it stands for itself
+    return order, first
 
 
 def marked(texts: DataFrame, length: int, n_buckets: int, n_groups: int) -> DataFrame:
@@ -162,21 +153,20 @@ def marked(texts: DataFrame, length: int, n_buckets: int, n_groups: int) -> Data
         cuts = np.searchsorted(group[order], np.arange(n_groups + 1))
         for g in np.flatnonzero(np.diff(cuts)):
             mine = order[cuts[g] : cuts[g + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([int(g)], pa.int32()), pa.array([_packed(doc[mine], key[mine], start[mine], windows[mine])], pa.binary())], ["bucket", "group", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([int(g)], pa.int32()), pa.array([packed(doc[mine], key[mine], start[mine], windows[mine])], pa.binary())], ["bucket", "group", "payload"])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2 * SLICE_BYTES):
             raw, offsets = bytes_of(batch.column(2))
-            runs = [_unpacked(b) for b in batch.column(3).to_pylist()]
+            runs = [unpacked(b) for b in batch.column(3).to_pylist()]
             if not runs:
                 continue
             name, start, windows = (np.concatenate([r[k] for r in runs]) for k in range(3))
             n = [len(r[0]) for r in runs]
             doc, key = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in (0, 1))
             begin = np.repeat(offsets[:-1], n) + start
-            end = begin + windows + length - 1
             # Places of equal anchors in equal stretches agree, so equal bytes mean equal windows.
-            order, first = first_of_equal([doc, start], slice_hashes(raw, begin, end) ^ mix64(windows.astype(np.uint64)))
+            order, first = first_of_equal(raw, begin, windows, length, [doc, start])
             head = order[first]
             later = (doc[order] != doc[head]) | (start[order] != start[head])
             yield from emit(doc[order[later]], key[order[later]], start[order[later]], windows[order[later]])
@@ -186,18 +176,18 @@ def marked(texts: DataFrame, length: int, n_buckets: int, n_groups: int) -> Data
             cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 mine = sent[by[cuts[b] : cuts[b + 1]]]
-                blob = _packed(doc[mine], key[mine], start[mine], windows[mine], raw[gather_ranges(begin[mine], windows[mine] + length - 1)])
+                blob = packed(doc[mine], key[mine], start[mine], windows[mine], raw[gather_ranges(begin[mine], windows[mine] + length - 1)])
                 yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "group", "payload"])
 
     def sort(bucket: tuple, blobs: pa.Table) -> pa.Table:
         if bucket[0].as_py() < 0:  # marked already
             return blobs.select(["bucket", "group", "payload"])
         give_back()
-        unpacked = [_unpacked(p) for p in blobs["payload"].to_pylist()]
-        doc, key, start, windows, raw = (np.concatenate([u[k] for u in unpacked]) for k in range(5))
+        opened = [unpacked(p) for p in blobs["payload"].to_pylist()]
+        doc, key, start, windows, raw = (np.concatenate([u[k] for u in opened]) for k in range(5))
         ends = np.cumsum(windows + length - 1)
         begin = ends - (windows + length - 1)
-        order, first = first_of_equal([doc, start], slice_hashes(raw, begin, ends) ^ mix64(windows.astype(np.uint64)))
+        order, first = first_of_equal(raw, begin, windows, length, [doc, start])
         head = order[first]
         later = order[(doc[order] != doc[head]) | (start[order] != start[head])]
         kept = order[first == np.arange(len(first))]
@@ -226,33 +216,23 @@ def marked(texts: DataFrame, length: int, n_buckets: int, n_groups: int) -> Data
     return early.union(late)
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds spans
-    (array of removed (start, end) byte ranges) and kept (the remaining bytes).
-
-    A byte goes if it lies in a string of `length` bytes that also starts earlier: in a
-    document of smaller doc_id, or in the same one further left. Strings are judged on
-    the input; matches don't cross documents. A null text counts as empty. Rows with
-    equal doc_id count as one document: of equal strings at equal places in them,
-    neither is earlier. A null doc_id counts as smallest. No rows give none.
-    length is from GRAM + 1 to 128.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    summary = docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"), *(["text"] if with_text else []))
-    arrow_rows(docs.sparkSession, 2_000)
-    runs = written(recurring(docs, length, parts(docs, 6.0)), "recurring-anchors")
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "runs").hint("shuffle_hash")
-    texts = docs.join(runs, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "runs")
-    texts = written(texts, "recurring-texts")
+def changes(docs: DataFrame, length: int, space: Workspace, with_text: bool = False) -> DataFrame:
+    """A row per document that loses bytes: id, key, removed, n_spans, sha256, and with_text spans
+    and kept. docs: doc_id, key, text. All other tables of the workspace are dropped."""
+    docs = docs.select("doc_id", "key", "text")
+    runs = recurring(docs, length, parts(docs, 6.0), space)
+    found = runs.select(F.col("doc_id").alias("id"), F.col("key").alias("id_key"), "runs").hint("shuffle_hash")
+    texts = docs.join(found, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("id_key"))).select("doc_id", "key", "text", "runs")
+    texts = space.write(texts, "recurring-texts")
+    space.drop(runs)
     n_groups = parts(texts, 2.0)
-    marks = written(marked(texts, length, parts(texts, 0.5, 32), n_groups), "marked-windows")
+    marks = space.write(marked(texts, length, parts(texts, 0.5, 32), n_groups), "marked-windows", BATCH_ROWS)
 
     def cut(rows: pa.Table, marks_: pa.Table) -> pa.Table:
         give_back()
         columns: tuple[list, ...] = ([], [], [], [], [], [], [])
         if len(marks_):
-            blobs = [_unpacked(p) for p in marks_["payload"].to_pylist()]
+            blobs = [unpacked(p) for p in marks_["payload"].to_pylist()]
             doc, key, start, windows = (np.concatenate([b[k] for b in blobs]) for k in range(4))
             order = np.lexsort((start, key, doc))
             doc, key, start, windows = doc[order], key[order], start[order], windows[order]
@@ -275,35 +255,64 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return _table(["_id", "_key", "removed", "spans_n", "sha256", "spans", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()], list(columns))
+        return _table(["id", "id_key", "removed", "n_spans", "sha256", "spans", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()], list(columns))
 
     grouped = texts.select("doc_id", "key", "text", F.pmod("key", F.lit(n_groups)).cast("int").alias("group"))
-    done = grouped.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(cut, "_id long, _key long, removed long, spans_n long, sha256 string, spans array<struct<start:long,end:long>>, kept binary")
-    out = summary.join(done, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    columns = [F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")).alias("doc_id"), "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans_n", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha256", "whole_sha256").alias("kept_sha256")]
+    done = grouped.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(cut, "id long, id_key long, removed long, n_spans long, sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    done = space.write(done, "changed")
+    space.drop(texts, marks)
+    return done
+
+
+def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds spans
+    (array of removed (start, end) byte ranges) and kept (the remaining bytes).
+
+    A byte goes if it lies in a string of `length` bytes that also starts earlier: in a
+    document of smaller doc_id, or in the same one further left. Strings are judged on
+    the input; matches don't cross documents. A null text counts as empty. Rows with
+    equal doc_id count as one document: of equal strings at equal places in them,
+    neither is earlier. A null doc_id counts as smallest. No rows give none.
+    length is from GRAM + 1 to 128. Further columns are ignored.
+    """
+    rows = keyed(docs, id_col, text_col)
+    done = changes(rows, length, Workspace(docs.sparkSession, "suffixes"), with_text)
+    summary = rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"), *(["text"] if with_text else []))
+    out = summary.join(done, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("id_key")), "left")
+    columns = [F.when(F.col("doc_id") > NO_ID, F.col("doc_id")).alias("doc_id"), "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha256", "whole_sha256").alias("kept_sha256")]
     if with_text:
         columns += [F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("kept", F.encode("text", "UTF-8")).alias("kept")]
     return out.select(*columns)
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """doc_id (null: NO_ID), key (a hash of the text), text (null: empty), and more."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    return rows.withColumn("key", F.xxhash64("text"))
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeated strings cut from their texts, in docs' own columns.
+    """docs with repeated strings cut from their texts, in docs' own columns, whatever their names.
 
     Bytes of a character that a cut splits go as well. Documents of which nothing but
-    white space is left are dropped; those that had no text to begin with stay. Rows
-    with equal doc_id must have equal texts. n_chars, where there is one, is counted again.
+    white space is left are dropped; those that lost nothing stay as they are, empty ones
+    too. n_chars, where there is one, is counted again. Only texts that change are joined
+    back to their rows, by id and a hash of the text.
     """
-    cut = repeated_strings(docs, length, with_text=True).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_kept")).dropDuplicates(["_cut_id"])
+    rows = keyed(docs, "doc_id", "text", F.struct(*docs.columns).alias("row"))
+    done = changes(rows, length, Workspace(docs.sparkSession, "suffixes"), with_text=True).select("id", "id_key", "kept")
 
     @F.arrow_udf("string")
     def whole_characters(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for kept in batches:
             yield pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
 
-    rows = docs.join(cut.hint("shuffle_hash"), F.col("doc_id") == F.col("_cut_id"), "left")
-    rows = rows.withColumn("_rest", whole_characters("_kept")).where("_cut_id is null or trim(translate(_rest, '\\t\\n\\r', '   ')) <> ''")
-    rows = rows.withColumn("text", F.when(F.col("_cut_id").isNull(), F.col("text")).otherwise(F.col("_rest")))
+    done = done.select("id", "id_key", whole_characters("kept").alias("rest"))
+    out = rows.drop("text").join(done.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("id_key")), "left")
+    out = out.where(F.col("id").isNull() | (F.trim(F.translate("rest", "\t\n\x0b\x0c\r", "     ")) != ""))
+    text = F.when(F.col("id").isNull(), F.col("row.text")).otherwise(F.col("rest"))
+    row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut_id").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        n_chars = F.when(F.col("id").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        row = row.withField("n_chars", n_chars)
+    return out.select(row.alias("row")).select("row.*")

@@ -17,11 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import written
+from tessella.llm.common import Workspace
 from tessella.llm.graph import components, forest
+from tessella.llm.words import gather_ranges
 
 #: Vectors the codebooks are fitted on, at most about; members of a cell and label, about.
 TRAIN_ROWS, CELL_ROWS = 20_000, 64
@@ -91,50 +93,73 @@ class MultiIndex:
         return cls(index.first, index.second, min(visits, everything))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(b, np.float64) for b in column.to_pylist()])
+def unit_rows(vecs: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors in double precision from components of 4 bytes, where those are exact, or 8."""
+    out = np.empty((len(vecs), dim))
+    blobs = vecs.to_pylist()
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    for kind in (np.float32, np.float64):
+        rows = np.flatnonzero(sizes == dim * kind().itemsize)
+        out[rows] = np.frombuffer(b"".join(blobs[i] for i in rows), kind).reshape(len(rows), dim)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-PREPARED = "vec_id long, label int, dim int, key string, vec binary"
+PREPARED = "vec_id long, label string, dim int, key string, vec binary"
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Usable vectors as unit vectors in double precision, named by a digest of their components."""
+    """Usable vectors, named by a digest of their components: those with id and label, and a
+    finite length above 0."""
     for batch in batches:
-        found = []
-        for i, label, values in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if i is None or label is None or not values or any(v is None for v in values):
-                continue
-            x = np.array(values, np.float64) + 0.0
-            size = np.linalg.norm(x)
-            if np.isfinite(x).all() and size > 0 and np.isfinite(size):
-                found.append((i, label, len(x), hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest(), (x / size).tobytes()))
-        columns = list(zip(*found, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["vec_id", "label", "dim", "key", "vec"])
-
-
-def near_duplicates(vectors: DataFrame, least: float = 0.93, train_rows: int = TRAIN_ROWS, target: float = TARGET_RECALL) -> DataFrame:
+        ids, labels, lists = batch.column(0), batch.column(1), batch.column(2)
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat = pc.cast(lists.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # a null becomes NaN
+        named = pc.and_(ids.is_valid(), labels.is_valid()).to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes[named & (sizes > 0)]):
+            rows = np.flatnonzero(named & (sizes == dim))
+            x = flat[gather_ranges(starts[rows], sizes[rows])].reshape(len(rows), dim) + 0.0
+            with np.errstate(all="ignore"):
+                length = np.linalg.norm(x, axis=1)
+                short = x.astype(np.float32)
+            good = np.isfinite(length) & (length > 0)
+            rows, x, short = rows[good], x[good], short[good]
+            exact = (short == x).all(axis=1)
+            vecs = [(short[i] if exact[i] else x[i]).tobytes() for i in range(len(rows))]
+            keys = [hashlib.blake2b(v.tobytes(), digest_size=16).hexdigest() for v in x]
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([ids.take(at), labels.take(at), pa.array(np.full(len(rows), dim), pa.int32()), pa.array(keys, pa.string()), pa.array(vecs, pa.binary())], ["vec_id", "label", "dim", "key", "vec"])
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.93, train_rows: int = TRAIN_ROWS, target: float = TARGET_RECALL, cell_rows: int = CELL_ROWS) -> DataFrame:
     """A row per input row: vec_id, n_links, component_id, kept.
 
-    Vectors link if their labels are equal and their cosine is at least `least`;
-    n_links counts the other vectors linked directly (copies one by one), component_id
-    is the smallest vec_id reachable, kept whether that is the row's own. A vector
-    that is null, empty or zero, or holds a null or non-finite component, or whose
+    Vectors link if their labels (of any type) are equal and their cosine is at least
+    `least`; n_links counts the other vectors linked directly (copies one by one),
+    component_id is the smallest vec_id reachable, kept whether that is the row's own. A
+    vector that is null, empty or zero, or holds a null or non-finite component, or whose
     label is null, links with nothing; so does a row without vec_id (component null,
-    kept false). Vectors of different lengths don't link. No rows give none.
+    kept false). Vectors of different lengths don't link. No rows give none. Further
+    columns are ignored.
+
+    The grid is as fine as the largest label needs for cells of about cell_rows. Members
+    and queries travel in single precision where that is exact, and are compared in
+    double precision.
     """
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), "embedding")
-    usable = written(vectors.mapInArrow(_prepare, PREPARED), "vectors")
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
+    space = Workspace(vectors.sparkSession, "vectors")
     group = ["label", "dim", "key"]
-    reps = written(usable.groupBy(*group).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "distinct-vectors")
-    n, n_labels = reps.count(), max(1, reps.select("label").distinct().count())
-    k = max(2, int(np.ceil(np.sqrt(n / n_labels / CELL_ROWS))))
+    usable = space.write(vectors.mapInArrow(_prepare, PREPARED), "usable")
+    reps = space.write(usable.groupBy(*group).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "distinct")
+    keys = space.write(usable.select("vec_id", *group), "keys")
+    space.drop(usable)
+    n, largest = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    k = max(2, int(np.ceil(np.sqrt(largest / cell_rows))))
     share = min(1.0, train_rows / max(n, 1))
     sample = reps.where(F.pmod(F.xxhash64(F.lit(6), "key"), F.lit(1 << 30)) < int(share * (1 << 30)) if share < 1 else F.lit(True))
     sample = sample.select("key", "dim", "vec").limit(2 * train_rows).toArrow().sort_by("key")
     dims = np.array(sample["dim"].to_pylist(), int)
-    indexes = {int(d): MultiIndex.fit(_matrix(sample.filter(pa.array(dims == d))["vec"]), k, least, target) for d in np.unique(dims) if d > 1}
+    indexes = {int(d): MultiIndex.fit(unit_rows(sample.filter(pa.array(dims == d))["vec"], int(d)), k, least, target) for d in np.unique(dims) if d > 1}
     held = vectors.sparkSession.sparkContext.broadcast(indexes)  # 2 k half-centroids for each length in the bounded sample
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,18 +171,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, train_rows: int = T
                 if index is None:
                     cells, visited = np.zeros(n_rows, np.int32), np.zeros((n_rows, 1), np.int32)
                 else:
-                    x = _matrix(rows.column("vec"))
+                    x = unit_rows(rows.column("vec"), int(d))
                     cells, visited = index.cells(x), index.visited(x)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(visited.ravel()), visited.shape[1]).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("rep", "label", "dim", "copies", "vec")), pa.array(cells), lists], ["rep", "label", "dim", "copies", "vec", "cell", "visited"])
 
-    placed = reps.select("rep", "label", "dim", "copies", "vec").mapInArrow(assign, "rep long, label int, dim int, copies long, vec binary, cell int, visited array<int>")
-    placed = written(placed, "cells")
+    placed = reps.select("rep", "label", "dim", "copies", "vec").mapInArrow(assign, "rep long, label string, dim int, copies long, vec binary, cell int, visited array<int>")
+    placed = space.write(placed, "cells")
     cell = ["label", "dim", "cell"]
     queries = placed.select("rep", "label", "dim", "copies", "vec", F.col("cell").alias("home"), F.explode("visited").alias("cell"))
     blocks = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks"))
     visits = queries.select(*cell).groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
-    grid = written(blocks.join(visits, cell), "cell-blocks")
+    grid = space.write(blocks.join(visits, cell), "cell-blocks")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         """Rows with a block of their own side, once for each block of the other side."""
@@ -171,21 +196,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, train_rows: int = T
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, counts, u, v = [], [], [], []
         if len(left) and len(right):
-            y, y_rep, y_copies = _matrix(right["vec"]), right["rep"].to_numpy(), right["copies"].to_numpy()
-            y_seen, y_cell = right["visited"].combine_chunks(), right["cell"].to_numpy()
-            seen_at, seen = y_seen.offsets.to_numpy(), y_seen.flatten().to_numpy()
+            dim = right["dim"][0].as_py()
+            y, y_rep, y_copies = unit_rows(right["vec"], dim), right["rep"].to_numpy(), right["copies"].to_numpy()
+            seen = right["visited"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)  # all of a dim visit equally many
             for at in range(0, len(left), BLOCK):
                 part = left.slice(at, BLOCK)
-                x_rep, x_copies, home = part["rep"].to_numpy(), part["copies"].to_numpy(), part["home"].to_numpy()
+                x, x_rep, x_copies, home = unit_rows(part["vec"], dim), part["rep"].to_numpy(), part["copies"].to_numpy(), part["home"].to_numpy()
                 for below in range(0, len(y), BLOCK):
-                    i, j = np.nonzero(_matrix(part["vec"]) @ y[below : below + BLOCK].T >= least)
+                    i, j = np.nonzero(x @ y[below : below + BLOCK].T >= least)
                     j += below
                     other = x_rep[i] != y_rep[j]
                     i, j = i[other], j[other]
                     # The other direction counts for itself if the member visits the query's cell as well.
                     mutual = np.zeros(len(i), bool)
-                    for t in range(int(np.diff(seen_at).max(initial=0))):
-                        mutual |= seen[np.minimum(seen_at[j] - seen_at[0] + t, len(seen) - 1)] == home[i]
+                    for column in seen.T:
+                        mutual |= column[j] == home[i]
                     rows += [x_rep[i], y_rep[j[~mutual]]]
                     counts += [y_copies[j], x_copies[i[~mutual]]]
                     u.append(x_rep[i])
@@ -201,11 +226,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, train_rows: int = T
 
     key = [*cell, "m", "q"]
     found = asked.groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(verify, "rep long, links long, to long")
-    found = written(found, "vector-links")
+    found = space.write(found, "links")
+    space.drop(placed, grid)
+    names = space.write(reps.select(*group, "rep", "copies"), "names")
+    space.drop(reps)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.where("rep <> to").select(F.col("rep").alias("u"), F.col("to").alias("v")))
-    answers = reps.select(*group, "rep", "copies").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    groups = components(found.where("rep <> to").select(F.col("rep").alias("u"), F.col("to").alias("v")), space)
+    answers = names.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     answers = answers.select(*group, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    joined = usable.select("vec_id", *group).join(answers, group).select("vec_id", "links", "component")
+    joined = keys.join(answers, group).select("vec_id", "links", "component")
     whole = joined.unionByName(vectors.select("vec_id").exceptAll(joined.select("vec_id")).withColumns({"links": F.lit(0).cast("long"), "component": F.col("vec_id")}))
     return whole.select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +14,25 @@ import pyarrow.compute as pc
 #: From so many bytes on, an array has pages of its own, which go back to the system when it is freed.
 OWN_PAGES = 4 << 20
 _MMAP_THRESHOLD = -3  # mallopt's name for it in the GNU C library
-_LIBC = ctypes.CDLL(None)
-if hasattr(_LIBC, "mallopt") and hasattr(_LIBC, "malloc_trim"):
-    # Python workers live on between stages; else the library would raise this bound and keep what arrays leave.
-    _LIBC.mallopt(_MMAP_THRESHOLD, OWN_PAGES)
+
+
+@cache
+def _c_library() -> ctypes.CDLL | None:
+    """The C library of a worker, told once that large arrays get pages of their own: workers live on
+    between stages, and the library would else raise this bound and keep what arrays leave."""
+    library = ctypes.CDLL(None)
+    if not (hasattr(library, "mallopt") and hasattr(library, "malloc_trim")):
+        return None
+    library.mallopt(_MMAP_THRESHOLD, OWN_PAGES)
+    return library
 
 
 def give_back() -> None:
-    """Returns memory that is free by now to the system."""
+    """For workers: returns memory that is free by now to the system."""
+    library = _c_library()
     pa.default_memory_pool().release_unused()
-    if hasattr(_LIBC, "malloc_trim"):
-        _LIBC.malloc_trim(0)
+    if library:
+        library.malloc_trim(0)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -164,8 +173,17 @@ SLICE_BYTES = 4_000_000
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Each batch in stretches of about `size` bytes, the same ones whenever it is read."""
+    give_back()
     for batch in batches:
         step = max(1, len(batch) * size // max(batch.nbytes, 1))
         for at in range(0, len(batch), step):
             yield batch.slice(at, step)
             give_back()
+
+
+def array_slices(values: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """An array in stretches of about `size` bytes."""
+    step = max(1, len(values) * size // max(values.nbytes, 1))
+    for at in range(0, len(values), step):
+        yield values.slice(at, step)
+        give_back()

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import graph, ngram_join, suffix_array, suffix_dedup, vectors
+from tessella.llm.common import Workspace
 from tests.llm.corpus import empty, frame, prose, rows
 
 
@@ -27,9 +28,9 @@ def test_components(spark):
     linked = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)]
     links = spark.createDataFrame(linked + [(None, 1)], "u long, v long").repartition(5)
     want = groups(400, linked)
-    got = {r.node: r.component for r in graph.components(links).collect()}
+    got = {r.node: r.component for r in graph.components(links, Workspace(spark, "test")).collect()}
     assert got == {i: want[i] for i in range(400) if want[i] != i}
-    assert graph.components(links.where("false")).count() == 0
+    assert graph.components(links.where("false"), Workspace(spark, "test")).count() == 0
 
 
 def shingles(text, k):
