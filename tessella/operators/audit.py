@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import n_words, slug, strip, tokens, without_scripts, without_tags
 from tessella.operators.pages import SEVERITIES, severity_rank
-from tessella.sources.staging import checkpointed
+from tessella.sources.staging import checkpointed, small_table
 
 # Fixed value: weights of the five specialists in a health score.
 WEIGHTS = {"technical": 30, "content": 30, "schema": 15, "media": 10, "ai": 15}
@@ -57,31 +57,60 @@ def sitemap_gate(urls: DataFrame, fetched: DataFrame) -> DataFrame:
     return rows.select("url", reason.alias("reason")).where("reason is not null")
 
 
-def keyword_clusters(results: DataFrame, least: int = 3, depth: int = 10) -> DataFrame:
+#: Keywords of one URL that are paired at once.
+PAIR_BLOCK = 1_000
+
+
+def keyword_clusters(results: DataFrame, least: int = 3, depth: int = 10, block: int = PAIR_BLOCK) -> DataFrame:
     """(a, b, shared) of keywords that share at least `least` of their first `depth` results.
 
-    results: (keyword, rank, url). A URL's keywords are paired by a join on url, which is
-    as long as its list is short: at most `depth` URLs for each keyword.
+    results: (keyword, rank, url). A pair that shares `least` URLs also shares one of the
+    first depth - least + 1 of its keywords' URLs, rarest first; only those propose pairs.
+    So a URL that very many keywords rank for is in few prefixes, and its list is cut
+    into blocks that meet pair by pair, not in one task. Proposed pairs are then counted
+    over the whole lists of their two keywords.
     """
-    top = results.where(F.col("rank") <= depth).select("keyword", "url").distinct()
-    a, b = top.alias("a"), top.alias("b")
-    pairs = a.join(b, (F.col("a.url") == F.col("b.url")) & (F.col("a.keyword") < F.col("b.keyword"))).groupBy(F.col("a.keyword").alias("a"), F.col("b.keyword").alias("b")).agg(F.count("*").alias("shared"))
-    return pairs.where(F.col("shared") >= least)
+    top = checkpointed(results.where((F.col("rank") <= depth) & F.col("keyword").isNotNull() & F.col("url").isNotNull()).select("keyword", "url").distinct())
+    held = top.groupBy("url").agg(F.count("*").alias("n"))
+    lists = top.join(held, "url").groupBy("keyword").agg(F.sort_array(F.collect_list(F.struct("n", "url"))).alias("list"))  # at most `depth` each
+    urls = F.transform("list", lambda e: e["url"])
+    lists = checkpointed(lists.where(F.size("list") >= least).select("keyword", urls.alias("urls")))
+    prefix = lists.select("keyword", "urls", F.explode(F.slice("urls", F.lit(1), F.size("urls") - least + 1)).alias("url"))
+    cuts = prefix.groupBy("url").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("url", "of")
+    prefix = prefix.join(cuts, F.col("url") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("keyword"), F.col("blocks")).cast("int"))
+    # Each pair of blocks of a list meets once: in the block pair (smaller, larger).
+    sent = prefix.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("url", "keyword", "urls", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    a, b = sent.alias("a"), sent.select(*[F.col(c).alias(c) for c in sent.columns]).alias("b")
+    meet = (F.col("a.url") == F.col("b.url")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.keyword") < F.col("b.keyword"))
+    apart = (F.col("a.own") != F.col("b.own")) | (F.col("a.i") == F.col("a.j"))
+    shared = F.array_intersect("a.urls", "b.urls")
+    # Of the URLs two keywords share, the rarest proposes the pair; the others stay silent.
+    found = a.join(b, meet & apart).where((F.size(shared) >= least) & (F.get(shared, F.lit(0)) == F.col("a.url")))
+    return found.select(F.col("a.keyword").alias("a"), F.col("b.keyword").alias("b"), F.size(shared).cast("long").alias("shared"))
 
 
 def cluster_ids(pairs: DataFrame) -> DataFrame:
     """(keyword, cluster) of the connected groups of pairs (a, b), named by their first keyword.
 
-    Each round takes the smallest label among neighbours; labels are checkpointed.
+    Large and small stars in turn: each keyword's neighbours are pointed at the first one
+    it knows, until nothing changes; a chain takes rounds by the logarithm of its length.
     """
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    now = checkpointed(both.groupBy(F.col("a").alias("keyword")).agg(F.least(F.min("b"), F.first("a")).alias("cluster")))
+    ordered = pairs.where("a is not null and b is not null and a <> b")
+    now = checkpointed(ordered.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = None
     while True:
-        near = both.join(now, F.col("b") == F.col("keyword")).groupBy("a").agg(F.min("cluster").alias("seen"))
-        new = checkpointed(now.join(near, F.col("keyword") == F.col("a")).select("keyword", F.least("cluster", "seen").alias("cluster")))
-        if new.exceptAll(now).isEmpty():
-            return new
-        now = new
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if seen == mark or not seen[0]:
+            firsts = now.select(F.col("v").alias("keyword"), F.col("v").alias("cluster")).distinct()
+            return now.select(F.col("u").alias("keyword"), F.col("v").alias("cluster")).union(firsts)
+        mark = seen
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = large.join(least, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        now = checkpointed(small.union(least.select("u", F.col("low").alias("v"))).distinct())
 
 
 def intents(keywords: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
@@ -234,9 +263,12 @@ def metric_change(metrics: DataFrame) -> DataFrame:
 
 
 def page_overrides(master: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page, token, value): a page's own value, else the master's. master: (token, value)."""
-    names = pages.select("page").distinct()
-    grid = names.join(F.broadcast(master), how="cross")  # a master sheet is a fixed handful of tokens
+    """(page, token, value): a page's own value, else the master's. master: (token, value).
+
+    The master sheet travels to every page as one array, of a checked size.
+    """
+    sheet = small_table(master.select("token", "value"), "a master sheet").agg(F.collect_list(F.struct("token", "value")).alias("sheet"))
+    grid = pages.select("page").distinct().join(F.broadcast(sheet), how="cross").select("page", F.inline("sheet"))  # one row
     own = pages.select("page", "token", F.col("value").alias("own"))
     return grid.join(own, ["page", "token"], "left").select("page", "token", F.coalesce("own", "value").alias("value"))
 

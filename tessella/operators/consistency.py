@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.text import strip
+from tessella.sources.staging import small_table
+
 
 def dangling_references(files: DataFrame, pattern: str = r"scripts[\\/][A-Za-z0-9_.\\/-]+\.py") -> DataFrame:
     """(path, ref) of paths that files mention and that are no file: an anti-join."""
@@ -23,16 +26,25 @@ def unrecorded(files: DataFrame, ledger: DataFrame, like: str = "%.py") -> DataF
 
 
 def denied_names(files: DataFrame, names: DataFrame) -> DataFrame:
-    """(path, name) of names (a short list, name) that occur in a file, in equal case."""
-    listed = F.broadcast(names.agg(F.collect_set("name").alias("names")))  # one row
+    """(path, name) of names (a list of a checked size, name) that occur in a file, in equal case."""
+    listed = F.broadcast(small_table(names, "a list of names").agg(F.collect_set("name").alias("names")))  # one row
     rows = files.join(listed, how="cross").select("path", F.explode(F.filter("names", lambda n: F.contains("content", n))).alias("name"))
     return rows
 
 
 def wrong_counts(files: DataFrame, claims: DataFrame) -> DataFrame:
-    """(claim, claimed, actual) where a claim (claim, claimed, like) differs from the number of paths like it."""
-    counted = claims.join(files.select("path"), F.expr("path like `like`"), "left").groupBy("claim", "claimed").agg(F.count("path").alias("actual"))
-    return counted.where("claimed <> actual")
+    """(claim, claimed, actual) where a claim (claim, claimed, like) differs from the number of paths like it.
+
+    The claims, a list of a checked size, go to the files as one array; each file names
+    the claims it counts for, and these are summed map-side.
+    """
+    small = small_table(claims, "a list of claims")
+    listed = F.broadcast(small.agg(F.collect_list(F.struct("claim", "like")).alias("claims")))  # one row
+    like = lambda path, pattern: F.call_function("like", path, pattern)
+    hits = files.join(listed, how="cross").select(F.explode(F.filter("claims", lambda c: like(F.col("path"), c["like"]))).alias("hit"))
+    counts = hits.groupBy("hit.claim").agg(F.count("*").alias("n")).withColumnRenamed("claim", "of")
+    rows = small.select("claim", "claimed").join(counts, F.col("claim") == F.col("of"), "left")
+    return rows.select("claim", "claimed", F.coalesce("n", F.lit(0).cast("long")).alias("actual")).where("claimed <> actual")
 
 
 def stale_versions(files: DataFrame, current: str) -> DataFrame:
@@ -60,3 +72,31 @@ def passed_checks(reports: DataFrame) -> DataFrame:
     rows = reports.where(F.regexp_like("content", F.lit(r"\d+/\d+ checks passed"))).select("path", F.split(last, "/").alias("p"))
     rows = rows.select("path", F.col("p")[0].cast("int").alias("passed"), F.col("p")[1].cast("int").alias("total"))
     return rows.withColumn("all_passed", F.col("passed") == F.col("total"))
+
+
+def floating_versions(files: DataFrame, names: str = r"(^|/)\.mcp\.json$", mark: str = "@latest") -> DataFrame:
+    """(path) of configurations, by name, that pin no version."""
+    return files.where(F.regexp_like("path", F.lit(names)) & F.contains("content", F.lit(mark))).select("path")
+
+
+def manifest_faults(projects: DataFrame) -> DataFrame:
+    """(project, fault) of projects (project, manifest: JSON, licence: text of the licence file).
+
+    no_homepage, no_repository; placeholder_license: none declared, or a placeholder;
+    license_mismatch: MIT is declared and the file isn't it; license_short: another one
+    is declared and the file, trimmed, has at most 400 characters. What isn't JSON, or
+    null, declares nothing; a null licence is empty.
+    """
+    field = lambda name: F.coalesce(F.get_json_object("manifest", f"$.{name}"), F.lit(""))
+    declared, text = F.upper(strip(field("license"))), F.coalesce("licence", F.lit(""))
+    # What stands for no licence.
+    hollow = (declared == "") | F.contains(declared, F.lit("SEE LICENSE")) | F.contains(declared, F.lit("PLACEHOLDER"))
+    faults = {
+        "no_homepage": field("homepage") == "",
+        "no_repository": field("repository") == "",
+        "placeholder_license": hollow,
+        "license_mismatch": (declared == "MIT") & ~F.contains(text, F.lit("MIT License")),
+        "license_short": ~hollow & (declared != "MIT") & (F.length(strip(text)) <= 400),
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in faults.items()]))
+    return projects.select("project", F.explode(found).alias("fault"))

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 # For each type, the properties it must and should have.
 SPEC = {
-    "Organization": ("name url", "logo sameAs contactPoint"),
-    "LocalBusiness": ("name address", "telephone geo openingHoursSpecification priceRange image url"),
-    "Article": ("headline author datePublished", "image dateModified publisher"),
-    "Product": ("name image", "description brand offers aggregateRating review sku gtin"),
-    "BreadcrumbList": ("itemListElement", ""),
-    "FAQPage": ("mainEntity", ""),
-    "Event": ("name startDate location", "endDate offers performer image eventStatus"),
-    "Person": ("name", "url image sameAs jobTitle"),
-    "WebSite": ("name url", "potentialAction"),
-    "Review": ("itemReviewed reviewRating author", "datePublished publisher"),
-    "VideoObject": ("name description thumbnailUrl uploadDate", "duration contentUrl embedUrl"),
+    "Organization": (["name", "url"], ["logo", "sameAs", "contactPoint"]),
+    "LocalBusiness": (["name", "address"], ["telephone", "geo", "openingHoursSpecification", "priceRange", "image", "url"]),
+    "Article": (["headline", "author", "datePublished"], ["image", "dateModified", "publisher"]),
+    "Product": (["name", "image"], ["description", "brand", "offers", "aggregateRating", "review", "sku", "gtin"]),
+    "BreadcrumbList": (["itemListElement"], []),
+    "FAQPage": (["mainEntity"], []),
+    "Event": (["name", "startDate", "location"], ["endDate", "offers", "performer", "image", "eventStatus"]),
+    "Person": (["name"], ["url", "image", "sameAs", "jobTitle"]),
+    "WebSite": (["name", "url"], ["potentialAction"]),
+    "Review": (["itemReviewed", "reviewRating", "author"], ["datePublished", "publisher"]),
+    "VideoObject": (["name", "description", "thumbnailUrl", "uploadDate"], ["duration", "contentUrl", "embedUrl"]),
 }
 # Types that come with a note, and those whose rich results are deprecated.
 NOTED = ("Article", "Product", "BreadcrumbList", "WebSite")
@@ -27,12 +27,12 @@ CONTEXT = "https://schema.org"
 
 def spec_table(spark: SparkSession) -> DataFrame:
     """(type, property, kind) of every required and recommended property."""
-    rows = [(t, p, k) for t, both in SPEC.items() for k, names in zip(("required", "recommended"), both, strict=True) for p in names.split()]
+    rows = [(t, p, k) for t, both in SPEC.items() for k, names in zip(("required", "recommended"), both, strict=True) for p in names]
     return spark.createDataFrame(rows, "type string, property string, kind string")
 
 
 def _spec_map(kind: int) -> Column:
-    return F.create_map(*[x for t, both in SPEC.items() for x in (F.lit(t), F.array(*map(F.lit, both[kind].split())) if both[kind] else F.array().cast("array<string>"))])
+    return F.create_map(*[x for t, both in SPEC.items() for x in (F.lit(t), F.array(*map(F.lit, both[kind])) if both[kind] else F.array().cast("array<string>"))])
 
 
 def blocks(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -41,6 +41,17 @@ def blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select("url", F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).alias("pos", "json"))
 
 
+def parsed(objects: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, pos, v, fields, type), a row per object of a cell, which holds one or a list of them;
+    text that isn't JSON gives a row without v. A list of types stands for its first."""
+    v = F.try_parse_json(json)
+    listed = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    rows = objects.select(key, F.posexplode_outer(listed).alias("pos", "v")).withColumn("pos", F.coalesce("pos", F.lit(0)))
+    rows = rows.withColumn("fields", F.try_variant_get("v", "$", "map<string,string>"))
+    kind = F.coalesce(F.try_variant_get("v", '$["@type"][0]', "string"), F.when(~F.coalesce(F.schema_of_variant(F.try_variant_get("v", '$["@type"]', "variant")).startswith("ARRAY"), F.lit(False)), F.try_variant_get("v", '$["@type"]', "string")))
+    return rows.withColumn("type", kind)
+
+
 def validate(objects: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
     """(key, pos, type, missing_required, missing_recommended, warnings, ok), a row per object.
 
@@ -49,12 +60,7 @@ def validate(objects: DataFrame, key: str = "id", json: str = "json") -> DataFra
     '', [] or {}; 0 and false are values. A recommended one only if absent. A list of
     types stands for its first. Types without a spec only get a warning.
     """
-    v = F.try_parse_json(json)
-    listed = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
-    rows = objects.select(key, F.posexplode_outer(listed).alias("pos", "v")).withColumn("pos", F.coalesce("pos", F.lit(0)))
-    rows = rows.withColumn("fields", F.try_variant_get("v", "$", "map<string,string>"))
-    kind = F.coalesce(F.try_variant_get("v", '$["@type"][0]', "string"), F.when(~F.coalesce(F.schema_of_variant(F.try_variant_get("v", '$["@type"]', "variant")).startswith("ARRAY"), F.lit(False)), F.try_variant_get("v", '$["@type"]', "string")))
-    rows = rows.withColumn("type", kind)
+    rows = parsed(objects, key, json)
     value = lambda p: F.try_element_at("fields", p)
     known = F.array_contains(F.array(*map(F.lit, SPEC)), F.col("type"))
     required = F.coalesce(F.try_element_at(_spec_map(0), F.col("type")), F.array().cast("array<string>"))
@@ -74,14 +80,14 @@ def validate(objects: DataFrame, key: str = "id", json: str = "json") -> DataFra
 
 
 def missing(objects: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
-    """(key, type, property, kind) of each property an object lacks: an anti-join with the spec table."""
-    spec = spec_table(objects.sparkSession)
-    v = F.try_parse_json(json)
-    rows = objects.select(key, F.try_variant_get(v, '$["@type"]', "string").alias("type"), F.try_variant_get(v, "$", "map<string,string>").alias("fields"))
-    wanted = rows.join(F.broadcast(spec), "type").select(key, "type", "property", "kind")  # a fixed table of some 60 rows
-    has = rows.select(F.col(key).alias("_k"), F.explode("fields").alias("_p", "_v"))
-    hollow = (F.col("kind") == "required") & F.coalesce(F.col("_v").isin("", "[]", "{}"), F.lit(True))
-    return wanted.join(has, (F.col(key) == F.col("_k")) & (F.col("property") == F.col("_p")) & ~hollow, "left_anti")
+    """(key, pos, type, property, kind) of each property an object lacks, a row for each: an
+    anti-join with the spec table. Cells and types are read as `validate` reads them."""
+    rows = parsed(objects, key, json).select(key, "pos", "type", "fields")
+    wanted = rows.join(F.broadcast(spec_table(objects.sparkSession)), "type").select(key, "pos", "type", "property", "kind")  # a fixed table of some 60 rows
+    has = rows.select(F.col(key).alias("has_key"), F.col("pos").alias("has_pos"), F.explode("fields").alias("name", "value"))
+    hollow = (F.col("kind") == "required") & F.coalesce(F.col("value").isin("", "[]", "{}"), F.lit(True))
+    same = F.col(key).eqNullSafe(F.col("has_key")) & (F.col("pos") == F.col("has_pos")) & (F.col("property") == F.col("name"))
+    return wanted.join(has, same & ~hollow, "left_anti")
 
 
 def generate(items: DataFrame, type_col: str = "type", data_col: str = "data") -> DataFrame:
@@ -105,4 +111,4 @@ def unresolved_ids(objects: DataFrame, key: str = "url", json: str = "json") ->
 
 def list_spec(spark: SparkSession) -> DataFrame:
     """(type, required, recommended) as text."""
-    return spark.createDataFrame([(t, ", ".join(r.split()), ", ".join(c.split())) for t, (r, c) in SPEC.items()], "type string, required string, recommended string")
+    return spark.createDataFrame([(t, ", ".join(r), ", ".join(c)) for t, (r, c) in SPEC.items()], "type string, required string, recommended string")

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: the language codes that count as valid.
-LANGUAGES = """aa ab af am ar as az be bg bn bs ca cs cy da
-de el en es et eu fa fi fr ga gl gu he hi hr
-hu hy id is it ja ka kk km kn ko lt lv mk ml
-mr ms mt nb ne nl no pa pl ps pt ro ru sk sl
-sq sr sv sw ta te th tl tr uk ur vi zh""".split()
+LANGUAGES = [
+    "aa", "ab", "af", "am", "ar", "as", "az", "be", "bg", "bn", "bs", "ca", "cs", "cy", "da", "de",
+    "el", "en", "es", "et", "eu", "fa", "fi", "fr", "ga", "gl", "gu", "he", "hi", "hr", "hu", "hy",
+    "id", "is", "it", "ja", "ka", "kk", "km", "kn", "ko", "lt", "lv", "mk", "ml", "mr", "ms", "mt",
+    "nb", "ne", "nl", "no", "pa", "pl", "ps", "pt", "ro", "ru", "sk", "sl", "sq", "sr", "sv", "sw",
+    "ta", "te", "th", "tl", "tr", "uk", "ur", "vi", "zh",
+]
 
 
 def code_fault(code: str | Column) -> Column:

@@ -77,8 +77,8 @@ def snapshot(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """(url, ord, element, severity, old, new) of tracked elements that differ between two
-    snapshots, joined on url. Null (absent) and '' differ. A change of word count below
-    15 % of a count above 0 is noise. Sort by severity_rank, ord."""
+    snapshots, joined on url; `appeared` has the pages of one only. Null (absent) and '' differ. A change of word count below
+    15 % of a count above 0 is noise. by_severity sorts them."""
     pairs = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(k).alias("element"), F.lit(s).alias("severity"), F.col(f"b.{k}").cast("string").alias("old"), F.col(f"a.{k}").cast("string").alias("new"))
         for i, (k, s) in enumerate(TRACKED.items())
@@ -91,6 +91,19 @@ def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     return changed.withColumn("severity", F.when(F.coalesce(escalated, F.lit(False)), "critical").otherwise(F.col("severity")))
 
 
+def by_severity(changes: DataFrame) -> DataFrame:
+    """Changes from the gravest on, within a page in the order of its elements."""
+    return changes.orderBy("url", severity_rank("severity"), "ord")
+
+
+def appeared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(url, ord, element, severity, old, new) of pages that only one of two snapshots has: element
+    `page`, removed (high) or added (info), as drift reports the pages that both have."""
+    rows = before.select(F.col("url").alias("old")).join(after.select(F.col("url").alias("new")), F.col("old") == F.col("new"), "full")
+    rows = rows.where("old is null or new is null").select(F.coalesce("old", "new").alias("url"), F.lit(-1).alias("ord"), F.lit("page").alias("element"), F.when(F.col("new").isNull(), "high").otherwise("info").alias("severity"), "old", "new")
+    return rows.where("url is not null")
+
+
 def drift_summary(changes: DataFrame) -> DataFrame:
     """(url, changed, worst) of each page that changed."""
     rank = F.min(severity_rank("severity"))

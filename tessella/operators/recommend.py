@@ -1,7 +1,7 @@
 """Design recommendation: each request against small libraries, by token overlap.
 
 Libraries (products, styles, palettes, fonts, rules) are tables with row_idx, their file
-order; on equal scores the earlier row wins. A library of at most LIBRARY_ROWS rows
+order; on equal scores the earlier row wins. A library of at most SMALL_ROWS rows
 travels to every request as one array, so requests, however many, are never shuffled;
 the bound is checked when the array is built.
 """
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import listed, tokens
+from tessella.sources.staging import small_table
 
-LIBRARY_ROWS = 10_000
 # Corner radius, shadow and motion of the styles that have their own, and of the rest.
 EFFECTS = {
     "minimal": ("6px", "subtle (0 1px 2px rgba(0,0,0,.06))", "150ms ease-out"),
@@ -26,14 +26,19 @@ EFFECTS = {
 }
 DEFAULT_EFFECT = ("8px", "medium (0 4px 12px rgba(0,0,0,.08))", "200ms ease-out")
 PATTERN, SECTIONS, STYLE = "hero-centric", "hero;value;social-proof;features;cta", "minimal"
-CHECKLIST = ["One primary call to action in a view", "Value stated above the fold", "Body text contrast of 4.5 to 1 or more", "Touch targets of 44 by 44 pixels or more", "Core web vitals within target"]
+# What is checked before delivery where no rules are on file.
+CHECKLIST = [
+    "One primary CTA per view",
+    "Value proposition visible without scrolling",
+    "Body text contrast >= 4.5:1",
+    "Tap targets >= 44x44 px",
+    "LCP < 2.5s, CLS < 0.1, INP < 200ms",
+]
 
 
 def library(rows: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     """One row with `lib`: all rows in order, each with its cells and token sets (by name in fields)."""
-    n = rows.count()
-    if n > LIBRARY_ROWS:
-        raise ValueError(f"a library holds at most {LIBRARY_ROWS} rows, not {n}")
+    rows = small_table(rows, "a library")
     sets = [tokens(*columns).alias(name) for name, columns in fields.items()]
     return rows.agg(F.sort_array(F.collect_list(F.struct("row_idx", F.struct(*[c for c in rows.columns if c != "row_idx"]).alias("row"), *sets))).alias("lib"))
 
@@ -117,7 +122,7 @@ def checklist(rules: DataFrame | None, requests: DataFrame) -> DataFrame:
     """requests with checklist: rules of priority critical or high in file order, or the fixed five."""
     if rules is None:
         return requests.withColumn("checklist", F.array(*map(F.lit, CHECKLIST)))
-    one = rules.where(F.col("priority").isin("critical", "high")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "rule"))), lambda s: s["rule"]).alias("lib"))
+    one = small_table(rules, "a list of rules").where(F.col("priority").isin("critical", "high")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "rule"))), lambda s: s["rule"]).alias("lib"))
     return beside(requests, one, "checklist")
 
 
@@ -145,3 +150,26 @@ def compose(requests: DataFrame, products: DataFrame | None = None, styles: Data
         "fallbacks": F.array_compact(F.array(*said)),
     })
     return checklist(rules, rows)
+
+
+def human_view(designs: DataFrame, palette: bool = True, typography: bool = True) -> DataFrame:
+    """designs (as compose gives them) with view: the design as lines of text for people.
+
+    Parts that are null are left out; palette and typography say whether the design has
+    the columns of those libraries.
+    """
+    f = F.col
+    lines = [
+        F.concat(F.lit("DESIGN SYSTEM: "), F.coalesce("product_type", F.lit("")), F.lit(" / "), F.coalesce("industry", F.lit(""))),
+        F.concat(F.lit("Pattern: "), f("pattern")),
+        F.concat(F.lit("Style: "), f("style_name"), F.coalesce(F.concat(F.lit(", "), f("style.summary")), F.lit(""))),
+        F.concat(F.lit("Palette: "), f("palette.name")),
+        *([F.concat_ws("  ", *[F.concat(F.lit(f"  {c} "), f(f"palette.{c}")) for c in ("primary", "secondary", "accent", "bg", "surface", "text")])] if palette else []),
+        *([F.concat(F.lit("Type: "), f("typography.heading_font"), F.lit(" / "), f("typography.body_font"))] if typography else []),
+        F.concat(F.lit("Effects: radius "), f("effects.radius"), F.lit(" | shadow "), f("effects.shadow"), F.lit(" | motion "), f("effects.motion")),
+        F.concat(F.lit("Sections: "), F.array_join("key_sections", ", ")),
+        F.when(F.size("anti_patterns") > 0, F.concat(F.lit("Avoid: "), F.array_join("anti_patterns", ", "))),
+    ]
+    listed_ = lambda c, mark: F.transform(c, lambda x: F.concat(F.lit(mark), x))
+    whole = F.concat(F.array_compact(F.array(*lines)), listed_("checklist", "  [ ] "), listed_("fallbacks", "  ! "))
+    return designs.withColumn("view", F.array_join(whole, "\n"))

@@ -19,6 +19,8 @@ LABELS = {"social-proof": "Social proof", "faq": "FAQ", "cta": "Call to action"}
 CARD_SECTIONS = ["features", "services", "collection"]
 LIMITS = {"wordpress": None, "ghl": 5_000_000, "webflow": 50_000, "wix": None, "framer": None, "squarespace": None, "carrd": None, "generic": None}
 IMAGE_BYTES = 200_000
+# Colours of a page whose palette leaves them open.
+DEFAULT_COLOURS = {"primary": "#2c61dd", "secondary": "#6954d4", "accent": "#ea832e", "bg": "#ffffff", "surface": "#f4f5f7", "text": "#1a1d24", "on_primary": "#ffffff"}
 
 
 def colour_pairs(palette: str = "palette") -> Column:
@@ -84,12 +86,13 @@ def section_html(s: Column) -> Column:
 
 
 def pages(designs: DataFrame) -> DataFrame:
-    """designs with page: one HTML document of our own plain template."""
+    """designs with page: one HTML document of our own plain template; open colours, fonts, radius
+    and motion get defaults."""
     sections = F.when(F.size("key_sections") > 0, F.col("key_sections")).otherwise(F.array(*map(F.lit, ("hero", "features", "cta"))))
     rest = F.filter(sections, lambda s: s != "hero")
     nav = F.array_join(F.transform(rest, lambda s: F.concat(F.lit('<a href="#'), section_id(s), F.lit('">'), escaped(label(s)), F.lit("</a>"))), "\n")
     body = F.array_join(F.transform(rest, section_html), "\n")
-    colours = F.array_join(F.transform(colour_pairs(), lambda p: F.format_string("--%s:%s;", p["name"], p["value"])), "")
+    colours = F.concat(*[F.concat(F.lit(f"--{c.replace('_', '-')}:"), F.coalesce(_filled(f"palette.{c}"), F.lit(default)), F.lit(";")) for c, default in DEFAULT_COLOURS.items()])
     style = F.concat(F.lit("<style>:root{"), colours, F.lit("--radius:"), F.coalesce(_filled("effects.radius"), F.lit("8px")), F.lit(";--motion:"), F.coalesce(_filled("effects.motion"), F.lit("200ms ease-out")), F.lit("}body{margin:0;background:var(--bg);color:var(--text);font-family:"), F.coalesce(_filled("typography.body_font"), F.lit("system-ui")), F.lit("}h1,h2,h3{font-family:"), F.coalesce(_filled("typography.heading_font"), F.lit("system-ui")), F.lit("}.button{background:var(--primary);color:var(--on-primary);border-radius:var(--radius)}</style>"))
     title = escaped(F.coalesce(_filled("product_type"), F.lit("Landing page")))
     page = F.concat_ws("\n", F.lit('<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">'), F.concat(F.lit("<title>"), title, F.lit("</title>")), font_link(), style, F.lit("</head>\n<body>\n<nav>"), nav, F.lit('</nav>\n<main>\n<section id="hero"><h1></h1></section>'), body, F.lit("</main>\n</body>\n</html>"))

@@ -54,6 +54,14 @@ def blocked(files: DataFrame, source: str = "audit") -> DataFrame:
     return rows.select(pairs["site"], "kind", "bot", F.coalesce("own.blocks", "star.blocks", F.lit(False)).alias("blocked"), "mentioned")
 
 
+def citation(files: DataFrame) -> DataFrame:
+    """(site, kind, blocked, mentioned): by kind of crawler, the names of the citation list that
+    may not crawl the site and those its file names, in the order of the list, comma-separated."""
+    order = F.create_map(*[x for (s, _), names in BOTS.items() if s == "citation" for i, b in enumerate(names) for x in (F.lit(b), F.lit(i))])
+    listed = lambda when: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(when), F.struct(order[F.col("bot")], "bot")))), lambda e: e["bot"]), ",")
+    return blocked(files, "citation").groupBy("site", "kind").agg(listed("blocked").alias("blocked"), listed("mentioned").alias("mentioned"))
+
+
 def policy(files: DataFrame) -> DataFrame:
     """(site, policy, bots, has_sitemap): blocks_training, mentions_only or silent."""
     per = blocked(files).groupBy("site").agg(

@@ -305,8 +305,8 @@ def jsonld_validate(spark, sf_dir):
     return found.select("id", "type", *[F.array_join(c, ",").alias(c) for c in ("missing_required", "missing_recommended", "warnings")], "ok")
 
 
-@query("jsonld_missing", """SELECT id, type, unnest(string_split(r, ',')) AS property, 'required' AS kind FROM (VALUES (2, 'Article', 'headline,author,datePublished'), (3, 'Event', 'location'), (5, 'Product', 'image')) AS t(id, type, r)
-UNION ALL SELECT id, type, unnest(string_split(r, ',')), 'recommended' FROM (VALUES (1, 'Article', 'image,dateModified,publisher'), (2, 'Article', 'image,dateModified,publisher'), (3, 'Event', 'endDate,offers,performer,image,eventStatus'), (4, 'Person', 'url,image,sameAs,jobTitle'), (5, 'Product', 'description,brand,offers,aggregateRating,review,sku,gtin')) AS t(id, type, r)""")
+@query("jsonld_missing", """SELECT id, CAST(0 AS INTEGER) AS pos, type, unnest(string_split(r, ',')) AS property, 'required' AS kind FROM (VALUES (2, 'Article', 'headline,author,datePublished'), (3, 'Event', 'location'), (5, 'Product', 'image')) AS t(id, type, r)
+UNION ALL SELECT id, CAST(0 AS INTEGER), type, unnest(string_split(r, ',')), 'recommended' FROM (VALUES (1, 'Article', 'image,dateModified,publisher'), (2, 'Article', 'image,dateModified,publisher'), (3, 'Event', 'endDate,offers,performer,image,eventStatus'), (4, 'Person', 'url,image,sameAs,jobTitle'), (5, 'Product', 'description,brand,offers,aggregateRating,review,sku,gtin')) AS t(id, type, r)""")
 def jsonld_missing(spark, sf_dir):
     return jsonld.missing(spark.sql(X.JSONLD))
 
@@ -496,4 +496,4 @@ def cyclic_nodes(spark, sf_dir):
     return audit.cyclic_nodes(edges).where("node <> 'a'")
 
 
-from tessella.plans import more  # noqa: E402, F401  registers further queries
+from tessella.plans import derived, more  # noqa: E402, F401  register further queries

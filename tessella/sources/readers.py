@@ -13,10 +13,17 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt_record"
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """utf-8 if every file's bytes are valid UTF-8, else iso-8859-1, to be mended by `cp1252`; decided on the executors."""
-    bad = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1)
-    return "iso-8859-1" if bad.count() else "utf-8"
+def shape_of(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, whether quoted cells span lines) of delimited files, from one pass over their lines.
+
+    utf-8 if every line's bytes are valid UTF-8, else iso-8859-1, to be mended by `cp1252`.
+    A line with an odd number of quotes begins or ends a cell that spans lines; only then
+    must a file be read as a whole, by one task.
+    """
+    lines = spark.read.text(path)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    found = lines.agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(odd).alias("spans")).first()
+    return "iso-8859-1" if found["valid"] is False else "utf-8", bool(found["spans"])
 
 
 def _cp1252() -> tuple[str, str]:
@@ -25,9 +32,9 @@ def _cp1252() -> tuple[str, str]:
     return "".join(a for a, c in pairs if c), "".join(c for _, c in pairs)
 
 
-def header_of(spark: SparkSession, path: str, encoding: str, sep: str = ",") -> list[str]:
+def header_of(spark: SparkSession, path: str, encoding: str, spans: bool, sep: str = ",") -> list[str]:
     """Names in the first record, a byte-order mark removed."""
-    first = spark.read.option("encoding", encoding).option("sep", sep).option("multiLine", True).option("header", False).csv(path).limit(1).collect()
+    first = spark.read.option("encoding", encoding).option("sep", sep).option("multiLine", spans).option("header", False).csv(path).limit(1).collect()
     names = [str(v) if v is not None else "" for v in first[0]] if first else []
     names = [n.removeprefix("\ufeff") for n in names]
     return names if encoding == "utf-8" else [n.translate(str.maketrans(*_cp1252())) for n in names]
@@ -36,10 +43,10 @@ def header_of(spark: SparkSession, path: str, encoding: str, sep: str = ",") ->
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, list[str], list[str]]:
     """(table of strings, raw header, warnings). Of equal headers the last column holds. Short
     rows get nulls; rows of another length are kept and counted by `ragged`."""
-    encoding = encoding_of(spark, path)
-    header = header_of(spark, path, encoding, sep)
+    encoding, spans = shape_of(spark, path)
+    header = header_of(spark, path, encoding, spans, sep)
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] + [T.StructField(CORRUPT, T.StringType())]
-    raw = spark.read.schema(T.StructType(fields)).option("encoding", encoding).option("sep", sep).option("multiLine", True).option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    raw = spark.read.schema(T.StructType(fields)).option("encoding", encoding).option("sep", sep).option("multiLine", spans).option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     last = {name: i for i, name in enumerate(header)}
     warnings = [f"duplicate column: {n}" for n in sorted({h for h in header if header.count(h) > 1})]
     if encoding != "utf-8":
@@ -102,10 +109,41 @@ def read_assets(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("content")).alias("data_uri"))
 
 
-def read_fetched(spark: SparkSession, path: str) -> DataFrame:
+# Bytes after which a page audit and a citation check stop reading.
+AUDIT_BYTES, CITATION_BYTES = 2_000_000, 500_000
+
+
+def read_fetched(spark: SparkSession, path: str, most_bytes: int = AUDIT_BYTES) -> DataFrame:
     """A table of responses (url, status, headers, body) that a crawler wrote; bodies over
-    2,000,000 characters are cut there, as a live fetch would stop."""
-    return spark.read.parquet(path).withColumn("body", F.substring("body", 1, 2_000_000))
+    most_bytes are cut there, as a live fetch would stop (a character that the cut splits
+    becomes a replacement character)."""
+    raw = F.substring(F.encode("body", "UTF-8"), 1, most_bytes)
+    cut = F.make_valid_utf8(raw.cast("string"))
+    return spark.read.parquet(path).withColumn("body", F.when(F.octet_length("body") > most_bytes, cut).otherwise(F.col("body")))
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """A baseline that write_snapshot left, or None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+
+
+#: Struct of a design's JSON, as compose gives it.
+DESIGN = (
+    "product_type string, industry string, pattern string, style struct<name:string,summary:string>, "
+    "palette struct<name:string,primary:string,secondary:string,accent:string,bg:string,surface:string,text:string,on_primary:string,success:string,warning:string,error:string>, "
+    "typography struct<heading_font:string,body_font:string>, effects struct<radius:string,shadow:string,motion:string>, "
+    "key_sections array<string>, anti_patterns array<string>, checklist array<string>, fallbacks array<string>"
+)
+
+
+def read_designs(spark: SparkSession, source: str) -> DataFrame:
+    """Design results (a row per JSON object of a file or of the argument itself), typed for the sinks."""
+    return read_json(spark, source).select(F.from_json("json", DESIGN).alias("d")).select("d.*")
 
 
 def probe(spark: SparkSession, tools: list[str], variables: list[str]) -> DataFrame:

@@ -26,8 +26,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_texts(df: DataFrame, path: str, text: str, name: str) -> None:
-    """A folder for each name with its text as one file: pages, sheets, bundles, sitemaps."""
-    df.select(F.col(name).cast("string").alias("name"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\x00").text(path)
+    """A folder for each name with its text as one file, ended by a newline: pages, sheets, bundles, sitemaps."""
+    value = F.regexp_replace(F.col(text), "\n$", "")
+    df.select(F.col(name).cast("string").alias("name"), value.alias("value")).write.mode("overwrite").partitionBy("name").text(path)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

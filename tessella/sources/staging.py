@@ -1,18 +1,48 @@
-"""Where intermediate tables go: the folder the cluster shares."""
+"""Where intermediate tables go, the folder the cluster shares; and what may travel to every task."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or for a local session without one a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tessella-")
+    return root
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, which goes when Spark ends."""
+    path = f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    parent = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = parent.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(parent)
+    store.deleteOnExit(parent)
+    return f"{path}/files"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint; a local session without a folder gets one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not folder and not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessella-"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
+
+
+#: Rows of a table that every row of another is set beside.
+SMALL_ROWS = 10_000
+
+
+def small_table(rows: DataFrame, what: str) -> DataFrame:
+    """rows, once their number is known to be small enough to travel to every task."""
+    n = rows.limit(SMALL_ROWS + 1).count()
+    if n > SMALL_ROWS:
+        raise ValueError(f"{what} holds at most {SMALL_ROWS} rows")
+    return rows

@@ -263,3 +263,62 @@ def test_comparisons(spark):
 
 def test_tokens(spark):
     assert spark.sql("SELECT 'A-b' x, CAST(NULL AS STRING) y, 'B é c2' z").select(tokens("x", "y", "z").alias("t")).first().t == ["a", "b", "c2"]
+
+
+def test_a_million_urls_stay_whatever_the_order(spark):
+    urls = spark.range(1_000_000).select(F.xxhash64("id").alias("idx"), F.concat(F.lit("https://a.test/"), "id").alias("url"), F.lit(1).alias("slice"), F.lit(2).alias("n"))
+    got = sitemap.chunked(urls.repartition(7), "idx").groupBy("chunk").agg(F.count("*").alias("rows"), F.min("position").alias("a"), F.max("position").alias("b"), F.min("idx").alias("low"), F.max("idx").alias("high")).orderBy("chunk").collect()
+    assert [r.rows for r in got] == [50_000] * 20 and all((r.a, r.b) == ((r.chunk - 1) * 50_000, r.chunk * 50_000 - 1) for r in got)
+    assert all(x.high < y.low for x, y in zip(got, got[1:]))
+    held = sitemap.documents(urls.limit(120_000), "idx").select(F.explode(F.regexp_extract_all("xml", F.lit("<loc>([^<]*)"), F.lit(1))).alias("u"))
+    assert held.agg(F.count("*"), F.count_distinct("u")).first() == (120_000, 120_000)
+
+
+def test_keyword_clusters_against_all_pairs(spark):
+    rnd = random.Random(4)
+    lists = {f"k{i:03}": rnd.sample([f"u{j}" for j in range(25)], rnd.randint(1, 9)) + ["everywhere"] for i in range(80)}
+    rows = [(k, r + 1, u) for k, us in lists.items() for r, u in enumerate(us)] + [("k000", 1, "everywhere"), (None, 1, "u1"), ("k001", 2, None)]
+    results = spark.createDataFrame(rows, "keyword string, rank int, url string")
+    for block in (1_000, 7):
+        got = {(r.a, r.b): r.shared for r in audit.keyword_clusters(results, 3, 10, block).collect()}
+        want = {(a, b): len(set(lists[a]) & set(lists[b])) for a in lists for b in lists if a < b}
+        assert got == {p: n for p, n in want.items() if n >= 3}
+
+
+def test_cluster_ids_of_a_long_chain(spark):
+    pairs = [(f"w{i:03}", f"w{i + 1:03}") for i in range(60)] + [("y", "x"), ("z", "z"), (None, "a")]
+    got = {r.keyword: r.cluster for r in audit.cluster_ids(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {f"w{i:03}": "w000" for i in range(61)} | {"x": "x", "y": "x"}
+    assert audit.cluster_ids(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_files_are_read_whole_only_where_quotes_span_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"x,y\n1,caf\xe9\n")
+    (tmp_path / "b.csv").write_text('x,y\n1,"two\nlines"\n2,z\n')
+    assert readers.shape_of(spark, str(tmp_path / "a.csv")) == ("iso-8859-1", False)
+    assert readers.shape_of(spark, str(tmp_path / "b.csv")) == ("utf-8", True)
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "b.csv"))[0].select("x", "y").collect()] == [("1", "two\nlines"), ("2", "z")]
+    assert readers.read_csv(spark, str(tmp_path / "a.csv"))[0].first().y == "café"
+
+
+def test_tables_beside_every_row_have_a_checked_size(spark):
+    from tessella.sources import staging
+
+    assert staging.small_table(spark.range(10), "a list").count() == 10
+    with pytest.raises(ValueError):
+        audit.page_overrides(spark.range(staging.SMALL_ROWS + 1).selectExpr("cast(id as string) token", "'v' value"), spark.sql("select 'p' page, 't' token, 'v' value"))
+
+
+def test_pages_that_come_and_go(spark):
+    before, after = spark.createDataFrame([("a",), ("b",)], "url string"), spark.createDataFrame([("b",), ("c",)], "url string")
+    assert {(r.url, r.severity) for r in pages.appeared(before, after).collect()} == {("a", "high"), ("c", "info")}
+
+
+def test_designs_for_people_and_from_json(spark):
+    from tessella.plans import fixtures as X
+    from tessella.plans import registry
+
+    view = recommend.human_view(registry._designs(spark).withColumn("typography", F.lit(None).cast("struct<heading_font:string,body_font:string>")), palette=False).orderBy("id").first().view
+    assert view.startswith("DESIGN SYSTEM: Shop / retail") and "Style: bold" in view and "  [ ] " in view and "  ! " in view and X.REQUESTS
+    design = readers.read_designs(spark, '[{"product_type":"p","palette":{"primary":"#000000"},"key_sections":["hero"]}]')
+    assert "--primary:#000000;--secondary:#6954d4;" in render.pages(design).first().page
