@@ -1,10 +1,11 @@
 """Token ids in shard files, each one wavelet matrix.
 
 A wavelet matrix stores ids as bit-planes, from the highest bit down; after each
-plane, ids are dealt stably by that bit. With counts of ones before every 512th bit,
-single planes answer rank and select, and together they give the id at a place, how
-often an id occurs in a stretch, and where its k-th occurrence is, from the file
-alone. The document index (ids and lengths) stands in the same file.
+plane, ids are dealt stably by that bit. Planes are cut into blocks that are compressed
+one by one, and the ones before each block stand in the file beside them. So rank and
+select on a plane open a block each, and together they give the id at a place, how often
+an id occurs in a stretch, and where its k-th occurrence is, straight from the compressed
+file. The document index (ids and lengths) stands in the same file.
 
 Shards are ranges of documents in ascending order. A shard is one row (name, counts,
 bytes) of a Parquet table, so Spark's committers write it, whatever the store, and a
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import PieceEncoder
-from tessella.llm.common import arrow_rows, parts, scratch
-from tessella.llm.words import gather_ranges, segment_sum, split_words
-
-MAGIC = b"WVM1"
-#: Bits between two stored counts of ones, and tokens of a shard, about.
-STEP, SHARD_TOKENS = 512, 4_000_000
+from tessella.llm.common import Workspace, parts, settings
+from tessella.llm.words import gather_ranges, give_back, segment_sum, split_words
+
+MAGIC = b"WVM2"
+#: Bits of a block, and tokens of a shard, about.
+BLOCK_BITS, SHARD_TOKENS = 1 << 16, 4_000_000
+BLOCK_BYTES = BLOCK_BITS // 8
+#: Shards (rows) in an Arrow batch.
+SHARDS_AT_ONCE = 4
+#: Opened blocks that a reader keeps.
+HELD_BLOCKS = 64
 #: Bytes of text that are encoded at once, about.
 BATCH_BYTES = 16_000_000
 
@@ -40,44 +47,81 @@ KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(
 
 
 class WaveletMatrix:
-    """Ids below 2^bits, with rank and select on every plane."""
+    """Ids below 2^bits in a compressed file (bytes), with rank and select on every plane.
 
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray], doc_ids: np.ndarray, doc_lengths: np.ndarray):
-        self.n, self.bits, self.planes = n, bits, planes
-        self.doc_ids, self.doc_lengths = doc_ids, doc_lengths
-        self.ones = []
-        for plane in planes:
-            counts = np.bitwise_count(plane.reshape(-1, STEP // 8)).sum(axis=1, dtype=np.int64)
-            self.ones.append(np.concatenate([[0], np.cumsum(counts)]))
-        self.zeros = [n - int(c[-1]) for c in self.ones]
+    File: MAGIC, length of a JSON head, head, a directory of 64-bit numbers, and the
+    compressed blocks. The directory holds, level by level, the ones before each block
+    (and in all), then where each block ends; behind the planes' blocks come document ids
+    and document lengths, each one block.
+    """
+
+    def __init__(self, blob: bytes):
+        if blob[:4] != MAGIC:
+            raise ValueError("not a wavelet matrix file")
+        size = int.from_bytes(blob[4:8], "little")
+        head = json.loads(blob[8 : 8 + size])
+        self.n, self.bits, self.n_blocks = head["n"], head["bits"], head["blocks"]
+        at = 8 + size
+        directory = np.frombuffer(blob, "<i8", self.bits * (self.n_blocks + 1) + self.bits * self.n_blocks + 2, at)
+        self.ones = directory[: self.bits * (self.n_blocks + 1)].reshape(self.bits, self.n_blocks + 1)
+        self.zeros = [self.n - int(c[-1]) for c in self.ones]
+        self.ends = directory[self.ones.size :]
+        self.body = memoryview(blob)[at + directory.nbytes :]
+        self.opened = 0
+        self._block = lru_cache(HELD_BLOCKS)(self._open)
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int, doc_ids: np.ndarray, doc_lengths: np.ndarray) -> WaveletMatrix:
         """From ids in order; doc_lengths cut them into documents."""
-        planes, now, width = [], np.ascontiguousarray(ids, np.uint32 if bits > 16 else np.uint16), -(-len(ids) // STEP) * (STEP // 8)
+        now, n_blocks = np.ascontiguousarray(ids, np.uint32 if bits > 16 else np.uint16), -(-len(ids) // BLOCK_BITS)
+        pack, parts, counts = zstandard.ZstdCompressor(level=1).compress, [], []
         for bit in reversed(range(bits)):
-            ones = ((now >> now.dtype.type(bit)) & now.dtype.type(1)).astype(bool)
-            plane = np.zeros(width, np.uint8)
-            packed = np.packbits(ones, bitorder="little")
-            plane[: len(packed)] = packed
-            planes.append(plane)
+            ones = (now & now.dtype.type(1 << bit)).astype(bool)
+            plane = np.zeros(n_blocks * BLOCK_BYTES, np.uint8)
+            bytes_ = np.packbits(ones, bitorder="little")
+            plane[: len(bytes_)] = bytes_
+            per_block = np.bitwise_count(plane.view(np.uint64)).reshape(n_blocks, BLOCK_BITS // 64).sum(axis=1, dtype=np.int64)
+            counts.append(np.concatenate([[0], np.cumsum(per_block)]))
+            parts += [pack(plane[at : at + BLOCK_BYTES].tobytes()) for at in range(0, len(plane), BLOCK_BYTES)]
             now = np.concatenate([now[~ones], now[ones]])
-        return cls(len(ids), bits, planes, doc_ids, doc_lengths)
+        parts += [pack(doc_ids.astype("<i8").tobytes()), pack(doc_lengths.astype("<i8").tobytes())]
+        directory = np.concatenate([*counts, np.cumsum([len(p) for p in parts])]).astype("<i8")
+        head = json.dumps({"n": len(ids), "bits": bits, "blocks": n_blocks}).encode()
+        return cls(MAGIC + len(head).to_bytes(4, "little") + head + directory.tobytes() + b"".join(parts))
+
+    def to_bytes(self) -> bytes:
+        return bytes(self.body.obj)
+
+    def _open(self, k: int) -> np.ndarray:
+        """The k-th part of the file, decompressed."""
+        self.opened += 1
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.body[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])]), np.uint8)
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._block(self.bits * self.n_blocks).view("<i8")
+
+    @property
+    def doc_lengths(self) -> np.ndarray:
+        return self._block(self.bits * self.n_blocks + 1).view("<i8")
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        whole, plane = i // STEP, self.planes[level]
-        at = whole * (STEP // 8)
-        count = int(self.ones[level][whole]) + int(np.bitwise_count(plane[at : i // 8]).sum())
-        return count + (int(plane[i // 8] & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0)
+        k, rest = divmod(i, BLOCK_BITS)
+        count = int(self.ones[level, k])
+        if rest:
+            block = self._block(level * self.n_blocks + k)
+            count += int(np.bitwise_count(block[: rest // 8]).sum())
+            count += (int(block[rest // 8]) & ((1 << rest % 8) - 1)).bit_count() if rest % 8 else 0
+        return count
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Place of the k-th (from 0) such bit of a plane."""
         ones = self.ones[level]
-        before = ones if bit else np.arange(len(ones)) * STEP - ones
+        before = ones if bit else np.arange(len(ones)) * BLOCK_BITS - ones
         block = int(np.searchsorted(before, k, "right")) - 1
-        bits = np.unpackbits(self.planes[level][block * (STEP // 8) : (block + 1) * (STEP // 8)], bitorder="little")
-        return block * STEP + int(np.flatnonzero(bits == bit)[k - int(before[block])])
+        bits = np.unpackbits(self._block(level * self.n_blocks + block), bitorder="little")
+        return block * BLOCK_BITS + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -85,7 +129,8 @@ class WaveletMatrix:
             raise IndexError(i)
         value = 0
         for level in range(self.bits):
-            bit = int(self.planes[level][i // 8]) >> i % 8 & 1
+            k, rest = divmod(i, BLOCK_BITS)
+            bit = int(self._block(level * self.n_blocks + k)[rest // 8]) >> rest % 8 & 1
             value = value << 1 | bit
             ones = self._rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
@@ -118,33 +163,16 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: planes from the last to the first, each undoing one deal."""
-        bits = [np.unpackbits(p, count=self.n, bitorder="little").astype(bool) for p in self.planes]
         now = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
         for level in reversed(range(self.bits)):
-            ones, zeros = bits[level], self.zeros[level]
-            back = np.empty_like(now)
-            back[~ones] = now[:zeros]
-            back[ones] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - level))
+            plane = [self._open(level * self.n_blocks + k) for k in range(self.n_blocks)]
+            bits = np.unpackbits(np.concatenate(plane) if plane else np.zeros(0, np.uint8), count=self.n, bitorder="little").view(bool)
+            zeros, back = self.zeros[level], np.empty_like(now)
+            back[~bits] = now[:zeros]
+            back[bits] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - level))
             now = back
         return now
 
-    def to_bytes(self) -> bytes:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        parts = [pack(p.tobytes()) for p in self.planes] + [pack(self.doc_ids.astype("<i8").tobytes()), pack(self.doc_lengths.astype("<i8").tobytes())]
-        head = json.dumps({"n": self.n, "bits": self.bits, "docs": len(self.doc_ids), "parts": [len(p) for p in parts]}).encode()
-        return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(parts)
-
-    @classmethod
-    def from_bytes(cls, blob: bytes) -> WaveletMatrix:
-        if blob[:4] != MAGIC:
-            raise ValueError("not a wavelet matrix file")
-        size = int.from_bytes(blob[4:8], "little")
-        head, at, parts = json.loads(blob[8 : 8 + size]), 8 + size, []
-        for n in head["parts"]:
-            parts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + n]), np.uint8))
-            at += n
-        return cls(head["n"], head["bits"], parts[:-2], parts[-2].view("<i8"), parts[-1].view("<i8"))
-
 
 class BatchEncoder:
     """Ids of whole texts for vocabularies that drop white space; each distinct word of a batch
@@ -168,7 +196,6 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
     follow one another, shorter texts first; null ids come first. No rows, no shard.
     A shard closes once it holds shard_tokens; one document is never cut.
     """
-    arrow_rows(docs.sparkSession, 10_000)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     size = max(json.loads(vocabulary)["model"]["vocab"].values())
     bits = int(max([size, end_id, *(t["id"] for t in json.loads(vocabulary)["added_tokens"])])).bit_length()
@@ -205,7 +232,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = docs.repartitionByRange(parts(docs, 12.0), "doc_id").sortWithinPartitions("doc_id", F.octet_length("text"), "text")
-    ordered.mapInArrow(shards, "shard string, first_doc long, last_doc long, n_docs long, n_tokens long, payload binary").write.parquet(path)
+    with settings(docs.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        ordered.mapInArrow(shards, "shard string, first_doc long, last_doc long, n_docs long, n_tokens long, payload binary").write.parquet(path)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -219,13 +247,15 @@ def read_documents(shards: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                matrix = WaveletMatrix.from_bytes(blob.as_py())
+                matrix = WaveletMatrix(blob.as_py())
                 ids = matrix.decode().astype("<u4")
-                ends = np.cumsum(matrix.doc_lengths)
-                starts = ends - matrix.doc_lengths
+                doc_ids, lengths = matrix.doc_ids, matrix.doc_lengths
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
-                names = pa.array(matrix.doc_ids, pa.int64(), mask=matrix.doc_ids == np.iinfo(np.int64).min)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(sums), pa.string()), names, pa.array(starts), pa.array(matrix.doc_lengths), pa.array(sums, pa.int64())], ["shard", "doc_id", "within", "n_tokens", "ids_crc32"])
+                names = pa.array(doc_ids, pa.int64(), mask=doc_ids == np.iinfo(np.int64).min)
+                give_back()
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(sums), pa.string()), names, pa.array(starts), pa.array(lengths), pa.array(sums, pa.int64())], ["shard", "doc_id", "within", "n_tokens", "ids_crc32"])
 
     before = Window.orderBy("first_doc", "last_doc", "shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = shards.select("shard", "first_doc", "last_doc", "n_tokens").select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
@@ -234,7 +264,9 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Writes docs to fresh shards in the shared folder and reads them back."""
-    path = scratch(docs.sparkSession, "token-shards")
+    """Writes docs to fresh shards in the shared folder and reads them back. The shards go when
+    Spark ends; write_shards leaves files that stay."""
+    space = Workspace(docs.sparkSession, "token-shards")
+    path = f"{space.path}/shards"
     write_shards(docs, path, vocabulary, end_id, shard_tokens)
-    return read_documents(docs.sparkSession.read.parquet(path))
+    return space.write(read_documents(docs.sparkSession.read.parquet(path)), "documents", SHARDS_AT_ONCE)

@@ -91,17 +91,27 @@ def test_bpe_round_trip(spark, vocabularies):
 def test_wavelet_matrix_answers():
     ids = np.random.default_rng(0).integers(0, 300, 3000)
     ids[::7] = 5
-    m = token_files.WaveletMatrix.from_bytes(token_files.WaveletMatrix.build(ids, 9, np.arange(2), np.array([1000, 2000])).to_bytes())
+    m = token_files.WaveletMatrix(token_files.WaveletMatrix.build(ids, 9, np.arange(2), np.array([1000, 2000])).to_bytes())
     assert (m.decode() == ids).all() and [m.access(i) for i in range(0, 3000, 61)] == ids[::61].tolist()
     at = np.flatnonzero(ids == 5)
     assert [m.occurrence(5, k) for k in range(len(at))] == at.tolist() and m.occurrence(5, len(at)) == -1
     assert m.count(5, 100, 900) == ((at >= 100) & (at < 900)).sum() and m.count(511) == 0 and m.count(1 << 12) == 0
-    none = token_files.WaveletMatrix.from_bytes(token_files.WaveletMatrix.build(np.zeros(0, int), 9, np.zeros(0, int), np.zeros(0, int)).to_bytes())
+    none = token_files.WaveletMatrix(token_files.WaveletMatrix.build(np.zeros(0, int), 9, np.zeros(0, int), np.zeros(0, int)).to_bytes())
     assert len(none.decode()) == 0 and none.count(1) == 0
     with pytest.raises(IndexError):
         m.access(3000)
 
 
+def test_wavelet_answers_open_few_blocks():
+    ids = np.random.default_rng(1).integers(0, 500, 1_000_000)
+    blob = token_files.WaveletMatrix.build(ids, 9, np.arange(1), np.array([len(ids)])).to_bytes()
+    at = np.flatnonzero(ids == 77)
+    for ask, want in ((lambda m: m.access(654_321), ids[654_321]), (lambda m: m.count(77, 1000, 900_000), ((at >= 1000) & (at < 900_000)).sum()), (lambda m: m.occurrence(77, 1500), at[1500])):
+        m = token_files.WaveletMatrix(blob)
+        assert ask(m) == want
+        assert m.opened <= 3 * m.bits < m.bits * m.n_blocks
+
+
 def test_token_files(spark, vocabularies):
     from tokenizers import Tokenizer
 
