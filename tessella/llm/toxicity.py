@@ -28,7 +28,11 @@ LOG_ODDS, LEAST_TEXTS, STEM = 1.5, 3, 5
 #: Words between a lexicon word and a second person that count as near.
 NEAR = 3
 # Second-person words of English, German, French and Spanish.
-SECOND_PERSON = "you your yours yourself du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos ti usted ustedes vosotros".split()
+SECOND_PERSON = [
+    "you", "your", "yours", "yourself", "du", "dich", "dir", "dein", "deine",
+    "ihr", "euch", "euer", "tu", "te", "toi", "ton", "ta", "tes",
+    "vous", "votre", "vos", "ti", "usted", "ustedes", "vosotros",
+]
 # Signs that stand for letters in obfuscated spellings.
 DISGUISE = {"@": "a", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "!": "i", "*": "", "_": "", ".": "", "-": ""}
 
@@ -121,7 +125,7 @@ class Tree:
         return self.value[at - len(self.feature)]
 
 
-def grow(bins: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, least: float = 2.0, ridge: float = 1.0) -> Tree:
+def grow(bins: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, least: float = 1.0, ridge: float = 1.0) -> Tree:
     """A tree on binned features that fits gradients g and curvatures h, level by level."""
     inner = 2**depth - 1
     feature, cut, at = np.zeros(inner, int), np.full(inner, np.inf), np.zeros(len(g), int)
@@ -165,11 +169,14 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
     return base, trees
 
 
-def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: knots of a non-decreasing map from z to the mean of y."""
+def isotonic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators: knots of a non-decreasing map from z to the weighted mean of y.
+    Equal z are one point."""
+    points, back = np.unique(z, return_inverse=True)
+    sums, weights = np.bincount(back, weight * y), np.bincount(back, weight)
     blocks: list[list[float]] = []
-    for a, b in sorted(zip(z, y, strict=True)):
-        blocks.append([b, 1, a, a])
+    for at, total, w in zip(points.tolist(), sums.tolist(), weights.tolist(), strict=True):
+        blocks.append([total, w, at, at])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1][0] += s
@@ -196,37 +203,46 @@ class ToxicityModel:
         return 0.99 * np.interp(z, *self.knots) + 0.01 * raw if len(self.knots[0]) else raw
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 11) -> ToxicityModel:
-    """Half of the rows for the lexicon, three tenths for the trees, a fifth for calibration.
+def train(texts: list[str], y: np.ndarray, weight: np.ndarray | None = None, seed: int = 11) -> ToxicityModel:
+    """Half of each label's rows for the lexicon, three tenths for the trees, a fifth for calibration.
 
-    With rows of one label only, the score is that label's smoothed rate for every text.
+    weight: how many rows each stands for, which the calibration takes account of. With rows of one label only, the score is that
+    label's smoothed rate for every text.
     """
+    weight = np.ones(len(y)) if weight is None else weight
     if len(set(y.tolist())) < 2:
         return ToxicityModel(Lexicon(), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), [], (np.zeros(0), np.zeros(0)))
     order = np.random.default_rng(seed).permutation(len(y))
-    a, b, c = np.split(order, [len(y) // 2, len(y) * 4 // 5])
+    parts = [np.split(own, [len(own) // 2, len(own) * 4 // 5]) for own in (order[y[order] == 0], order[y[order] > 0])]
+    a, b, c = (np.concatenate(both) for both in zip(*parts, strict=True))
     lexicon = learn_lexicon([texts[i] for i in a], y[a])
     base, trees = boost(features(pa.array([texts[i] for i in b], pa.large_string()), lexicon), y[b])
     model = ToxicityModel(lexicon, base, trees, (np.zeros(0), np.zeros(0)))
     if not len(c):
         return model
-    return ToxicityModel(lexicon, base, trees, isotonic(model.margin(pa.array([texts[i] for i in c], pa.large_string())), y[c]))
+    margin = model.margin(pa.array([texts[i] for i in c], pa.large_string()))
+    return ToxicityModel(lexicon, base, trees, isotonic(margin, y[c], weight[c]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Trains on at most about max_rows rows with a label and a text outside the held-out fold.
 
-    Which rows follows from a hash of their ids and a count of the labels. Only the
-    chosen ids, bounded by max_rows, are broadcast to the scan of texts. An id with
-    several labels counts as toxic if one says so.
+    Half of the rows are shared out in proportion, half evenly between the two labels, so
+    that a rare label is learned too; in the calibration each row weighs what it stands for.
+    Which rows follows from a hash of their ids and a count of the labels. Only the chosen ids,
+    bounded by max_rows, are broadcast to the scan of texts. An id with several labels
+    counts as toxic if one says so.
     """
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, max_rows / max(usable.count(), 1))
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) if share < 1 else F.lit(True))
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    n, n_toxic = usable.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    shares = [min(1.0, max_rows / 2 / max(n, 1) + max_rows / 4 / max(of, 1)) if n > max_rows else 1.0 for of in (n - n_toxic, n_toxic)]
+    share = F.when(F.col("toxic") > 0, shares[1]).otherwise(shares[0])
+    chosen = usable.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     chosen = chosen.select(F.col("doc_id").alias("_id"), "toxic").limit(2 * max_rows)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    got = rows.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    return train(got["text"].to_pylist(), np.array(got["toxic"].to_pylist(), dtype=float))
+    got = rows.select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    y = np.array(got["toxic"].to_pylist(), dtype=float)
+    return train(got["text"].to_pylist(), y, 1 / np.where(y > 0, shares[1], shares[0]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:

@@ -171,5 +171,50 @@ def test_toxicity(spark):
     one = toxicity.fit(docs, labels.where("toxic = 0"))
     assert all(r.score < 0.5 for r in toxicity.score(docs, one).collect())
     assert toxicity.score(docs.where("false"), model).count() == 0
-    x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
-    assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
+
+
+def test_isotonic_against_all_ways_to_cut():
+    """The best non-decreasing step function, by trying every way to cut the points into steps."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        z, y, w = rng.integers(0, 6, 9).astype(float), rng.integers(0, 2, 9).astype(float), rng.integers(1, 4, 9).astype(float)
+        points = np.unique(z)
+        best = np.inf
+        for cuts in range(1 << (len(points) - 1)):
+            step = np.concatenate([[0], np.cumsum([cuts >> i & 1 for i in range(len(points) - 1)])])[np.searchsorted(points, z)]
+            mean = np.bincount(step, w * y) / np.bincount(step, w)
+            if (np.diff(mean) >= 0).all():
+                best = min(best, (w * (y - mean[step]) ** 2).sum())
+        x, v = toxicity.isotonic(z, y, w)
+        assert (np.diff(v) >= 0).all() and abs((w * (y - np.interp(z, x, v)) ** 2).sum() - best) < 1e-9
+
+
+def test_trees_against_every_split():
+    """A tree of one split takes the best of all splits of all features."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, (40, 3)).astype(float)
+    g, h = rng.standard_normal(40), rng.uniform(0.5, 1, 40)
+    edges = [np.unique(c) for c in x.T]
+    bins = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)])
+    tree = toxicity.grow(bins, edges, g, h, 1)
+    gains = {}
+    for f in range(3):
+        for e in edges[f]:
+            left = x[:, f] <= e
+            if min(h[left].sum(), h[~left].sum()) >= 1:
+                gains[f, e] = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left))
+    assert (tree.feature[0], tree.cut[0]) == max(gains, key=gains.get)
+    side = x[:, tree.feature[0]] > tree.cut[0]
+    assert np.allclose(tree(x), [-g[side == s].sum() / (h[side == s].sum() + 1) for s in side])
+
+
+def test_rare_labels_are_learned_within_the_bound(spark):
+    rnd = random.Random(8)
+    data = [(i, speak(rnd, "en", 20) + (" vermin dreck vermin" if i % 50 == 0 else ""), int(i % 50 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), max_rows=400)
+    found = toxicity.score(docs, model).agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.avg("score")).first()
+    assert found[0] >= 0.99 and found[1] < 0.1
+    langs = [(i, speak(rnd, "en" if i % 100 else "de", 30), "en" if i % 100 else "de") for i in range(3000)]
+    frame_ = spark.createDataFrame(langs, "doc_id long, text string, lang string")
+    assert set(langid.fit(frame_, max_rows=60).languages) == {"en", "de"}
