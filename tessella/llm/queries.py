@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, ngram_join, quality, sharding, suffix_dedup, token_files, toxicity, vectors
+from tessella.llm import bpe, langid, mixing, ngram_join, oracles, quality, sharding, suffix_dedup, token_files, toxicity, vectors
 from tessella.llm.common import held_out, table
 
 
@@ -71,4 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Where DuckDB can say the same on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mix_curriculum": oracles.OP1,
+    "op3_quality_cascade": oracles.OP3,
+    "op5_suffix_array": oracles.OP5,
+    "op6_ngram_jaccard": oracles.OP6,
+    "op10_shard_interleave": oracles.OP10,
+}

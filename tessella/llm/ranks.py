@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 SLICE_ROWS, MANY_SLICES, LARGE_SLICE_ROWS = 500, 4096, 50_000
 
 
+#: Bits of a seeded hash, the first ones of an MD5 digest, which other engines have as well.
+HASH_BITS = 60
+
+
 def seeded_hash(seed: int, *cols: str) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
+    """A number from 0 to 2^HASH_BITS - 1 that follows from the seed and the columns (null: empty)."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    return F.conv(F.substring(F.md5(F.encode(key, "UTF-8")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def slice_of(h: str, n_slices: int) -> Column:
-    """Which of n equal ranges of the signed 64-bit numbers h falls in; ordered as h is."""
-    return F.floor((F.col(h).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64 / n_slices)).cast("long")
+    """Which of n equal ranges of the hashes h falls in; ordered as h is."""
+    return F.floor(F.col(h).cast("double") / F.lit(2.0**HASH_BITS / n_slices)).cast("long")
 
 
 def slices_for(n_rows: int) -> int:
