@@ -249,6 +249,45 @@ def backlinks(edges: DataFrame) -> DataFrame:
     return edges.groupBy("target").agg(F.count("*").alias("links"), F.count_distinct(host).alias("domains"), F.count_distinct(F.lower("anchor")).alias("anchors"))
 
 
+def backlink_gap(edges: DataFrame, ours: str) -> DataFrame:
+    """(domain, targets, links): domains that link to others (edges: source_url, target) and not to
+    `ours`, with how many targets they link to and how often."""
+    host = F.lower(F.regexp_extract("source_url", r"(?i)^https?://([^/?#:]+)", 1))
+    rows = edges.select(host.alias("domain"), "target").where("domain <> ''")
+    per = rows.groupBy("domain").agg(F.count_if(F.col("target") == ours).alias("own"), F.count_distinct("target").alias("targets"), F.count("*").alias("links"))
+    return per.where("own = 0").drop("own")
+
+
+def anchor_shares(edges: DataFrame) -> DataFrame:
+    """(target, anchor, n, share) of each anchor text, in any case, among a target's links; null counts as ''."""
+    rows = edges.groupBy("target", F.lower(F.coalesce(strip("anchor"), F.lit(""))).alias("anchor")).agg(F.count("*").alias("n"))
+    totals = rows.groupBy(F.col("target").alias("of")).agg(F.sum("n").alias("total"))
+    return rows.join(totals, F.col("target").eqNullSafe(F.col("of"))).select("target", "anchor", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+
+
+def nap_matrix(listings: DataFrame) -> DataFrame:
+    """(business, source, name_ok, address_ok, phone_ok): whether a listing agrees, after normalising,
+    with the most frequent value of its business, the first in order among equals."""
+    rows = listings.select("business", "source", slug("name").alias("name"), slug("address").alias("address"), F.regexp_replace("phone", "[^0-9]", "").alias("phone"))
+    fields = ("name", "address", "phone")
+    long = rows.select("business", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])))
+    counts = long.where("value is not null").groupBy("business", "field", "value").agg(F.count("*").alias("n"))
+    usual = counts.groupBy("business").pivot("field", list(fields)).agg(F.min_by("value", F.struct(-F.col("n"), "value")))
+    usual = usual.select(F.col("business").alias("of"), *[F.col(f).alias(f"usual_{f}") for f in fields])
+    same = [F.coalesce(F.col(f) == F.col(f"usual_{f}"), F.lit(False)).alias(f"{f}_ok") for f in fields]
+    return rows.join(usual, F.col("business") == F.col("of"), "left").select("business", "source", *same)
+
+
+def window_change(metrics: DataFrame, as_of: Column, days: int = 28) -> DataFrame:
+    """(page, now, before, change): clicks of the `days` days up to as_of against those of as many
+    days before; metrics: (page, period, clicks). Pages without clicks in either don't occur."""
+    age = F.date_diff(as_of, F.col("period").cast("date"))
+    rows = metrics.withColumn("age", age).where((F.col("age") >= 0) & (F.col("age") < 2 * days))
+    part = lambda when: F.coalesce(F.sum(F.when(when, F.col("clicks"))), F.lit(0).cast("long"))
+    sums = rows.groupBy("page").agg(part(F.col("age") < days).alias("now"), part(F.col("age") >= days).alias("before"))
+    return sums.withColumn("change", F.col("now") - F.col("before"))
+
+
 def nap_mismatches(listings: DataFrame) -> DataFrame:
     """(business, names, addresses, phones) where a business's listings disagree after normalising."""
     digits = F.regexp_replace("phone", "[^0-9]", "")

@@ -118,32 +118,42 @@ def _finding(code: str, severity: str | Column, detail: str | Column = "") -> Co
 def findings(pages: DataFrame, html: str = "html", url: str | None = "url") -> DataFrame:
     """(url, ord, code, severity, detail) of the technical checks of each page.
 
-    All checks stand in one projection, so a page is read once. Without severity
-    (a robots tag that is absent, no image) a check gives no row.
+    What the checks look at is taken from a page once, in one projection, and the checks
+    stand in another. Without severity (a robots tag that is absent, no image) a check
+    gives no row.
     """
     h = F.col(html)
-    title, description, robots = first_match(h, TITLE), first_match(h, meta("description")), first_match(h, meta("robots"))
-    canonical, lang = first_match(h, CANONICAL), first_match(h, rf"<html[^>]*\blang={QUOTED}(.*?){QUOTED}")
-    h1 = count_matches(h, r"<h1[\s>]")
-    ld = count_matches(h, rf"<script[^>]+type={QUOTED}application/ld\+json{QUOTED}")
-    images = F.regexp_extract_all(h, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
+    rows = pages.where(h.isNotNull()).select(
+        *([F.col(url).alias("page")] if url else []),
+        first_match(h, TITLE).alias("title"),
+        first_match(h, meta("description")).alias("description"),
+        first_match(h, meta("robots")).alias("robots"),
+        first_match(h, CANONICAL).alias("canonical"),
+        first_match(h, rf"<html[^>]*\blang={QUOTED}(.*?){QUOTED}").alias("lang"),
+        count_matches(h, r"<h1[\s>]").alias("h1"),
+        count_matches(h, rf"<script[^>]+type={QUOTED}application/ld\+json{QUOTED}").alias("ld"),
+        F.regexp_extract_all(h, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0)).alias("images"),
+        has(h, rf"(?i)<meta[^>]+name={QUOTED}viewport{QUOTED}").alias("viewport"),
+        has(h, rf"(src|href)={QUOTED}http://").alias("mixed"),
+    )
+    title, description, robots, canonical, lang, h1, ld, images = (F.col(c) for c in ("title", "description", "robots", "canonical", "lang", "h1", "ld", "images"))
     bare = F.size(F.filter(images, lambda i: ~F.regexp_like(i, F.lit(r"(?i)\balt="))))
     blank = lambda c: F.coalesce(c == "", F.lit(True))
     checks = [
-        *([_finding("https", F.when(~F.coalesce(has(url, r"(?i)^\s*https:"), F.lit(False)), "critical"), F.col(url))] if url else []),
+        *([_finding("https", F.when(~F.coalesce(has("page", r"(?i)^\s*https:"), F.lit(False)), "critical"), F.col("page"))] if url else []),
         _finding("title", F.when(blank(title), "critical").when(F.length(title) > 60, "medium").otherwise("info"), F.coalesce(F.length(title), F.lit(0))),
         _finding("meta_description", F.when(blank(description), "high").when(~F.length(description).between(50, 165), "medium").otherwise("info"), F.coalesce(F.length(description), F.lit(0))),
         _finding("h1", F.when(h1 == 0, "high").when(h1 > 1, "medium").otherwise("info"), h1),
         _finding("canonical", F.when(blank(canonical), "medium").otherwise("info"), F.coalesce(canonical, F.lit(""))),
         _finding("meta_robots", F.when(blank(robots), F.lit(None)).when(F.lower(robots).contains("noindex"), "critical").otherwise("info"), robots),
-        _finding("viewport", F.when(has(h, rf"(?i)<meta[^>]+name={QUOTED}viewport{QUOTED}"), "info").otherwise("high")),
+        _finding("viewport", F.when(F.col("viewport"), "info").otherwise("high")),
         _finding("lang", F.when(blank(lang), "medium").otherwise("info"), F.coalesce(lang, F.lit(""))),
         _finding("json_ld", F.when(ld == 0, "high").otherwise("info"), ld),
         _finding("image_alt", F.when(F.size(images) == 0, F.lit(None)).when(bare > 0, "medium").otherwise("info"), F.concat_ws("/", bare, F.size(images))),
-        _finding("mixed_content", F.when(has(h, rf"(src|href)={QUOTED}http://"), "high")),
+        _finding("mixed_content", F.when(F.col("mixed"), "high")),
     ]
-    rows = pages.where(h.isNotNull()).select(*([url] if url else []), F.posexplode(F.array(*checks)).alias("ord", "f"))
-    return rows.select(*([url] if url else []), "ord", "f.*").where("severity is not null")
+    rows = rows.select(*(["page"] if url else []), F.posexplode(F.array(*checks)).alias("ord", "f"))
+    return rows.select(*([F.col("page").alias(url)] if url else []), "ord", "f.*").where("severity is not null")
 
 
 def severity_counts(found: DataFrame) -> DataFrame:

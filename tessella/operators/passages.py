@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import col, count_matches, has, n_words, strip, without_scripts, without_tags
@@ -23,11 +23,19 @@ def ld_blocks(html: str | Column) -> Column:
     return F.when(col(html).contains("<"), count_matches(html, r"application/ld\+json")).otherwise(F.lit(0))
 
 
+def _split(text: str | Column) -> Column:
+    """Array of (pos, passage): stretches between blank lines, stripped, of over 40 characters."""
+    parts = F.transform(F.split(plain_text(text), r"(?U)\n\s*\n"), lambda raw, i: F.struct(i.alias("pos"), strip(raw).alias("passage")))
+    return F.filter(parts, lambda p: F.length(p["passage"]) > SHORTEST)
+
+
+def _words(p: Column) -> Column:
+    return n_words(p).alias("words")
+
+
 def passages(pages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, passage): stretches between blank lines, stripped, of over 40 characters."""
-    parts = F.split(plain_text(text), r"(?U)\n\s*\n")
-    rows = pages.select(key, F.posexplode(parts).alias("pos", "raw"))
-    return rows.select(key, "pos", strip("raw").alias("passage")).where(F.length("passage") > SHORTEST)
+    return pages.select(key, F.inline(_split(text)))
 
 
 def scored(pages: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,15 +54,27 @@ def scored(pages: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def page_score(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, passages, citable, words, citable_pct): percent rounded half to even, 0 without passages."""
-    sums = scored(pages, key, text).groupBy(key).agg(F.count("*").alias("passages"), F.count_if("citable").alias("citable"), F.sum("words").alias("words"))
-    whole = pages.select(key).join(sums, key, "left").fillna(0, ["passages", "citable", "words"])
+    """(key, passages, citable, words, citable_pct), a row for each page: percent rounded half to
+    even, 0 without passages. A page is scored within its own row; nothing is shuffled."""
+    per = F.transform(_split(text), lambda p: F.struct(_words(p["passage"]), (has(p["passage"], SPECIFIC) & ~has(p["passage"], DEPENDENT)).alias("sound")))
+    rows = pages.select(key, F.coalesce(per, F.array().cast("array<struct<words:bigint,sound:boolean>>")).alias("found"))
+    citable = F.size(F.filter("found", lambda p: p["sound"] & (p["words"] <= LONGEST))).cast("long")
+    rows = rows.select(key, F.size("found").cast("long").alias("passages"), citable.alias("citable"), F.aggregate("found", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("words"))
     percent = F.when(F.col("passages") > 0, F.bround(100.0 * F.col("citable") / F.col("passages"), 0)).otherwise(0.0)
-    return whole.select(key, "passages", "citable", "words", percent.cast("long").alias("citable_pct"))
+    return rows.select(key, "passages", "citable", "words", percent.cast("long").alias("citable_pct"))
 
 
 def weak(pages: DataFrame, key: str, text: str, k: int = WEAK) -> DataFrame:
-    """The first k passages of each page, in its order, that are not citable."""
-    order = Window.partitionBy(key).orderBy("pos")
-    rows = scored(pages, key, text).where("not citable").withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
-    return rows.select(key, "rank", "preview", "words", "sentences", F.array_join("issues", ",").alias("issues"))
+    """(key, rank, preview, words, sentences, issues): the first k passages of each page, in its
+    order, that are not citable. Within the page's own row; nothing is shuffled."""
+
+    def judged(p: Column) -> Column:
+        passage = p["passage"]
+        return F.struct(passage.alias("passage"), _words(passage), (~has(passage, SPECIFIC)).alias("vague"), has(passage, DEPENDENT).alias("leaning"))
+
+    rows = pages.select(key, F.transform(_split(text), judged).alias("found"))
+    bad = F.filter("found", lambda p: p["vague"] | p["leaning"] | (p["words"] > LONGEST))
+    rows = rows.select(key, F.posexplode(F.slice(bad, 1, k)).alias("pos", "p"))
+    issues = F.concat_ws(",", F.when(F.col("p.vague"), F.lit("not_specific")), F.when(F.col("p.leaning"), F.lit("leans_on_context")), F.when(F.col("p.words") > LONGEST, F.lit("too_long")))
+    sentences = F.greatest(F.lit(1), F.regexp_count("p.passage", F.lit("[.!?]+"))).cast("long")
+    return rows.select(key, (F.col("pos") + 1).alias("rank"), F.substring("p.passage", 1, PREVIEW).alias("preview"), F.col("p.words").alias("words"), sentences.alias("sentences"), issues.alias("issues"))

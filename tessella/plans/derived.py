@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import audit, consistency, jsonld, locale, pages, robots, sitemap
+from tessella.operators import audit, consistency, jsonld, locale, pages, render, robots, sitemap
 from tessella.plans.registry import load, query
 from tessella.sources import readers, sinks
 from tessella.sources.staging import folder
@@ -255,3 +255,111 @@ def fetched_file_scan(spark, sf_dir):
     bytes_ = F.octet_length("body")
     # A character that the cut splits grows into a replacement character of three bytes.
     return readers.read_fetched(spark, path, 700).select("url", F.when(bytes_.between(701, 702), 700).otherwise(bytes_).cast("long").alias("most"))
+
+
+# --- links, listings and clicks of the tables
+
+_EDGES = "SELECT 'https://h' || CAST(l_suppkey AS {0}) || '.test/' || CAST(l_linenumber AS {0}) AS source_url, 't' || CAST(l_partkey % 9 AS {0}) AS target, CASE WHEN l_linenumber % 3 = 0 THEN ' ' || l_returnflag || ' ' WHEN l_linenumber % 3 = 1 THEN lower(l_returnflag) END AS anchor FROM lineitem"
+
+
+def _edges(spark, sf_dir):
+    load(spark, sf_dir, "lineitem").createOrReplaceTempView("_edge_lineitem")
+    return spark.sql(_EDGES.format("STRING").replace("FROM lineitem", "FROM _edge_lineitem"))
+
+
+@query("backlink_gap", f"WITH e AS ({_EDGES.format('VARCHAR')}), d AS (SELECT regexp_extract(source_url, 'https://([^/]+)', 1) AS domain, target FROM e) SELECT domain, count(DISTINCT target) AS targets, count(*) AS links FROM d GROUP BY domain HAVING count(*) FILTER (target = 't0') = 0")
+def backlink_gap(spark, sf_dir):
+    return audit.backlink_gap(_edges(spark, sf_dir), "t0")
+
+
+@query("anchor_shares", f"WITH e AS ({_EDGES.format('VARCHAR')}), a AS (SELECT target, lower(coalesce(trim(anchor), '')) AS anchor, count(*) AS n FROM e GROUP BY ALL) SELECT target, anchor, n, round(n / sum(n) OVER (PARTITION BY target), 4) AS share FROM a")
+def anchor_shares(spark, sf_dir):
+    return audit.anchor_shares(_edges(spark, sf_dir))
+
+
+_LISTINGS = "SELECT c_nationkey AS business, c_custkey AS source, CASE c_custkey % 3 WHEN 0 THEN 'Shop & Co.' WHEN 1 THEN 'shop co' ELSE 'Other' END AS name, CASE c_custkey % 2 WHEN 0 THEN '1 Main St.' ELSE '1 main st' END AS address, CASE c_custkey % 5 WHEN 0 THEN '+1 (2) 3' WHEN 1 THEN '123' WHEN 2 THEN '9' END AS phone FROM customer"
+
+
+@query("nap_matrix", rf"""WITH l AS ({_LISTINGS}), n AS (SELECT business, source, CASE WHEN name = 'Other' THEN 'other' ELSE 'shop-co' END AS name, regexp_replace(phone, '[^0-9]', '', 'g') AS phone FROM l),
+a AS (SELECT business, name, count(*) AS k FROM n GROUP BY ALL), b AS (SELECT business, phone, count(*) AS k FROM n WHERE phone IS NOT NULL GROUP BY ALL), u AS (SELECT business, first(name ORDER BY k DESC, name) AS name FROM a GROUP BY business), v AS (SELECT business, first(phone ORDER BY k DESC, phone) AS phone FROM b GROUP BY business)
+SELECT n.business, source, n.name = u.name AS name_ok, true AS address_ok, coalesce(n.phone = v.phone, false) AS phone_ok FROM n JOIN u USING (business) LEFT JOIN v USING (business)""")
+def nap_matrix(spark, sf_dir):
+    load(spark, sf_dir, "customer").createOrReplaceTempView("_listing_customer")
+    return audit.nap_matrix(spark.sql(_LISTINGS.replace("FROM customer", "FROM _listing_customer")))
+
+
+@query("window_change", """WITH d AS (SELECT o_custkey AS page, date_diff('day', CAST(o_orderdate AS DATE), DATE '1996-01-01') AS age FROM orders)
+SELECT page, count(*) FILTER (age < 200) AS now, count(*) FILTER (age >= 200) AS before, count(*) FILTER (age < 200) - count(*) FILTER (age >= 200) AS change FROM d WHERE age >= 0 AND age < 400 GROUP BY page""")
+def window_change(spark, sf_dir):
+    daily = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page"), F.to_date("o_orderdate").alias("period")).agg(F.count("*").alias("clicks"))
+    return audit.window_change(daily, F.to_date(F.lit("1996-01-01")), 200)
+
+
+# --- styles, forms, links and bundles of every page
+
+_STYLED = """SELECT page_id, url, html || '<style>h1{{color:#A1B2C' || CAST(page_id % 7 AS {0}) || ';font-family: "Font ' || CAST(page_id % 9 AS {0}) || '", serif}}</style><form><label for="f1">x</label><input id="f1"><input id="f' || CAST(page_id % 3 AS {0}) || '"><input type="hidden"><img src="a.png">' || CASE WHEN page_id % 2 = 0 THEN '<img alt="" src="b.png">' ELSE '<main>' END || '</form><a href="https://other.test/x"></a><a href="//cdn.test/y"> t </a><a href="#m">skip</a>' AS html FROM pages"""
+
+
+def _styled(spark, sf_dir):
+    load(spark, sf_dir, "pages").createOrReplaceTempView("_styled_pages")
+    return spark.sql(_STYLED.format("STRING").replace("FROM pages", "FROM _styled_pages"))
+
+
+@query("dominant_pages", rf"""WITH s AS ({_STYLED.format('VARCHAR')}), v AS (SELECT 'colour' AS kind, lower(unnest(regexp_extract_all(html, '#[0-9a-fA-F]{{6}}\b'))) AS value FROM s UNION ALL SELECT 'font', trim(unnest(regexp_extract_all(html, '(?i)font-family\s*:\s*["'']?([^;,"''}}]+)', 1))) FROM s)
+SELECT kind, value, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS r FROM (SELECT kind, value, count(*) AS n FROM v GROUP BY kind, value)) WHERE r <= 5""")
+def dominant_pages(spark, sf_dir):
+    return audit.dominant(_styled(spark, sf_dir))
+
+
+@query("accessibility_pages", rf"""WITH s AS ({_STYLED.format('VARCHAR')}), t AS (SELECT url, html, regexp_extract_all(html, '(?is)<img\b[^>]*>') AS imgs, list_filter(regexp_extract_all(html, '(?is)<(?:input|select|textarea)\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)type=["'']?(hidden|submit|button|reset|image)|\baria-label')) AS inputs, regexp_extract_all(html, '(?is)<label\b[^>]*\bfor=["'']([^"'']+)["'']', 1) AS named FROM s)
+SELECT url, CAST(len(list_filter(imgs, lambda i: NOT regexp_matches(i, '(?i)\balt='))) AS INTEGER) AS images_without_alt, CAST(len(list_filter(inputs, lambda t: NOT list_contains(named, regexp_extract(t, '(?is)\bid=["'']([^"'']+)["'']', 1)))) AS INTEGER) AS inputs_without_label,
+ regexp_matches(html, '(?is)<html[^>]*\blang=["''][^"'']') AS has_lang, regexp_matches(html, '(?is)<a\b[^>]*href=["'']#[^"'']+["''][^>]*>[^<]*skip') AS has_skip_link, regexp_matches(html, '(?is)<main\b|role=["'']main["'']') AS has_main FROM t""")
+def accessibility_pages(spark, sf_dir):
+    return audit.accessibility(_styled(spark, sf_dir))
+
+
+@query("on_page_pages", rf"""WITH s AS ({_STYLED.format('VARCHAR')}), a AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')) AS tag FROM s), h AS (SELECT url, nullif(regexp_extract(tag, '(?is)^<a\b[^>]*?\bhref=["'']([^"'']*)["'']', 1), '') AS href, trim(regexp_replace(tag, '(?s)<[^>]+>', ' ', 'g')) AS anchor FROM a),
+l AS (SELECT url, anchor, NOT regexp_matches(href, '(?i)^[a-z][a-z0-9+.-]*:|^//') OR (lower(regexp_extract(href, '(?i)^https?://([^/?#:]+)', 1)) = lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1))) AS internal FROM h),
+g AS (SELECT url, count(*) FILTER (internal) AS links_in, count(*) FILTER (NOT internal) AS links_out, count(*) FILTER (anchor = '') AS empty_anchors FROM l GROUP BY url)
+SELECT url, CAST(len(regexp_extract_all(html, '(?i)<h[1-6][\s>]')) AS BIGINT) AS headings, links_in, links_out, empty_anchors FROM s JOIN g USING (url)""")
+def on_page_pages(spark, sf_dir):
+    return audit.on_page(_styled(spark, sf_dir))
+
+
+_PLATFORMS = ", ".join(f"('{k}', {'NULL' if v is None else v})" for k, v in render.LIMITS.items())
+
+
+@query("platform_fit_pages", f"WITH p AS (SELECT * FROM (VALUES {_PLATFORMS}) AS p(platform, most)), b AS (SELECT page_id AS id, octet_length(encode(repeat(html, CAST(page_id % 40 + 1 AS BIGINT)))) AS bytes FROM pages) SELECT id, platform, CAST(bytes AS BIGINT) AS bytes, most IS NULL OR bytes <= most AS fits FROM b, p")
+def platform_fit_pages(spark, sf_dir):
+    built = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.expr("repeat(html, cast(page_id % 40 + 1 as int))").alias("bundle"))
+    return render.platform_fit(built)
+
+
+@query("portable_inline_pages", """SELECT page_id AS id, '<style>' || chr(10) || 'p{}' || CAST(page_id AS VARCHAR) || chr(10) || '</style><script>' || chr(10) || 'go()' || chr(10) || '</script><img src="' || CASE WHEN page_id % 2 = 0 THEN 'data:image/png;base64,' || to_base64(encode('png' || CAST(page_id AS VARCHAR))) ELSE 'q.png' END || '"><img src="../x.png">' AS bundle,
+CASE WHEN page_id % 2 = 1 THEN 'missing image: q.png|' ELSE '' END || 'unsafe image: ../x.png' AS notes FROM pages""")
+def portable_inline_pages(spark, sf_dir):
+    name = F.col("page_id").cast("string")
+    image = F.when(F.col("page_id") % 2 == 0, "p.png").otherwise("q.png")
+    html = F.concat(F.lit('<link rel="stylesheet" href="s.css"><script src="a.js"></script><img src="'), image, F.lit('"><img src="../x.png">'))
+    files = F.create_map(F.lit("s.css"), F.encode(F.concat(F.lit("p{}"), name), "UTF-8"), F.lit("a.js"), F.encode(F.lit("go()"), "UTF-8"), F.lit("p.png"), F.encode(F.concat(F.lit("png"), name), "UTF-8"))
+    built = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), html.alias("html"), files.alias("files"))
+    return render.bundles(built).select("id", "bundle", F.array_join("notes", "|").alias("notes"))
+
+
+@query("page_type_mismatch_lineitem", """WITH r AS (SELECT l_partkey % 60 AS keyword, l_returnflag AS page_type, count(*) AS n FROM lineitem GROUP BY ALL), u AS (SELECT keyword, first(page_type ORDER BY n DESC, page_type) AS usual FROM r GROUP BY keyword)
+SELECT keyword, usual, 'N' AS target_type FROM u WHERE usual <> 'N'""")
+def page_type_mismatch_lineitem(spark, sf_dir):
+    results = load(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 60).alias("keyword"), F.col("l_returnflag").alias("page_type"))
+    return audit.page_type_mismatch(results, results.select("keyword").distinct().withColumn("target_type", F.lit("N")))
+
+
+@query("token_sheets_nations", """WITH n AS (SELECT n_nationkey AS id, '#' || lpad(CAST(n_nationkey * 3 AS VARCHAR), 6, '0') AS c, CASE WHEN n_nationkey % 2 = 0 THEN 'Font ' || CAST(n_nationkey AS VARCHAR) END AS f FROM nation)
+SELECT id, '$color-primary: ' || c || ';' || chr(10) || '$color-on-primary: #ffffff;' || chr(10) || coalesce('$font-heading: "' || f || '", serif;' || chr(10), '') || '$radius: 8px;' || chr(10) AS scss,
+'{"color":{"primary":{"value":"' || c || '"},"on-primary":{"value":"#ffffff"}},"font":{' || coalesce('"heading":{"value":"' || f || '"}', '') || '},"radius":{"base":{"value":"8px"}}}' AS json FROM n""")
+def token_sheets_nations(spark, sf_dir):
+    colour = F.concat(F.lit("#"), F.lpad((F.col("n_nationkey") * 3).cast("string"), 6, "0"))
+    set_ = {"primary": colour, "on_primary": F.lit("#ffffff")}
+    palette = F.struct(*[set_.get(c, F.lit(None).cast("string")).alias(c) for c in render.COLOURS])
+    font = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Font "), F.col("n_nationkey").cast("string")))
+    designs = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), palette.alias("palette"), F.struct(font.alias("heading_font"), F.lit("").alias("body_font")).alias("typography"), F.struct(F.lit("8px").alias("radius")).alias("effects"))
+    return render.token_sheets(designs).select("id", "scss", "json")
