@@ -46,7 +46,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame,
     encoding, spans = shape_of(spark, path)
     header = header_of(spark, path, encoding, spans, sep)
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] + [T.StructField(CORRUPT, T.StringType())]
-    raw = spark.read.schema(T.StructType(fields)).option("encoding", encoding).option("sep", sep).option("multiLine", spans).option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    raw = spark.read.schema(T.StructType(fields)).option("encoding", encoding).option("sep", sep).option("multiLine", spans).option("columnPruning", False).option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     last = {name: i for i, name in enumerate(header)}
     warnings = [f"duplicate column: {n}" for n in sorted({h for h in header if header.count(h) > 1})]
     if encoding != "utf-8":
@@ -55,7 +55,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame,
 
 
 def ragged(table: DataFrame) -> DataFrame:
-    """(rows) that were longer or shorter than the header."""
+    """(rows) that were longer or shorter than the header, which only a parse of whole rows shows."""
     every = F.concat_ws("", *table.columns)  # Spark doesn't parse for the raw record alone
     return table.where(F.col(CORRUPT).isNotNull() & (F.length(every) >= 0)).select(CORRUPT)
 
