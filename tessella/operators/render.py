@@ -7,7 +7,7 @@ import posixpath
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,15 +166,16 @@ def bundles(builds: DataFrame, image_bytes: int = IMAGE_BYTES) -> DataFrame:
 
     A pattern callback is the one thing SQL can't say, so this is an Arrow-batched UDF.
     """
+    kind = pa.struct([("bundle", pa.string()), ("notes", pa.list_(pa.string()))])
 
-    @F.pandas_udf("bundle string, notes array<string>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<bundle:string,notes:array<string>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for htmls, files in batches:
-            found = [bundle_html(h, dict(f or {}), image_bytes) if h is not None else (None, []) for h, f in zip(htmls, files, strict=True)]
-            yield pd.DataFrame(found, columns=["bundle", "notes"])
+            found = [bundle_html(h, dict(f or ()), image_bytes) if h is not None else (None, []) for h, f in zip(htmls.to_pylist(), files.to_pylist(), strict=True)]
+            yield pa.array([{"bundle": b, "notes": n} for b, n in found], kind)
 
-    rows = builds.withColumn("_b", run("html", "files"))
-    return rows.select(*builds.columns, "_b.*")
+    rows = builds.select(F.struct(*builds.columns).alias("row"), run("html", "files").alias("made"))
+    return rows.select("row.*", "made.*")
 
 
 def unhandled(bundled: DataFrame, html: str = "bundle") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import audit, consistency, jsonld, locale, pages, render, robots, sitemap
+from tessella.operators import audit, consistency, jsonld, locale, pages, recommend, render, robots, sitemap
 from tessella.plans.registry import load, query
 from tessella.sources import readers, sinks
 from tessella.sources.staging import folder
@@ -363,3 +363,35 @@ def token_sheets_nations(spark, sf_dir):
     font = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Font "), F.col("n_nationkey").cast("string")))
     designs = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), palette.alias("palette"), F.struct(font.alias("heading_font"), F.lit("").alias("body_font")).alias("typography"), F.struct(F.lit("8px").alias("radius")).alias("effects"))
     return render.token_sheets(designs).select("id", "scss", "json")
+
+
+# --- fonts, priorities and due dates
+
+_FONTS = "SELECT * FROM (VALUES (0, 'quiet reading', 'books', 'Serif One'), (1, 'strong bold', 'automobile sales', 'Sans Two'), (2, 'plain', 'household building', 'Mono Three')) AS f(row_idx, mood, best_for, name)"
+_ASKED = "SELECT c_custkey AS id, c_mktsegment AS product_type, CASE c_custkey % 4 WHEN 0 THEN 'Bold, sales!' WHEN 1 THEN 'reading-room' WHEN 2 THEN '' END AS keywords, CASE c_custkey % 3 WHEN 0 THEN 'quiet' WHEN 1 THEN 'zzz' END AS mood FROM customer"
+
+
+def _tokens(*cells: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', {', '.join(cells)})), '[^a-z0-9]+'), lambda t: t <> ''))"
+
+
+@query("typography_pick", f"""WITH r AS (SELECT id, {_tokens('mood', 'product_type', 'keywords')} AS q FROM ({_ASKED})), f AS (SELECT row_idx, name, {_tokens('mood', 'best_for', 'name')} AS w FROM ({_FONTS})),
+s AS (SELECT id, name, len(list_intersect(q, w)) AS score, row_number() OVER (PARTITION BY id ORDER BY len(list_intersect(q, w)) DESC, row_idx) AS k FROM r, f)
+SELECT id, CASE WHEN score > 0 THEN name ELSE 'Serif One' END AS font, score > 0 AS matched FROM s WHERE k = 1""")
+def typography_pick(spark, sf_dir):
+    load(spark, sf_dir, "customer").createOrReplaceTempView("_asking_customer")
+    asked = spark.sql(_ASKED.replace("FROM customer", "FROM _asking_customer")).withColumn("product", F.struct(F.col("mood").alias("typography_mood")))
+    found = recommend.pick_typography(asked, spark.sql(_FONTS))
+    return found.select("id", F.col("typography.name").alias("font"), F.col("typography_matched").alias("matched"))
+
+
+@query("prioritised_by_intent", "SELECT p_partkey, round(p_size * (p_partkey % 4) / greatest(CAST(p_partkey % 6 AS DOUBLE), 0.1), 4) AS priority FROM part")
+def prioritised_by_intent(spark, sf_dir):
+    items = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("impact"), (F.col("p_partkey") % 6).alias("effort"), (F.col("p_partkey") % 4).alias("weight"))
+    return audit.prioritised(items, intent="weight").select("p_partkey", "priority")
+
+
+@query("overdue_without_status", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 30 < DATE '1996-01-01' AND coalesce(o_orderkey % 3 <> 0, true) AS overdue FROM orders")
+def overdue_without_status(spark, sf_dir):
+    tasks = load(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderdate as completed", "case o_orderkey % 3 when 0 then 'COMPLETE' when 1 then 'open' end as status")
+    return audit.overdue(tasks, F.to_date(F.lit("1996-01-01")), 30).select("o_orderkey", "overdue")
