@@ -112,8 +112,9 @@ def utf8_crc32(text: str | Column) -> Column:
 
 
 def held_out(doc_id: str | Column, folds: int = 5) -> Column:
-    """True for the fold no model may learn from: crc32(id as text) mod folds = 0."""
-    return (F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds) == 0
+    """True for the fold no model may learn from: crc32(id as text) mod folds = 0; a null id is in no fold: false."""
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.coalesce(F.crc32(text) % folds == 0, F.lit(False))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,8 @@ def ramp_schedule(sources: DataFrame, n_weights: int = 3) -> DataFrame:
 
 def targets(sizes: DataFrame, schedule: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, w0, w1, target): shares of the whole size by integrated weight,
-    each at most max_epochs * source_size, the excess dealt again by weight.
+    each at most max_epochs * source_size, the excess dealt again by weight. A source without
+    words, or whose weight stays 0, has the target 0.
 
     Sources are taken by cap per weight; as long as the next cap is below what the
     weight would fetch among those still open, the source is closed at its cap. The
@@ -46,14 +47,14 @@ def targets(sizes: DataFrame, schedule: DataFrame, max_epochs: float = MAX_EPOCH
     joined = sizes.join(schedule.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     weight, cap = (F.col("w0") + F.col("w1")) / 2, max_epochs * F.col("source_size")
     joined = joined.withColumn("_w", weight).withColumn("_cap", cap.cast("double"))
-    joined = joined.withColumn("_ratio", F.when(F.col("_w") > 0, F.col("_cap") / F.col("_w")))
+    joined = joined.withColumn("_ratio", F.when(F.col("_w") > 0, F.try_divide("_cap", "_w")))
     order = [F.col("_ratio").asc_nulls_last(), F.col("source").isNull(), F.encode("source", "UTF-8")]
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum(F.col("source_size").cast("double")).over(everything)
     left = total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     open_w = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    joined = joined.withColumn("_rate", F.when(F.col("_w") > 0, left / open_w)).withColumn("_open", F.col("_rate") < F.col("_ratio"))
+    joined = joined.withColumn("_rate", F.when(F.col("_w") > 0, F.try_divide(left, open_w))).withColumn("_open", F.col("_rate") < F.col("_ratio"))
     # Once a source stays open, all later ones do, at the rate of the first of them.
     rate = F.first(F.when(F.col("_open"), F.col("_rate")), ignorenulls=True).over(everything)
     target = F.when(F.col("_w") <= 0, 0.0).otherwise(F.least(F.col("_cap"), F.coalesce(rate * F.col("_w"), F.col("_cap"))))
@@ -61,9 +62,14 @@ def targets(sizes: DataFrame, schedule: DataFrame, max_epochs: float = MAX_EPOCH
 
 
 def progress_at(share: Column, w0: Column, w1: Column) -> Column:
-    """t with (integral of the weight from 0 to t) = share * (its integral from 0 to 1)."""
+    """t with (integral of the weight from 0 to t) = share * (its integral from 0 to 1).
+
+    A share of 0 is reached at 0, also where the weight starts from 0; a null share is
+    reached never, nor is any share of a weight that stays 0.
+    """
     area = share * (w0 + w1) / 2
-    return F.when(w0 + w1 > 0, F.least(F.lit(1.0), 2 * area / (w0 + F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + 2 * (w1 - w0) * area)))))
+    t = F.try_divide(2 * area, w0 + F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + 2 * (w1 - w0) * area)))
+    return F.when((w0 + w1 > 0) & share.isNotNull(), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
 
 
 def curriculum(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: float = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -97,7 +103,7 @@ def _curriculum(docs: DataFrame, schedule: DataFrame | None, max_epochs: float,
     def one_pass(epoch: int) -> Column:
         at = F.col("_start") + epoch * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), goal - at)).cast("long")
-        return F.struct(F.lit(epoch).alias("epoch"), words.alias("taken"), progress_at(at / F.col("target"), F.col("w0"), F.col("w1")).alias("position"))
+        return F.struct(F.lit(epoch).alias("epoch"), words.alias("taken"), progress_at(F.try_divide(at, F.col("target")), F.col("w0"), F.col("w1")).alias("position"))
 
     passes = F.filter(F.array(*[one_pass(e) for e in range(max(1, int(-(-max_epochs // 1))))]), lambda p: p["taken"] > 0)
     placed = placed.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(F.filter(passes, lambda p: F.lit(False))))

@@ -231,7 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Toxic
     that a rare label is learned too; in the calibration each row weighs what it stands for.
     Which rows follows from a hash of their ids and a count of the labels. Only the chosen ids,
     bounded by max_rows, are broadcast to the scan of texts. An id with several labels
-    counts as toxic if one says so.
+    counts as toxic if one says so; of an id's several texts the one of least hash is learned,
+    so what reaches the driver is bounded by ids however often they repeat.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, n_toxic = usable.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -240,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Toxic
     chosen = usable.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     chosen = chosen.select(F.col("doc_id").alias("_id"), "toxic").limit(2 * max_rows)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rows.select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = np.array(got["toxic"].to_pylist(), dtype=float)
     return train(got["text"].to_pylist(), y, 1 / np.where(y > 0, shares[1], shares[0]))
