@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, quality, ranks, sharding, suffix_dedup
+from tessella.llm import mixing, quality, ranks, sharding, spelling, suffix_dedup
 
 _SPLIT = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _WORDS = _SPLIT.format("coalesce(text, '')")
@@ -61,7 +61,6 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE a = doc_id), doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id)"""
 
 
-
 def _crc_table() -> str:
     """CRC-32 of single bytes as an SQL list, by the polynomial's rule."""
 
@@ -73,11 +72,33 @@ def _crc_table() -> str:
     return f"[{', '.join(str(entry(b)) for b in range(256))}]::BIGINT[]"
 
 
-#: CRC-32 byte by byte; ranks within sources, then over all by fraction.
+def _crc(hexed: str) -> str:
+    """CRC-32 of bytes given in hexadecimal, byte by byte."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({hexed}, '..'), lambda p: CAST('0x' || p AS BIGINT))), lambda a, b: xor(a >> 8, ({_crc_table()})[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+#: Checksums of the texts; ranks within sources, then over all by fraction.
 OP10 = f"""WITH d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents),
-c AS (SELECT doc_id, source, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(x, '..'), lambda p: CAST('0x' || p AS BIGINT))), lambda a, b: xor(a >> 8, ({_crc_table()})[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d),
+c AS (SELECT doc_id, source, size::BIGINT AS size, {_crc('x')} AS text_crc32 FROM d),
 h AS (SELECT *, {_hash(sharding.SEED, 'doc_id', 'text_crc32')} AS h FROM c),
 r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS spot FROM h),
 p AS (SELECT *, row_number() OVER (ORDER BY spot, h, source NULLS FIRST, doc_id, size, text_crc32) - 1 AS position, count(*) OVER () AS n FROM r),
 s AS (SELECT *, position * 16 // n AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, position - (shard * n + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+_LOW = f"translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}')"
+
+#: Words after the slips; those that leave the same string after a deletion; roots by following forms.
+OP11 = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[{spelling.LETTERS}]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= {spelling.LEAST_CHARS} GROUP BY ALL),
+h AS (SELECT run, n, {_crc("hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run))")} AS h FROM u),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+p AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+k AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM p),
+e AS (SELECT a.word AS a, b.word AS b, b.n AS n FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+ UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.rest = w.word UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.rest = w.word),
+b AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, encode(b)) AS r, count(*) OVER (PARTITION BY a) AS n_near FROM e),
+f AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= {spelling.TIMES} * w.n THEN b.b END AS form, CASE WHEN b.n >= {spelling.TIMES} * w.n THEN b.n END AS form_n FROM w LEFT JOIN b ON b.a = w.word AND b.r = 1),
+t AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.up)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t ON t.word = f.word AND t.up IS NULL"""

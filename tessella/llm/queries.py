@@ -1,4 +1,4 @@
-"""The queries of this subpackage, op1 to op10, over whole tables with production parameters."""
+"""The queries of this subpackage, op1 to op13, over whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, ngram_join, oracles, quality, sharding, suffix_dedup, token_files, toxicity, vectors
+from tessella.llm import bpe, langid, mixing, ngram_join, oracles, quality, sharding, spelling, suffix_dedup, token_files, toxicity, vectors
 from tessella.llm.common import held_out, table
 
 
@@ -57,6 +57,10 @@ def op10_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), damage_one_in=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_curriculum": op1_mix_curriculum,
     "op2_bpe_word_table": op2_bpe_word_table,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_multi_index": op8_vector_multi_index,
     "op9_token_wavelet": op9_token_wavelet,
     "op10_shard_interleave": op10_shard_interleave,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 #: Where DuckDB can say the same on whole tables.
@@ -77,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op5_suffix_array": oracles.OP5,
     "op6_ngram_jaccard": oracles.OP6,
     "op10_shard_interleave": oracles.OP10,
+    "op11_spelling_variants": oracles.OP11,
 }
