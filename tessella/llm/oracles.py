@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, quality, ranks, sharding, spelling, suffix_dedup
+from tessella.llm import licenses, mixing, quality, ranks, sharding, spelling, suffix_dedup
 
 _SPLIT = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _WORDS = _SPLIT.format("coalesce(text, '')")
@@ -102,3 +102,26 @@ b AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, encode(
 f AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= {spelling.TIMES} * w.n THEN b.b END AS form, CASE WHEN b.n >= {spelling.TIMES} * w.n THEN b.n END AS form_n FROM w LEFT JOIN b ON b.a = w.word AND b.r = 1),
 t AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.up)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t ON t.word = f.word AND t.up IS NULL"""
+
+
+def _template_rows() -> str:
+    """Each template's words: its number, label, whether it is a base phrase, place, word, whether mandatory."""
+    rows = []
+    for t, template in enumerate(licenses.TEMPLATES):
+        must = {p + j for p, key in template.mandatory() for j in range(len(key))}
+        rows += [f"({t}, '{template.label}', {template.base}, {j}, '{w}', {j in must})" for j, w in enumerate(template.words)]
+    return ", ".join(rows)
+
+
+#: Every word of every template at every place of the texts; where all mandatory ones agree, the share by rarity.
+OP13 = f"""WITH t(t, label, base, j, word, must) AS (VALUES {_template_rows()}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{licenses.WORD}') AS w FROM documents),
+u AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+h AS (SELECT * FROM u WHERE word IN (SELECT word FROM t)),
+n AS (SELECT word, count(DISTINCT r) AS n FROM h GROUP BY word),
+x AS (SELECT t.*, ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1)) + 1 AS x FROM t LEFT JOIN n USING (word)),
+s AS (SELECT t, sum(x) AS total, count(*) FILTER (must) AS must FROM x GROUP BY t),
+m AS (SELECT r, x.t, label, base, i - j AS start, sum(x) AS found, count(*) FILTER (must) AS musts FROM h JOIN x ON x.word = h.word GROUP BY ALL),
+f AS (SELECT r, label, base, start, round(found / total, {licenses.PLACES}) AS score FROM m JOIN s USING (t) WHERE musts = must),
+g AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR score >= {licenses.LEAST_SHARE}) AS labels, max(score) AS score FROM f GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN g USING (r)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, ngram_join, oracles, quality, sharding, spelling, suffix_dedup, token_files, toxicity, vectors
+from tessella.llm import bpe, langid, licenses, mixing, ngram_join, oracles, quality, sharding, spelling, suffix_dedup, token_files, toxicity, vectors
 from tessella.llm.common import held_out, table
 
 
@@ -61,6 +61,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), damage_one_in=97))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_curriculum": op1_mix_curriculum,
     "op2_bpe_word_table": op2_bpe_word_table,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_wavelet": op9_token_wavelet,
     "op10_shard_interleave": op10_shard_interleave,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_license_scan": op13_license_scan,
 }
 
 #: Where DuckDB can say the same on whole tables.
@@ -83,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": oracles.OP6,
     "op10_shard_interleave": oracles.OP10,
     "op11_spelling_variants": oracles.OP11,
+    "op13_license_scan": oracles.OP13,
 }
