@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, licenses, mixing, ngram_join, oracles, quality, sharding, spelling, suffix_dedup, token_files, toxicity, vectors
+from tessella.llm import alignment, bpe, langid, licenses, mixing, ngram_join, oracles, quality, sharding, spelling, suffix_dedup, token_files, toxicity, vectors
 from tessella.llm.common import held_out, table
 
 
@@ -61,6 +61,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), damage_one_in=97))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, model = bpe.vocabulary_file(None, "byte_bpe_50k.json"), alignment.piece_model(None, "piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary, model)
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_wavelet": op9_token_wavelet,
     "op10_shard_interleave": op10_shard_interleave,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_alignment": op12_token_alignment,
     "op13_license_scan": op13_license_scan,
 }
 
