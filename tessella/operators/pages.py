@@ -79,11 +79,17 @@ def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """(url, ord, element, severity, old, new) of tracked elements that differ between two
     snapshots, joined on url; `appeared` has the pages of one only. Null (absent) and '' differ. A change of word count below
     15 % of a count above 0 is noise. by_severity sorts them."""
+    rows = before.alias("b").join(after.alias("a"), F.col("b.url") == F.col("a.url"))
+    return differences(rows.select(F.col("b.url").alias("url"), F.struct("b.*").alias("b"), F.struct("a.*").alias("a")), "url")
+
+
+def differences(rows: DataFrame, *keys: str) -> DataFrame:
+    """What differs between the snapshots b and a (structs) of each row, as drift reports it; keys are kept."""
     pairs = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(k).alias("element"), F.lit(s).alias("severity"), F.col(f"b.{k}").cast("string").alias("old"), F.col(f"a.{k}").cast("string").alias("new"))
         for i, (k, s) in enumerate(TRACKED.items())
     ])
-    rows = before.alias("b").join(after.alias("a"), F.col("b.url") == F.col("a.url")).select(F.col("b.url").alias("url"), F.inline(pairs))
+    rows = rows.select(*keys, F.inline(pairs))
     old, new = F.col("old").try_cast("double"), F.col("new").try_cast("double")
     noise = (F.col("element") == "word_count") & (old != 0) & (F.abs(new - old) / F.greatest(F.lit(1.0), old) < 0.15)
     escalated = (F.col("element") == "meta_robots") & F.lower("new").contains("noindex")
