@@ -25,9 +25,13 @@ def drained(stream: DataFrame, name: str) -> tuple[DataFrame, str | None]:
 
 
 def files_stream(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
-    """A stream of the rows of Parquet files, with the schema they have now."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return (reader if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)).parquet(path)
+    """A stream of the rows of Parquet files (a folder, or a file), with the schema they have now; times
+    without a zone are taken in the session's, as watermarks need them."""
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    path = path.rstrip("/")  # as a pattern that only this path fits: streams take single files so, and folders too
+    rows = (reader if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)).parquet(f"{path[:-1]}[{path[-1]}]")
+    return rows.withColumns({f.name: F.col(f"`{f.name}`").cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def counted(rows: DataFrame, time: str, late: str, keys: Sequence[str], totals: Sequence[Column], size: str | None = None, slide: str | None = None, gap: str | None = None) -> DataFrame:
