@@ -412,3 +412,15 @@ def text_of(html: str) -> Column:
 
 def shared_tokens(a: str, b: str) -> Column:
     return F.size(F.array_intersect(tokens(a), tokens(b)))
+
+
+def findings_cube(findings: DataFrame, dimensions: list[str], page: str) -> DataFrame:
+    """(dimensions, level, n, pages): findings, and distinct pages with one, for every subset of the
+    dimensions; those left out are null, and level says which: bit 0 for the last dimension.
+
+    A page with findings on several sites or of several kinds counts once wherever they are
+    added up, so pages don't add up from level to level. A null dimension is a value of its
+    own, told from one left out by level; null pages count as none. One expansion of the rows,
+    which is combined before the shuffle. An empty table gives the grand total only, of 0.
+    """
+    return findings.cube(*dimensions).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.count_distinct(page).alias("pages"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import strip
+from tessella.operators.routing import found
 from tessella.sources.staging import small_table
 
 
@@ -26,10 +27,9 @@ def unrecorded(files: DataFrame, ledger: DataFrame, like: str = "%.py") -> DataF
 
 
 def denied_names(files: DataFrame, names: DataFrame) -> DataFrame:
-    """(path, name) of names (a list of a checked size, name) that occur in a file, in equal case."""
-    listed = F.broadcast(small_table(names, "a list of names").agg(F.collect_set("name").alias("names")))  # one row
-    rows = files.join(listed, how="cross").select("path", F.explode(F.filter("names", lambda n: F.contains("content", n))).alias("name"))
-    return rows
+    """(path, name) of names (name) that occur in a file, in equal case; however many names, each file
+    is read once (see routing.found)."""
+    return found(files, "path", "content", names).select("path", "name")
 
 
 def wrong_counts(files: DataFrame, claims: DataFrame) -> DataFrame:

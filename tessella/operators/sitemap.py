@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.ranks import positions
 from tessella.functions.text import absolute, xml_escaped
-from tessella.sources.staging import checkpointed
 
 # URLs and bytes a file may hold, and the namespace of the format.
 MAX_URLS, MAX_BYTES = 50_000, 50 * 1024 * 1024
@@ -27,20 +27,9 @@ def rejected(urls: DataFrame, order: str = "idx") -> DataFrame:
 def chunked(urls: DataFrame, order: str = "idx", size: int = MAX_URLS) -> DataFrame:
     """urls with position (from 0, in `order`) and chunk (from 1); every row once.
 
-    The rows are range-partitioned and stored with the number of their range, so the
-    sizes of the ranges and the rows themselves come from one partitioning. Ranks are
-    counted per range and offset by the ranges before; no task sees all URLs.
+    Ranks are counted per range of the order (see positions); no task sees all URLs.
     """
-    n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = urls.select(F.struct(*urls.columns).alias("row"), F.col(order).alias("at")).repartitionByRange(n, "at")
-    ranged = checkpointed(ranged.withColumn("slice", F.spark_partition_id()))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
-    sums = ranged.groupBy("slice").agg(F.count("*").alias("n"))
-    offsets = sums.select(F.col("slice").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("slice").orderBy("at")) - 1
-    rows = ranged.withColumn("within", within).join(offsets, F.col("slice") == F.col("of"))
-    rows = rows.select("row", (F.col("offset") + F.col("within")).alias("position"))
-    return rows.select("row.*", "position", (F.floor(F.col("position") / size) + 1).alias("chunk"))
+    return positions(urls, order).withColumn("chunk", F.floor(F.col("position") / size) + 1)
 
 
 def entry(tag: str, url: str | Column, lastmod: str | None = None) -> Column:
