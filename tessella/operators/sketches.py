@@ -53,10 +53,11 @@ def merged(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def quantile(share: float) -> Column:
-    """A quantile of the numbers of a sketch; null without any."""
-    # Within a higher-order function, as Spark 4.1 generates no valid code for it on its own.
-    return F.when(F.col("parsed") > 0, F.get(F.transform(F.array("quantiles"), lambda q: F.kll_sketch_get_quantile_double(q, F.lit(share))), 0))
+def quantiles(*shares: float) -> Column:
+    """Quantiles of the numbers of a sketch, as an array; null without any number."""
+    # Within a higher-order function, as Spark 4.1 doesn't always generate valid code for it on its own.
+    got = F.transform(F.array("quantiles"), lambda q: F.array(*[F.kll_sketch_get_quantile_double(q, F.lit(s)) for s in shares]))
+    return F.when(F.col("parsed") > 0, F.get(got, 0))
 
 
 def profiled(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -67,7 +68,7 @@ def profiled(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     numeric = (F.col("filled") > 0) & (F.col("parsed") >= F.ceil(F.lit(NUMERIC_SHARE) * F.col("filled")))
     shown = lambda c: F.when(numeric, c)
-    return merged(sketches, by).select(
+    return merged(sketches, by).withColumn("cuts", quantiles(0.25, 0.5, 0.75)).select(
         *by,
         "column",
         F.col("n").alias("count"),
@@ -78,9 +79,7 @@ def profiled(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         shown(F.round("lo", 4)).alias("min"),
         shown(F.round("hi", 4)).alias("max"),
         shown(F.round(F.try_divide("total", "parsed"), 4)).alias("mean"),
-        shown(quantile(0.25)).alias("q1"),
-        shown(quantile(0.5)).alias("median"),
-        shown(quantile(0.75)).alias("q3"),
+        *[shown(F.get("cuts", i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))],
     )
 
 
