@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import n_words, slug, strip, tokens, without_scripts, without_tags
 from tessella.operators.pages import SEVERITIES, severity_rank
+from tessella.operators.graphs import behind_cycles
 from tessella.sources.staging import checkpointed, small_table
 
 # Fixed value: weights of the five specialists in a health score.
@@ -343,15 +344,9 @@ def best_source(rows: DataFrame, tiers: list[str]) -> DataFrame:
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes on or behind a cycle of (source, target): what is left once nodes without open
-    sources are removed again and again. An acyclic graph leaves none."""
-    left = edges.select("source", "target").distinct()
-    while True:
-        n = left.count()
-        kept = checkpointed(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi"))
-        if kept.count() == n:
-            return kept.select("source").union(kept.select("target")).distinct().withColumnRenamed("source", "node")
-        left = kept
+    """Nodes on or behind a cycle of (source, target); an acyclic graph has none. Null ends are left out.
+    Rounds grow with the logarithm of chains and trees, not with their depth (see graphs.behind_cycles)."""
+    return behind_cycles(edges)[0]
 
 
 def readability(docs: DataFrame, key: str, text: str, thin: int = 300) -> DataFrame:
