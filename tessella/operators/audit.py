@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import n_words, slug, strip, tokens, without_scripts, without_tags
-from tessella.operators.pages import SEVERITIES, severity_rank
 from tessella.operators.graphs import behind_cycles
-from tessella.sources.staging import checkpointed, small_table
+from tessella.operators.pages import SEVERITIES, severity_rank
+from tessella.operators.uniqueness import BUCKET_BYTES, shingled, unique_counts
+from tessella.sources.staging import checkpointed, size_of, small_table
 
 # Fixed value: weights of the five specialists in a health score.
 WEIGHTS = {"technical": 30, "content": 30, "schema": 15, "media": 10, "ai": 15}
@@ -141,17 +142,13 @@ def unique_ratio(pages: DataFrame, key: str, text: str, k: int = 5, least: float
     """(key, shingles, unique, ratio, thin): the share of a text's distinct k-word shingles that no
     other text has; thin below `least`. Texts under k words have none and count as thin.
 
-    Counting owners of each shingle is one combined aggregate; no two texts are paired.
+    A row per row: repeated texts share all they have, a null text has none, a null key stays
+    null. Shuffled are packed hashes, a row for each block of texts and bucket (see uniqueness).
     """
-    w = F.transform(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != ""), lambda t: t)
-    rows = pages.select(key, w.alias("w"))
-    grams = F.array_distinct(F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(0))), lambda _, i: F.xxhash64(F.array_join(F.slice("w", i + 1, k), " "))))
-    exploded = rows.select(key, F.explode(grams).alias("g"))
-    owners = exploded.groupBy("g").agg(F.count("*").alias("n"), F.min(key).alias("owner"))
-    own = owners.where("n = 1").groupBy(F.col("owner").alias(key)).agg(F.count("*").alias("unique"))
-    sizes = rows.select(key, F.size(grams).cast("long").alias("shingles"))
-    out = sizes.join(own, key, "left").withColumn("unique", F.coalesce("unique", F.lit(0).cast("long")))
+    n_buckets = max(8, size_of(pages) // BUCKET_BYTES + 1)
+    counts = unique_counts(shingled(pages, key, text, k), n_buckets)
     ratio = F.when(F.col("shingles") > 0, F.round(F.col("unique") / F.col("shingles"), 4)).otherwise(0.0)
+    out = counts.select(F.col("key").cast(pages.schema[key].dataType).alias(key), "shingles", "unique")
     return out.withColumn("ratio", ratio).withColumn("thin", F.col("ratio") < least)
 
 

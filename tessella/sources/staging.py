@@ -46,3 +46,10 @@ def small_table(rows: DataFrame, what: str) -> DataFrame:
     if n > SMALL_ROWS:
         raise ValueError(f"{what} holds at most {SMALL_ROWS} rows")
     return rows
+
+
+def size_of(df: DataFrame) -> int:
+    """Catalyst's size estimate of df in bytes, from file sizes; no job is run. It only picks how finely
+    data are dealt out, never what is computed."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 1 << 30
