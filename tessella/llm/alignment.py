@@ -34,7 +34,7 @@ from tessella.llm.ngram_join import NO_ID, block_numbers, checked
 from tessella.llm.words import bytes_of, gather_ranges, give_back, slices, strings_from
 
 #: Bytes of text in a block, about, and texts in an Arrow batch at most.
-BLOCK_BYTES, BATCH_ROWS = 8_000_000, 5_000
+BLOCK_BYTES, BATCH_ROWS = 5_000_000, 5_000
 BLANK, MARK = 0x20, "▁"
 #: A group: the labels up to the next byte at which both sides end.
 LABELS, SPAN = b".abc", re.compile(rb"[.ab]*c")
