@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.staging import checkpointed
+from tessella.sources.staging import stored
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
@@ -27,41 +27,52 @@ def behind_cycles(edges: DataFrame) -> tuple[DataFrame, int]:
     Compressed is a node in the middle of a chain (it lies behind one if its only predecessor
     does), of neighbours on a chain only the one of least hash. So chains and trees shrink by a share
     of their nodes in each round, however deep they are. What is left has a predecessor for
-    each node: all of it is on or behind a cycle, and the notes are followed backwards.
+    each node: all of it is on or behind a cycle, and so is what the notes lead to from there.
 
     Null sources and targets are left out; repeated edges count once; an edge from a node to
     itself is a cycle. Shuffled: the edges left, by their ends.
     """
-    left = checkpointed(edges.select("source", "target").dropna().distinct())
+    left = stored(edges.select("source", "target").dropna().distinct(), "edges")
     notes: list[DataFrame] = []
     rounds, n = 0, left.count()
     while n:
         rounds += 1
         nodes = _degrees(left)
         both = left.join(_named(nodes, "s", "n_in"), F.col("source") == F.col("s_node")).join(_named(nodes, "t", "n_out"), F.col("target") == F.col("t_node"))
-        both = checkpointed(both.select("source", "target", (F.col("s_n_in") == 0).alias("free"), (F.col("t_n_out") == 0).alias("last")))
+        both = stored(both.select("source", "target", (F.col("s_n_in") == 0).alias("free"), (F.col("t_n_out") == 0).alias("last")), "raked")
         notes.append(both.where("last and not free").select(F.col("target").alias("node"), F.col("source").alias("because")))
         kept = both.where("not free and not last").select("source", "target")
         nodes = _degrees(kept)
-        chained = nodes.where("n_in = 1 and n_out = 1 and not loop").withColumn("h", F.xxhash64("node", F.lit(rounds)))
+        chained = stored(nodes.where("n_in = 1 and n_out = 1 and not loop").withColumn("h", F.xxhash64("node", F.lit(rounds))), "chained")
         order = F.struct("h", "node")
         around = chained.select("node", "before", "after", order.alias("own"))
         for side in ("before", "after"):
             near = chained.select(F.col("node").alias(f"{side}_node"), order.alias(f"{side}_order"))
             around = around.join(near, F.col(side) == F.col(f"{side}_node"), "left")
         least = (F.col("before_order").isNull() | (F.col("own") < F.col("before_order"))) & (F.col("after_order").isNull() | (F.col("own") < F.col("after_order")))
-        gone = checkpointed(around.where(least).select("node", "before", "after"))
+        gone = stored(around.where(least).select("node", "before", "after"), "compressed")
         notes.append(gone.select("node", F.col("before").alias("because")))
-        out = gone.select(F.col("node").alias("gone"))
-        kept = kept.join(out, F.col("source") == F.col("gone"), "left_anti").join(out, F.col("target") == F.col("gone"), "left_anti")
-        left = checkpointed(kept.union(gone.select("before", "after")).distinct())
+        # A compressed node has one edge to it and one from it; both become one around it.
+        cut = gone.select(F.col("before").alias("source"), F.col("node").alias("target")).union(gone.select("node", "after"))
+        left = stored(kept.join(cut, ["source", "target"], "left_anti").union(gone.select("before", "after")).distinct(), "edges")
         before, n = n, left.count()
-        if n == before and not gone.limit(1).count() and not both.where("free or last").limit(1).count():
+        if n == before:  # nothing raked, and nothing compressed, which takes away an edge each
             break
     found = left.select(F.col("source").alias("node")).union(left.select(F.col("target").alias("node"))).distinct()
-    for note in reversed(notes):
-        more = note.join(found.select(F.col("node").alias("known")), F.col("because") == F.col("known"), "left_semi").select("node").distinct()
-        found = checkpointed(found.union(more).distinct())
+    if not notes:
+        return found, rounds
+    why = notes[0]
+    for note in notes[1:]:
+        why = why.union(note)
+    why = stored(why, "notes")
+    newest, parts = stored(found, "found"), []
+    while newest.limit(1).count():  # along the notes, which are as deep as there were rounds at most twice over
+        parts.append(newest)
+        why = stored(why.join(newest, "node", "left_anti"), "notes")
+        newest = stored(why.join(newest.select(F.col("node").alias("because")), "because", "left_semi").select("node").distinct(), "found")
+    found = parts[0] if parts else newest
+    for part in parts[1:]:
+        found = found.union(part)
     return found, rounds
 
 

@@ -37,13 +37,13 @@ def entry(tag: str, url: str | Column, lastmod: str | None = None) -> Column:
     return F.concat(F.lit(f"  <{tag}>\n    <loc>"), xml_escaped(url), F.lit("</loc>\n"), stamp, F.lit(f"  </{tag}>\n"))
 
 
-def documents(urls: DataFrame, order: str = "idx", size: int = MAX_URLS, lastmod: str | None = None) -> DataFrame:
-    """(chunk, n_urls, bytes, too_large, xml): a file for each chunk of at most `size` URLs."""
+def documents(urls: DataFrame, order: str = "idx", size: int = MAX_URLS, lastmod: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(chunk, n_urls, bytes, too_large, xml): a file for each chunk of at most `size` URLs; too_large above max_bytes."""
     rows = chunked(kept_urls(urls), order, size).withColumn("line", entry("url", "url", lastmod))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda s: s["line"]), "")
     files = rows.groupBy("chunk").agg(F.count("*").alias("n_urls"), body.alias("body"))
     xml = F.concat(F.lit(f'{HEAD}<urlset xmlns="{NAMESPACE}">\n'), "body", F.lit("</urlset>\n"))
-    return files.select("chunk", "n_urls", xml.alias("xml")).withColumn("bytes", F.octet_length("xml").cast("long")).withColumn("too_large", F.col("bytes") > MAX_BYTES)
+    return files.select("chunk", "n_urls", xml.alias("xml")).withColumn("bytes", F.octet_length("xml").cast("long")).withColumn("too_large", F.col("bytes") > max_bytes)
 
 
 def index(files: DataFrame, stem: str, extension: str = ".xml", base_url: str = "", lastmod: str | None = None) -> DataFrame:

@@ -496,4 +496,4 @@ def cyclic_nodes(spark, sf_dir):
     return audit.cyclic_nodes(edges).where("node <> 'a'")
 
 
-from tessella.plans import derived, more, nested, scaled, streams, timed  # noqa: E402, F401  register further queries
+from tessella.plans import derived, more, nested, scaled, streams, tabled, timed  # noqa: E402, F401  register further queries

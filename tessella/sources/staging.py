@@ -36,6 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once into the shared folder and read again, which cuts its lineage; it goes when Spark ends.
+    (A checkpoint computes what it stores twice.)"""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of a table that every row of another is set beside.
 SMALL_ROWS = 10_000
 
