@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import mimetypes
-import posixpath
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,83 +96,94 @@ def pages(designs: DataFrame) -> DataFrame:
     return designs.withColumn("page", page)
 
 
+# Beginnings of references that lead out of a build, and what is inlined, in the order of its notes.
 REMOTE = ("http://", "https://", "//", "data:", "mailto:", "tel:", "#")
-
-
-def path_status(url: str, known: dict | set) -> tuple[str, str]:
-    """(REMOTE, UNSAFE, MISSING or OK; the path). Absolute paths, drive letters and paths that
-    climb out of the build are refused; query and fragment don't count."""
-    path = url.split("?")[0].split("#")[0]
-    if url.startswith(REMOTE) or not path:
-        return "REMOTE", url
-    if path.startswith(("/", "\\")) or re.match("[A-Za-z]:", path):
-        return "UNSAFE", path
-    plain = posixpath.normpath(path.replace("\\", "/"))
-    if plain == ".." or plain.startswith("../"):
-        return "UNSAFE", path
-    return ("OK" if plain in known else "MISSING"), plain
-
-
-def bundle_html(html: str, files: dict[str, bytes], image_bytes: int = IMAGE_BYTES) -> tuple[str, list[str]]:
-    """HTML with its style sheets, scripts and small images inside, and notes on what was not."""
-    notes: list[str] = []
-
-    def resolve(kind: str, url: str) -> bytes | None:
-        status, path = path_status(url, files)
-        if status != "OK":
-            notes.append(f"{status.lower()} {kind}: {url}")
-            return None
-        return files[path]
-
-    def sheet(m: re.Match) -> str:
-        href = re.search(r"""href=["']([^"']+)["']""", m[0], re.I)
-        found = href and resolve("css", href[1])
-        return m[0] if found is None or not href else f"<style>\n{found.decode('utf-8', 'replace')}\n</style>"
-
-    def script(m: re.Match) -> str:
-        found = resolve("js", m[2])
-        if found is None:
-            return m[0]
-        rest = m[1] + m[3]
-        if re.search(r"\b(async|defer|nomodule)\b", rest, re.I):
-            notes.append(f"loading hints dropped: {m[2]}")
-        code = re.sub(r"//[#@]\s*sourceMappingURL=.*", "", found.decode("utf-8", "replace"))
-        module = ' type="module"' if re.search(r"""type=["']module["']""", rest, re.I) else ""
-        return f"<script{module}>\n{code}\n</script>"
-
-    def image(m: re.Match) -> str:
-        found = resolve("image", m[1])
-        if found is None:
-            return m[0]
-        if len(found) > image_bytes:
-            notes.append(f"large image: {m[1]}")
-            return m[0]
-        import base64
-
-        kind = mimetypes.guess_type(m[1].split("?")[0])[0] or "image/png"
-        return m[0].replace(m[1], f"data:{kind};base64,{base64.b64encode(found).decode()}")
-
-    html = re.sub(r"""<link[^>]*rel=["']?stylesheet["']?[^>]*>""", sheet, html, flags=re.I)
-    html = re.sub(r"""<script([^>]*)\ssrc=["']([^"']+)["']([^>]*)>\s*</script>""", script, html, flags=re.I)
-    html = re.sub(r"""<img[^>]*\ssrc=["']([^"']+)["'][^>]*>""", image, html, flags=re.I)
-    return html, notes
-
-
-def bundles(builds: DataFrame, image_bytes: int = IMAGE_BYTES) -> DataFrame:
-    """builds (id, html, files: map of path to binary) with bundle and notes.
-
-    A pattern callback is the one thing SQL can't say, so this is an Arrow-batched UDF.
+KINDS = {
+    "css": r"""<link[^>]*rel=["']?stylesheet["']?[^>]*>""",
+    "js": r"""<script[^>]*\ssrc=["'][^"']+["'][^>]*>\s*</script>""",
+    "image": r"""<img[^>]*\ssrc=["'][^"']+["'][^>]*>""",
+}
+ANY_KIND = f"(?i){'|'.join(KINDS.values())}"
+TARGET = {"css": r"""(?i)href=["']([^"']+)["']""", "js": r"""(?i)\ssrc=["']([^"']+)["']""", "image": r"""(?i)\ssrc=["']([^"']+)["']"""}
+IMAGE_TYPES = {ending: kind for ending, kind in mimetypes.types_map.items() if kind.startswith("image/")}
+
+
+def path_of(url: Column) -> Column:
+    """A reference without query and fragment, in plain steps from the build's root: `.` and empty steps are
+    dropped, `..` takes back the step before it, and stays where there is none."""
+    steps = F.split(F.replace(F.regexp_extract(url, r"^[^?#]*", 0), F.lit("\\"), F.lit("/")), "/")
+    back = lambda taken: F.slice(taken, 1, F.greatest(F.size(taken) - 1, F.lit(0)))
+    inner = lambda taken: (F.size(taken) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), taken), -1) != "..")
+    walk = lambda taken, step: F.when(step.isin("", "."), taken).when((step == "..") & inner(taken), back(taken)).otherwise(F.array_append(taken, step))
+    return F.coalesce(F.nullif(F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"), F.lit("")), F.lit("."))
+
+
+def path_status(url: Column) -> Column:
+    """remote, unsafe (an absolute path, a drive letter, a climb out of the build) or inside."""
+    path = F.regexp_extract(url, r"^[^?#]*", 0)
+    remote = (path == "") | F.regexp_like(url, F.lit("^(" + "|".join(re.escape(r) for r in REMOTE) + ")"))
+    out = F.regexp_like(path, F.lit(r"^([/\\]|[A-Za-z]:)")) | F.regexp_like(path_of(url), F.lit(r"^\.\.(/|$)"))
+    return F.when(remote, "remote").when(out, "unsafe").otherwise("inside")
+
+
+def references(pages_: DataFrame, key: str = "id", html: str = "html") -> DataFrame:
+    """(key, pos, tag, kind, url, status, path): the style sheets, scripts and images that a page asks for."""
+    tags = pages_.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(html, F.lit(ANY_KIND), F.lit(0))).alias("pos", "tag"))
+    kind = F.when(F.lower("tag").startswith("<link"), "css").when(F.lower("tag").startswith("<script"), "js").otherwise("image")
+    rows = tags.withColumn("kind", kind)
+    url = F.coalesce(*[F.when(F.col("kind") == k, F.nullif(F.regexp_extract("tag", p, 1), F.lit(""))) for k, p in TARGET.items()])
+    rows = rows.withColumn("url", url)
+    return rows.select("key", "pos", "tag", "kind", "url", path_status(F.col("url")).alias("status"), path_of(F.col("url")).alias("path"))
+
+
+def _inlined(image_bytes: int) -> tuple[Column, Column]:
+    """(what stands in place of a reference's tag, the note on it or null), by its columns and `content`."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    here = F.col("content").isNotNull() & (F.col("status") == "inside")
+    small = F.octet_length("content") <= image_bytes
+    code = F.regexp_replace(text, r"//[#@]\s*sourceMappingURL=.*", "")
+    module = F.when(F.regexp_like("tag", F.lit(r"""(?i)type=["']module["']""")), ' type="module"').otherwise("")
+    ending = F.concat(F.lit("."), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in IMAGE_TYPES.items() for x in pair]), ending), F.lit("image/png"))
+    data = F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("content"))
+    made = F.when(~here, F.col("tag")).when(F.col("kind") == "css", F.concat(F.lit("<style>\n"), text, F.lit("\n</style>")))
+    made = made.when(F.col("kind") == "js", F.concat(F.lit("<script"), module, F.lit(">\n"), code, F.lit("\n</script>")))
+    made = made.when(small, F.replace(F.col("tag"), F.col("url"), data)).otherwise(F.col("tag"))
+    hints = F.regexp_like(F.regexp_replace("tag", r"""(?i)\ssrc=["'][^"']+["']""", ""), F.lit(r"(?i)\b(async|defer|nomodule)\b"))
+    absent = F.when(F.col("status") == "inside", "missing").otherwise(F.col("status"))
+    note = F.when(~here, F.concat_ws("", absent, F.lit(" "), "kind", F.lit(": "), "url"))
+    note = note.when((F.col("kind") == "js") & hints, F.concat(F.lit("loading hints dropped: "), "url"))
+    note = note.when((F.col("kind") == "image") & ~small, F.concat(F.lit("large image: "), "url"))
+    return made, F.when(F.col("url").isNotNull(), note)
+
+
+def bundled(pages_: DataFrame, assets: DataFrame, image_bytes: int = IMAGE_BYTES) -> DataFrame:
+    """pages (id, html) with bundle, the page with its style sheets, scripts and small images inside, and
+    notes on what was not, by kind and place. assets: (id, path, content), the files of each build.
+
+    References are rows that meet their files by id and path; what is found is spliced into the page
+    once, between the pieces that the same pattern leaves of it. Only the page's own tags are
+    replaced, not what inlined files hold. Ids tell pages apart; a null page stays null; of files
+    with equal paths one is taken. Shuffled: references, files asked for, pages.
     """
-    kind = pa.struct([("bundle", pa.string()), ("notes", pa.list_(pa.string()))])
+    files = assets.select(F.col("id").alias("of"), F.col("path").alias("file"), "content").dropDuplicates(["of", "file"])
+    asked = references(pages_)
+    rows = asked.join(files, F.col("key").eqNullSafe(F.col("of")) & (F.col("path") == F.col("file")), "left")
+    made, note = _inlined(image_bytes)
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    rows = rows.select("key", F.struct("pos", made.alias("made")).alias("put"), F.struct(order.alias("order"), "pos", note.alias("note")).alias("said"))
+    whole = rows.groupBy("key").agg(F.sort_array(F.collect_list("put")).alias("puts"), F.sort_array(F.collect_list("said")).alias("said"))
+    out = pages_.join(whole, pages_["id"].eqNullSafe(F.col("key")), "left")
+    pieces = F.split("html", ANY_KIND, -1)
+    spliced = F.zip_with(pieces, F.coalesce(F.col("puts.made"), F.array().cast("array<string>")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    notes = F.filter(F.col("said.note"), lambda n: n.isNotNull())
+    return out.select(*[pages_[c] for c in pages_.columns], F.array_join(spliced, "").alias("bundle"), F.coalesce(notes, F.array().cast("array<string>")).alias("notes"))
 
-    @F.arrow_udf("struct<bundle:string,notes:array<string>>")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for htmls, files in batches:
-            found = [bundle_html(h, dict(f or ()), image_bytes) if h is not None else (None, []) for h, f in zip(htmls.to_pylist(), files.to_pylist(), strict=True)]
-            yield pa.array([{"bundle": b, "notes": n} for b, n in found], kind)
 
-    rows = builds.select(F.struct(*builds.columns).alias("row"), run("html", "files").alias("made"))
-    return rows.select("row.*", "made.*")
+def bundles(builds: DataFrame, image_bytes: int = IMAGE_BYTES) -> DataFrame:
+    """builds (id, html, files: map of path to binary) with bundle and notes; see bundled."""
+    assets = builds.select("id", F.explode("files").alias("path", "content"))
+    return bundled(builds, assets, image_bytes)
 
 
 def unhandled(bundled: DataFrame, html: str = "bundle") -> DataFrame:

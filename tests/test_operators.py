@@ -163,16 +163,41 @@ def test_missing_libraries_fall_back(spark):
     assert r.style_name == "minimal" and r.effects.radius == "6px" and len(r.checklist) == 5 and len(r.fallbacks) == 5
 
 
-def test_paths():
+def test_paths(spark):
     known = {"a/b.css", "c.js"}
     cases = {"a/b.css": "OK", "./a/../c.js?v=1": "OK", "d.js": "MISSING", "../x": "UNSAFE", "a/../../x": "UNSAFE", "/etc/x": "UNSAFE", "C:\\x": "UNSAFE", "\\x": "UNSAFE", "https://x/": "REMOTE", "#top": "REMOTE", "?q": "REMOTE"}
-    assert {u: render.path_status(u, known)[0] for u in cases} == cases
+    rows = spark.createDataFrame([(u,) for u in cases], "url string").select("url", render.path_status(F.col("url")).alias("status"), render.path_of(F.col("url")).alias("path"))
+    assert {r.url: ("OK" if r.path in known else "MISSING") if r.status == "inside" else r.status.upper() for r in rows.collect()} == cases
 
 
-def test_bundle_notes():
-    html, notes = render.bundle_html('<script type="module" src="a.js" async></script><link rel=stylesheet href="x.css"><img src="big.png">', {"a.js": b"x()\n//# sourceMappingURL=q", "big.png": b"0" * 50}, 10)
+@pytest.mark.parametrize("path", ["a", "a/b/../c", "./a//b/.", "..", "../..", "a/../..", "a/../../b/../c", "", ".", "a\\..\\b", "a/./../a"])
+def test_plain_steps(spark, path):
+    import posixpath
+
+    assert spark.range(1).select(render.path_of(F.lit(path))).first()[0] == posixpath.normpath(path.replace("\\", "/"))
+
+
+def test_bundle_notes(spark):
+    def bundle(html, files, most=10):
+        built = spark.createDataFrame([(1, html, files)], "id int, html string, files map<string,binary>")
+        r = render.bundles(built, most).first()
+        return r.bundle, r.notes
+
+    html, notes = bundle('<script type="module" src="a.js" async></script><link rel=stylesheet href="x.css"><img src="big.png">', {"a.js": b"x()\n//# sourceMappingURL=q", "big.png": b"0" * 50})
     assert '<script type="module">' in html and "sourceMappingURL" not in html
     assert notes == ["missing css: x.css", "loading hints dropped: a.js", "large image: big.png"]
+    html, notes = bundle("A<LINK href='s/../t.css?v' rel='stylesheet'>B<img alt='' src='i.JPG'/>C<img src=\"https://x/y.png\"><link rel=stylesheet><script src='../u.js'></script>D", {"t.css": "p{content:'<img src=\"i.JPG\">é'}".encode() + b"\xff", "i.JPG": b"jpg"})
+    assert html == "A<style>\np{content:'<img src=\"i.JPG\">é'}\ufffd\n</style>B<img alt='' src='data:image/jpeg;base64,anBn'/>C<img src=\"https://x/y.png\"><link rel=stylesheet><script src='../u.js'></script>D"
+    assert notes == ["unsafe js: ../u.js", "remote image: https://x/y.png"]
+    assert bundle(None, {}) == (None, []) and bundle("plain", None) == ("plain", [])
+
+
+def test_bundles_of_an_asset_table(spark):
+    pages_ = spark.createDataFrame([(i, f'<img src="{i}.png"><img src="{i}.png">') for i in range(4)] + [(None, "x")], "id long, html string")
+    assets = spark.createDataFrame([(i, f"{i}.png", str(i).encode()) for i in (0, 1, 1, 3)] + [(2, "0.png", b"0")], "id long, path string, content binary")
+    got = {r.id: (r.bundle.count("base64"), r.notes) for r in render.bundled(pages_, assets).collect()}
+    assert got == {0: (2, []), 1: (2, []), 2: (0, ["missing image: 2.png"] * 2), 3: (2, []), None: (0, [])}
+    assert render.bundled(pages_.limit(0), assets).count() == 0
 
 
 @pytest.fixture
