@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import audit, color, consistency, jsonld, pages, recommend, render, robots
 from tessella.plans import fixtures as X
-from tessella.plans.registry import _builds, _designs, load, query
+from tessella.plans.registry import _builds, _designs, case, load, query
 from tessella.sources import sinks
 
 
@@ -25,28 +25,28 @@ def _hex(h: str, s: str, light: str) -> str:
     return f"'#' || {channel(0)} || {channel(8)} || {channel(4)}"
 
 
-@query("palette_colours", f"SELECT industry, {_hex('hue', 'sat', 'light')} AS primary_colour, {_hex('(hue + 28)', 'greatest(0.0, sat - 0.12)', 'least(0.92, light + 0.06)')} AS secondary, {_hex('(hue + 165)', 'least(0.95, sat + 0.10)', '0.55::DOUBLE')} AS accent FROM ({X.SEEDS})")
+@case("palette_colours", f"SELECT industry, {_hex('hue', 'sat', 'light')} AS primary_colour, {_hex('(hue + 28)', 'greatest(0.0, sat - 0.12)', 'least(0.92, light + 0.06)')} AS secondary, {_hex('(hue + 165)', 'least(0.95, sat + 0.10)', '0.55::DOUBLE')} AS accent FROM ({X.SEEDS})")
 def palette_colours(spark, sf_dir):
     return color.palette(spark.sql(X.SEEDS)).select("industry", F.col("primary").alias("primary_colour"), "secondary", "accent")
 
 
-@query("design_sections", values("(1, 'grid', 'hero|collection|reviews'), (2, 'column', 'story|about'), (3, 'hero', 'hero|features|cta'), (4, 'grid', 'hero|collection|reviews')", "id, pattern, sections"))
+@case("design_sections", values("(1, 'grid', 'hero|collection|reviews'), (2, 'column', 'story|about'), (3, 'hero', 'hero|features|cta'), (4, 'grid', 'hero|collection|reviews')", "id, pattern, sections"))
 def design_sections(spark, sf_dir):
     return _designs(spark).select("id", "pattern", F.array_join("key_sections", "|").alias("sections"))
 
 
-@query("style_effects", values("('minimal', '6px'), ('luxury-serif', '2px'), ('neo-brutalist', '0px'), ('soft-ui', '16px'), ('glassmorphism', '14px'), ('dark-tech', '8px'), ('claymorphism', '22px'), ('other', '8px')", "style, radius"))
+@case("style_effects", values("('minimal', '6px'), ('luxury-serif', '2px'), ('neo-brutalist', '0px'), ('soft-ui', '16px'), ('glassmorphism', '14px'), ('dark-tech', '8px'), ('claymorphism', '22px'), ('other', '8px')", "style, radius"))
 def style_effects(spark, sf_dir):
     names = spark.createDataFrame([(n,) for n in [*recommend.EFFECTS, "other"]], "style string")
     return names.select("style", recommend.effects(F.col("style"))["radius"].alias("radius"))
 
 
-@query("bundle_platforms", values("('webflow', true), ('ghl', true), ('wordpress', true), ('wix', true), ('framer', true), ('squarespace', true), ('carrd', true), ('generic', true)", "platform, fits"))
+@case("bundle_platforms", values("('webflow', true), ('ghl', true), ('wordpress', true), ('wix', true), ('framer', true), ('squarespace', true), ('carrd', true), ('generic', true)", "platform, fits"))
 def bundle_platforms(spark, sf_dir):
     return render.platform_fit(render.bundles(_builds(spark))).select("platform", "fits")
 
 
-@query("section_labels", values("('social-proof', 'Social proof', 'social-proof'), ('faq', 'FAQ', 'faq'), ('our story', 'Our Story', 'our-story'), ('a-b', 'A B', 'a-b')", "section, label, id"))
+@case("section_labels", values("('social-proof', 'Social proof', 'social-proof'), ('faq', 'FAQ', 'faq'), ('our story', 'Our Story', 'our-story'), ('a-b', 'A B', 'a-b')", "section, label, id"))
 def section_labels(spark, sf_dir):
     return spark.sql(values("('social-proof'), ('faq'), ('our story'), ('a-b')", "section")).select("section", render.label(F.col("section")).alias("label"), render.section_id(F.col("section")).alias("id"))
 
@@ -61,7 +61,7 @@ def on_page_counts(spark, sf_dir):
     return audit.on_page(load(spark, sf_dir, "pages")).select("url", "headings", "links_in", "links_out")
 
 
-@query("accessibility_counts", values("('https://x.test/1', 1, true), ('http://x.test/2', 0, false), ('https://x.test/3', 0, false)", "url, images_without_alt, has_lang"))
+@case("accessibility_counts", values("('https://x.test/1', 1, true), ('http://x.test/2', 0, false), ('https://x.test/3', 0, false)", "url, images_without_alt, has_lang"))
 def accessibility_counts(spark, sf_dir):
     return audit.accessibility(spark.sql(X.HTML)).select("url", "images_without_alt", "has_lang")
 
@@ -81,12 +81,12 @@ def in_every(spark, sf_dir):
     return audit.in_every(load(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@query("intents", values("('buy shoes', 'transactional'), ('best shoes', 'commercial'), ('shop login', 'navigational'), ('shoes', 'informational')", "keyword, intent"))
+@case("intents", values("('buy shoes', 'transactional'), ('best shoes', 'commercial'), ('shop login', 'navigational'), ('shoes', 'informational')", "keyword, intent"))
 def intents(spark, sf_dir):
     return audit.intents(spark.sql(values("('buy shoes'), ('best shoes'), ('shop login'), ('shoes')", "keyword")))
 
 
-@query("keyword_groups", values("('k1', 'k1'), ('k2', 'k1')", "keyword, cluster"))
+@case("keyword_groups", values("('k1', 'k1'), ('k2', 'k1')", "keyword, cluster"))
 def keyword_groups(spark, sf_dir):
     return audit.cluster_ids(audit.keyword_clusters(spark.sql(X.RESULTS), least=2))
 
@@ -114,12 +114,12 @@ def backlinks(spark, sf_dir):
     return audit.backlinks(load(spark, sf_dir, "pages").select(F.col("url").alias("source_url"), (F.col("page_id") % 10).alias("target"), F.substring("url", 1, 12).alias("anchor")))
 
 
-@query("nap_mismatches", values("('c', 2::BIGINT, 1::BIGINT, 1::BIGINT)", "business, names, addresses, phones"))
+@case("nap_mismatches", values("('c', 2::BIGINT, 1::BIGINT, 1::BIGINT)", "business, names, addresses, phones"))
 def nap_mismatches(spark, sf_dir):
     return audit.nap_mismatches(spark.sql(values("('b', 'N', 'S 1', '12-3'), ('b', 'n', 'S-1', '123'), ('c', 'N', 'x', '1'), ('c', 'M', 'x', '1')", "business, name, address, phone")))
 
 
-@query("page_overrides", values("('p', 't', '9'), ('p', 'u', '2'), ('q', 't', '1'), ('q', 'u', '8')", "page, token, value"))
+@case("page_overrides", values("('p', 't', '9'), ('p', 'u', '2'), ('q', 't', '1'), ('q', 'u', '8')", "page, token, value"))
 def page_overrides(spark, sf_dir):
     return audit.page_overrides(spark.sql(values("('t', '1'), ('u', '2')", "token, value")), spark.sql(values("('p', 't', '9'), ('q', 'u', '8')", "page, token, value")))
 
@@ -158,7 +158,7 @@ def active_touches(spark, sf_dir):
     return audit.active_touches(orders, orders.where("o_orderstatus = 'F'"))
 
 
-@query("complete", values("('a', false, 'g'), ('b', true, ''), ('c', false, 'f,g')", "id, complete, open"))
+@case("complete", values("('a', false, 'g'), ('b', true, ''), ('c', false, 'f,g')", "id, complete, open"))
 def complete(spark, sf_dir):
     return audit.complete(spark.sql(values("('a', 'x', ' tbd '), ('b', 'x', 'y'), ('c', '', NULL)", "id, f, g")), "id", ["f", "g"])
 
@@ -168,7 +168,7 @@ def image_names(spark, sf_dir):
     return audit.image_names(load(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_type").alias("preset"))).select("p_partkey", "file")
 
 
-@query("fix_time", f"SELECT severity, count(*) AS n, round(sum(CASE severity WHEN 'critical' THEN 4.0 WHEN 'high' THEN 1.5 ELSE 0.0 END)::DOUBLE, 2) AS hours FROM ({X.FINDINGS}) GROUP BY severity")
+@case("fix_time", f"SELECT severity, count(*) AS n, round(sum(CASE severity WHEN 'critical' THEN 4.0 WHEN 'high' THEN 1.5 ELSE 0.0 END)::DOUBLE, 2) AS hours FROM ({X.FINDINGS}) GROUP BY severity")
 def fix_time(spark, sf_dir):
     return audit.fix_time(spark.sql(X.FINDINGS), {"critical": 4.0, "high": 1.5})
 
@@ -188,32 +188,32 @@ def dominant(spark, sf_dir):
 _FILES = values("('a.md', 'v1.2.3 and 2.0.0, `s/x.py`' || chr(10) || 'secret name' || chr(10) || '5/6 checks passed'), ('s/x.py', ''), ('s/y.py', '')", "path, content")
 
 
-@query("unrecorded_files", values("('s/y.py')", "path"))
+@case("unrecorded_files", values("('s/y.py')", "path"))
 def unrecorded_files(spark, sf_dir):
     return consistency.unrecorded(spark.sql(_FILES), spark.sql(_FILES))
 
 
-@query("stale_versions", values("('a.md', '1.2.3')", "path, version"))
+@case("stale_versions", values("('a.md', '1.2.3')", "path, version"))
 def stale_versions(spark, sf_dir):
     return consistency.stale_versions(spark.sql(_FILES), "2.0.0")
 
 
-@query("denied_names", values("('a.md', 'secret')", "path, name"))
+@case("denied_names", values("('a.md', 'secret')", "path, name"))
 def denied_names(spark, sf_dir):
     return consistency.denied_names(spark.sql(_FILES), spark.sql(values("('secret'), ('none')", "name")))
 
 
-@query("wrong_counts", values("('docs', 3, 1::BIGINT)", "claim, claimed, actual"))
+@case("wrong_counts", values("('docs', 3, 1::BIGINT)", "claim, claimed, actual"))
 def wrong_counts(spark, sf_dir):
     return consistency.wrong_counts(spark.sql(_FILES), spark.sql(values("('scripts', 2, 's/%'), ('docs', 3, '%.md')", "claim, claimed, `like`")))
 
 
-@query("bare_lines", values("('a.md', 2, 'secret name')", "path, line_no, line"))
+@case("bare_lines", values("('a.md', 2, 'secret name')", "path, line_no, line"))
 def bare_lines(spark, sf_dir):
     return consistency.bare_lines(spark.sql(_FILES), "^secret")
 
 
-@query("passed_checks", values("('a.md', 5, 6, false)", "path, passed, total, all_passed"))
+@case("passed_checks", values("('a.md', 5, 6, false)", "path, passed, total, all_passed"))
 def passed_checks(spark, sf_dir):
     return consistency.passed_checks(spark.sql(_FILES))
 
@@ -225,22 +225,22 @@ def unmatched_fields(spark, sf_dir):
     return consistency.unmatched_fields(nation, other, "n_name", ["key"])
 
 
-@query("jsonld_types", "SELECT * FROM (VALUES ('Organization', 2), ('LocalBusiness', 2), ('Article', 3), ('Product', 2), ('BreadcrumbList', 1), ('FAQPage', 1), ('Event', 3), ('Person', 1), ('WebSite', 2), ('Review', 3), ('VideoObject', 4)) AS t(type, n_required)")
+@case("jsonld_types", "SELECT * FROM (VALUES ('Organization', 2), ('LocalBusiness', 2), ('Article', 3), ('Product', 2), ('BreadcrumbList', 1), ('FAQPage', 1), ('Event', 3), ('Person', 1), ('WebSite', 2), ('Review', 3), ('VideoObject', 4)) AS t(type, n_required)")
 def jsonld_types(spark, sf_dir):
     return jsonld.list_spec(spark).select("type", F.size(F.split("required", ", ")).alias("n_required"))
 
 
-@query("llms_txt", values("('a', true, true, 5), ('b', true, false, 4), ('c', false, NULL, NULL)", "site, present, has_headings, length"))
+@case("llms_txt", values("('a', true, true, 5), ('b', true, false, 4), ('c', false, NULL, NULL)", "site, present, has_headings, length"))
 def llms_txt(spark, sf_dir):
     return robots.llms_txt(spark.sql(values("('a', 'x' || chr(10) || '# y'), ('b', 'none'), ('c', CAST(NULL AS STRING))", "site, body")))
 
 
-@query("robots_citation", "SELECT bot, kind FROM (VALUES ('GPTBot', 'training'), ('ClaudeBot', 'training'), ('Google-Extended', 'training'), ('CCBot', 'training'), ('OAI-SearchBot', 'retrieval'), ('Claude-SearchBot', 'retrieval'), ('PerplexityBot', 'retrieval')) AS t(bot, kind)")
+@case("robots_citation", "SELECT bot, kind FROM (VALUES ('GPTBot', 'training'), ('ClaudeBot', 'training'), ('Google-Extended', 'training'), ('CCBot', 'training'), ('OAI-SearchBot', 'retrieval'), ('Claude-SearchBot', 'retrieval'), ('PerplexityBot', 'retrieval')) AS t(bot, kind)")
 def robots_citation(spark, sf_dir):
     return robots.blocked(spark.sql(X.ROBOTS), "citation").select("bot", "kind").distinct()
 
 
-@query("audit_status", values("('a', false), ('b', true), ('c', false)", "url, failed"))
+@case("audit_status", values("('a', false), ('b', true), ('c', false)", "url, failed"))
 def audit_status(spark, sf_dir):
     return pages.audit_status(spark.sql(values("('a', 'x', NULL), ('b', NULL, 'timeout'), ('c', NULL, NULL)", "url, html, error")))
 

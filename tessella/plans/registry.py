@@ -25,6 +25,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Small literal cases, which tests run as they run queries; what they show is queried over whole tables too.
+CASES: dict[str, Query] = {}
+CASE_SQL: dict[str, str] = {}
+
+
+def case(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        CASES[name] = f
+        if sql is not None:
+            CASE_SQL[name] = sql
+        return f
+
+    return add
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -143,7 +158,7 @@ def page_snapshot(spark, sf_dir):
     return pages.snapshot(load(spark, sf_dir, "pages"))
 
 
-@query("page_snapshot_fixture", _SNAP + f"({X.HTML})")
+@case("page_snapshot_fixture", _SNAP + f"({X.HTML})")
 def page_snapshot_fixture(spark, sf_dir):
     return pages.snapshot(spark.sql(X.HTML))
 
@@ -179,7 +194,7 @@ def tech_findings(spark, sf_dir):
     return pages.findings(load(spark, sf_dir, "pages")).select("url", "code", "severity")
 
 
-@query("tech_findings_fixture", _findings_sql(f"({X.HTML})"))
+@case("tech_findings_fixture", _findings_sql(f"({X.HTML})"))
 def tech_findings_fixture(spark, sf_dir):
     return pages.findings(spark.sql(X.HTML)).select("url", "code", "severity")
 
@@ -192,7 +207,7 @@ def tech_severity_counts(spark, sf_dir):
 _HEADERS = """SELECT * FROM (VALUES ('u1', 'referrer-policy,content-security-policy'), ('u2', ''), ('u3', 'strict-transport-security,content-security-policy,x-content-type-options,referrer-policy')) AS t(url, names)"""
 
 
-@query("security_headers", f"""WITH h AS (SELECT url, string_split(names, ',') AS n FROM ({_HEADERS})), k AS (SELECT * FROM (VALUES (1, 'strict-transport-security', 'HSTS'), (2, 'content-security-policy', 'CSP'), (3, 'x-content-type-options', 'X-Content-Type-Options'), (4, 'referrer-policy', 'Referrer-Policy')) AS k(i, name, label))
+@case("security_headers", f"""WITH h AS (SELECT url, string_split(names, ',') AS n FROM ({_HEADERS})), k AS (SELECT * FROM (VALUES (1, 'strict-transport-security', 'HSTS'), (2, 'content-security-policy', 'CSP'), (3, 'x-content-type-options', 'X-Content-Type-Options'), (4, 'referrer-policy', 'Referrer-Policy')) AS k(i, name, label))
 SELECT url, CASE WHEN list_contains(n, name) THEN 'info' ELSE 'medium' END AS severity, string_agg(label, ', ' ORDER BY i) AS headers FROM h, k GROUP BY ALL""")
 def security_headers(spark, sf_dir):
     sent = F.map_from_entries(F.transform(F.filter(F.split("names", ","), lambda n: n != ""), lambda n: F.struct(n, F.lit("x"))))
@@ -252,7 +267,7 @@ def sitemap_rejected(spark, sf_dir):
     return sitemap.rejected(urls)
 
 
-@query("sitemap_validate", """SELECT * FROM (VALUES (1, 'urlset', 2, 1, false, 'relative_urls', ''), (2, 'sitemapindex', 1, 0, true, '', ''), (3, 'urlset', 0, 0, false, 'no_entries', 'namespace'), (4, NULL, 0, 0, false, 'malformed', ''), (5, 'feed', 0, 0, false, 'unexpected_root', 'namespace'), (6, NULL, 0, 0, false, 'malformed', '')) AS t(id, root, n, n_relative, valid, errors, warnings)""")
+@case("sitemap_validate", """SELECT * FROM (VALUES (1, 'urlset', 2, 1, false, 'relative_urls', ''), (2, 'sitemapindex', 1, 0, true, '', ''), (3, 'urlset', 0, 0, false, 'no_entries', 'namespace'), (4, NULL, 0, 0, false, 'malformed', ''), (5, 'feed', 0, 0, false, 'unexpected_root', 'namespace'), (6, NULL, 0, 0, false, 'malformed', '')) AS t(id, root, n, n_relative, valid, errors, warnings)""")
 def sitemap_validate(spark, sf_dir):
     return sitemap.validate(spark.sql(X.SITEMAPS))
 
@@ -260,12 +275,12 @@ def sitemap_validate(spark, sf_dir):
 # --- robots, languages, structured data
 
 
-@query("robots_policy", """SELECT * FROM (VALUES ('a', 'blocks_training', 'Bytespider,CCBot,ClaudeBot,GPTBot,Google-Extended', true), ('b', 'blocks_training', 'CCBot,GPTBot', false), ('c', 'blocks_training', 'ClaudeBot', false), ('d', 'silent', '', false), ('e', 'silent', '', false), ('f', 'mentions_only', 'GPTBot', false)) AS t(site, policy, bots, has_sitemap)""")
+@case("robots_policy", """SELECT * FROM (VALUES ('a', 'blocks_training', 'Bytespider,CCBot,ClaudeBot,GPTBot,Google-Extended', true), ('b', 'blocks_training', 'CCBot,GPTBot', false), ('c', 'blocks_training', 'ClaudeBot', false), ('d', 'silent', '', false), ('e', 'silent', '', false), ('f', 'mentions_only', 'GPTBot', false)) AS t(site, policy, bots, has_sitemap)""")
 def robots_policy(spark, sf_dir):
     return robots.policy(spark.sql(X.ROBOTS))
 
 
-@query("robots_groups", r"""WITH l AS (SELECT site, i AS pos, regexp_replace(regexp_replace(string_split(raw, chr(10))[i], '#.*$', ''), '\s+$', '') AS line FROM (""" + X.ROBOTS + r""") r, range(1, 20) t(i) WHERE i <= len(string_split(raw, chr(10)))),
+@case("robots_groups", r"""WITH l AS (SELECT site, i AS pos, regexp_replace(regexp_replace(string_split(raw, chr(10))[i], '#.*$', ''), '\s+$', '') AS line FROM (""" + X.ROBOTS + r""") r, range(1, 20) t(i) WHERE i <= len(string_split(raw, chr(10)))),
 a AS (SELECT *, regexp_matches(line, '(?i)^\s*user-agent\s*:') AS is_a FROM l), b AS (SELECT *, is_a AND NOT coalesce(lag(is_a) OVER (PARTITION BY site ORDER BY pos), false) AS begins FROM a),
 g AS (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY site ORDER BY pos) AS group_id FROM b)
 SELECT site, CAST(group_id AS BIGINT) AS group_id, string_agg(DISTINCT CASE WHEN is_a THEN lower(trim(regexp_extract(line, '^[^:]*:(.*)$', 1))) END, ',' ORDER BY CASE WHEN is_a THEN lower(trim(regexp_extract(line, '^[^:]*:(.*)$', 1))) END) AS agents,
@@ -274,12 +289,12 @@ def robots_groups(spark, sf_dir):
     return robots.groups(spark.sql(X.ROBOTS)).withColumn("agents", F.array_join("agents", ","))
 
 
-@query("hreflang_faults", """SELECT * FROM (VALUES ('https://a.test/en', 3, 'DE', 'relative_href'), ('https://a.test/en', 3, 'DE', 'duplicate'), ('https://a.test/de', 1, 'en-UK1', 'bad_region'), ('https://a.test/fr', 0, 'fr-FR-x', 'bad_segments'), ('https://a.test/fr', 1, 'qq', 'bad_language')) AS t(page, pos, code, fault)""")
+@case("hreflang_faults", """SELECT * FROM (VALUES ('https://a.test/en', 3, 'DE', 'relative_href'), ('https://a.test/en', 3, 'DE', 'duplicate'), ('https://a.test/de', 1, 'en-UK1', 'bad_region'), ('https://a.test/fr', 0, 'fr-FR-x', 'bad_segments'), ('https://a.test/fr', 1, 'qq', 'bad_language')) AS t(page, pos, code, fault)""")
 def hreflang_faults(spark, sf_dir):
     return locale.entry_faults(spark.sql(X.HREFLANG))
 
 
-@query("hreflang_validate", f"""WITH e AS ({X.HREFLANG}), f AS (SELECT page, count(*) AS n, bool_or(hreflang = 'x-default') AS has_x_default, bool_or(href = page) AS has_self FROM e GROUP BY page),
+@case("hreflang_validate", f"""WITH e AS ({X.HREFLANG}), f AS (SELECT page, count(*) AS n, bool_or(hreflang = 'x-default') AS has_x_default, bool_or(href = page) AS has_self FROM e GROUP BY page),
 x AS (SELECT * FROM (VALUES ('https://a.test/en', 2), ('https://a.test/de', 1), ('https://a.test/fr', 2)) AS t(page, faults))
 SELECT page, n, CAST(faults + CASE WHEN has_self THEN 0 ELSE 1 END AS BIGINT) AS errors, faults = 0 AND has_self AS valid, has_x_default, has_self FROM f JOIN x USING (page)""")
 def hreflang_validate(spark, sf_dir):
@@ -287,36 +302,36 @@ def hreflang_validate(spark, sf_dir):
     return locale.validate(entries, entries.select("page", F.col("page").alias("self_url")).distinct())
 
 
-@query("hreflang_reciprocity", f"""WITH e AS ({X.HREFLANG}), l AS (SELECT DISTINCT page, href FROM e WHERE href <> page)
+@case("hreflang_reciprocity", f"""WITH e AS ({X.HREFLANG}), l AS (SELECT DISTINCT page, href FROM e WHERE href <> page)
 SELECT page, href FROM l WHERE href IN (SELECT page FROM e) AND NOT EXISTS (SELECT 1 FROM l b WHERE b.page = l.href AND b.href = l.page)""")
 def hreflang_reciprocity(spark, sf_dir):
     entries = spark.sql(X.HREFLANG)
     return locale.not_reciprocal(entries, entries.select("page", F.col("page").alias("self_url")).distinct())
 
 
-@query("hreflang_tags", f"""SELECT page, pos, '<link rel="alternate" hreflang="' || hreflang || '" href="' || href || '" />' AS tag FROM ({X.HREFLANG})""")
+@case("hreflang_tags", f"""SELECT page, pos, '<link rel="alternate" hreflang="' || hreflang || '" href="' || href || '" />' AS tag FROM ({X.HREFLANG})""")
 def hreflang_tags(spark, sf_dir):
     return locale.tags(spark.sql(X.HREFLANG).withColumnRenamed("hreflang", "code"))
 
 
-@query("jsonld_validate", """SELECT * FROM (VALUES (1, 'Article', '', 'image,dateModified,publisher', 'see_note', true), (2, 'Article', 'headline,author,datePublished', 'image,dateModified,publisher', 'see_note', false), (3, 'Event', 'location', 'endDate,offers,performer,image,eventStatus', 'no_context', false), (4, 'Person', '', 'url,image,sameAs,jobTitle', '', true), (5, 'Product', 'image', 'description,brand,offers,aggregateRating,review,sku,gtin', 'see_note', false)) AS t(id, type, missing_required, missing_recommended, warnings, ok)""")
+@case("jsonld_validate", """SELECT * FROM (VALUES (1, 'Article', '', 'image,dateModified,publisher', 'see_note', true), (2, 'Article', 'headline,author,datePublished', 'image,dateModified,publisher', 'see_note', false), (3, 'Event', 'location', 'endDate,offers,performer,image,eventStatus', 'no_context', false), (4, 'Person', '', 'url,image,sameAs,jobTitle', '', true), (5, 'Product', 'image', 'description,brand,offers,aggregateRating,review,sku,gtin', 'see_note', false)) AS t(id, type, missing_required, missing_recommended, warnings, ok)""")
 def jsonld_validate(spark, sf_dir):
     found = jsonld.validate(spark.sql(X.JSONLD))
     return found.select("id", "type", *[F.array_join(c, ",").alias(c) for c in ("missing_required", "missing_recommended", "warnings")], "ok")
 
 
-@query("jsonld_missing", """SELECT id, CAST(0 AS INTEGER) AS pos, type, unnest(string_split(r, ',')) AS property, 'required' AS kind FROM (VALUES (2, 'Article', 'headline,author,datePublished'), (3, 'Event', 'location'), (5, 'Product', 'image')) AS t(id, type, r)
+@case("jsonld_missing", """SELECT id, CAST(0 AS INTEGER) AS pos, type, unnest(string_split(r, ',')) AS property, 'required' AS kind FROM (VALUES (2, 'Article', 'headline,author,datePublished'), (3, 'Event', 'location'), (5, 'Product', 'image')) AS t(id, type, r)
 UNION ALL SELECT id, CAST(0 AS INTEGER), type, unnest(string_split(r, ',')), 'recommended' FROM (VALUES (1, 'Article', 'image,dateModified,publisher'), (2, 'Article', 'image,dateModified,publisher'), (3, 'Event', 'endDate,offers,performer,image,eventStatus'), (4, 'Person', 'url,image,sameAs,jobTitle'), (5, 'Product', 'description,brand,offers,aggregateRating,review,sku,gtin')) AS t(id, type, r)""")
 def jsonld_missing(spark, sf_dir):
     return jsonld.missing(spark.sql(X.JSONLD))
 
 
-@query("jsonld_id_resolution", """SELECT * FROM (VALUES ('p1', '#me'), ('p3', '#you')) AS t(url, ref)""")
+@case("jsonld_id_resolution", """SELECT * FROM (VALUES ('p1', '#me'), ('p3', '#you')) AS t(url, ref)""")
 def jsonld_id_resolution(spark, sf_dir):
     return jsonld.unresolved_ids(spark.sql(X.IDS))
 
 
-@query("jsonld_generate", """SELECT 'Person' AS type, '{"@context":"https://schema.org","@type":"Robot","name":"N"}' AS json""")
+@case("jsonld_generate", """SELECT 'Person' AS type, '{"@context":"https://schema.org","@type":"Robot","name":"N"}' AS json""")
 def jsonld_generate(spark, sf_dir):
     return jsonld.generate(spark.sql("""SELECT 'Person' AS type, map('@type', 'Robot', 'name', 'N') AS data""")).select("type", "json")
 
@@ -334,12 +349,12 @@ def _lum(c: str) -> str:
 _PAIRS = "SELECT * FROM (VALUES ('#ffffff', '#000000'), ('#336699', '#ffffff'), ('#111418', '#2c61dd'), ('#0a0a0a', '#0b0b0b')) AS t(a, b)"
 
 
-@query("palette_contrast", f"SELECT a, b, round((greatest(x, y) + 0.05) / (least(x, y) + 0.05), 2) AS contrast FROM (SELECT a, b, {_lum('a')} AS x, {_lum('b')} AS y FROM ({_PAIRS}))")
+@case("palette_contrast", f"SELECT a, b, round((greatest(x, y) + 0.05) / (least(x, y) + 0.05), 2) AS contrast FROM (SELECT a, b, {_lum('a')} AS x, {_lum('b')} AS y FROM ({_PAIRS}))")
 def palette_contrast(spark, sf_dir):
     return spark.sql(_PAIRS).select("a", "b", color.contrast(F.col("a"), F.col("b")).alias("contrast"))
 
 
-@query("palette_derived")
+@case("palette_derived")
 def palette_derived(spark, sf_dir):
     return color.palette(spark.sql(X.SEEDS))
 
@@ -348,12 +363,12 @@ def _designs(spark: SparkSession) -> DataFrame:
     return recommend.compose(spark.sql(X.REQUESTS), spark.sql(X.PRODUCTS), spark.sql(X.STYLES), spark.sql(X.PALETTES))
 
 
-@query("design_pick", """SELECT * FROM (VALUES (1, 'shop', true, 'bold', true, 'sun', true, 'popups|quiet'), (2, 'journal', true, 'plain', false, 'ink', true, 'ads|popups|noise'), (3, 'landing', false, 'plain', true, 'ink', false, 'clutter|slow|noise'), (4, 'shop', true, 'soft glass', true, 'sun', true, 'popups|print')) AS t(id, product, product_matched, style, style_matched, palette, palette_matched, avoided)""")
+@case("design_pick", """SELECT * FROM (VALUES (1, 'shop', true, 'bold', true, 'sun', true, 'popups|quiet'), (2, 'journal', true, 'plain', false, 'ink', true, 'ads|popups|noise'), (3, 'landing', false, 'plain', true, 'ink', false, 'clutter|slow|noise'), (4, 'shop', true, 'soft glass', true, 'sun', true, 'popups|print')) AS t(id, product, product_matched, style, style_matched, palette, palette_matched, avoided)""")
 def design_pick(spark, sf_dir):
     return _designs(spark).select("id", F.col("product.product_type").alias("product"), "product_matched", F.col("style_name").alias("style"), "style_matched", F.col("palette.name").alias("palette"), "palette_matched", F.array_join("anti_patterns", "|").alias("avoided"))
 
 
-@query("design_fallbacks")
+@case("design_fallbacks")
 def design_fallbacks(spark, sf_dir):
     return recommend.compose(spark.sql(X.REQUESTS)).select("id", "pattern", "style_name", F.col("effects.radius").alias("radius"), F.array_join("key_sections", ",").alias("sections"), F.size("checklist").alias("checks"), F.array_join("fallbacks", ",").alias("fallbacks"))
 
@@ -362,17 +377,17 @@ _DESIGN = """SELECT 'Shop & Co' AS product_type, named_struct('primary', '#11223
 named_struct('heading_font', 'Open Sans', 'body_font', CAST(NULL AS STRING)) AS typography, named_struct('radius', '8px', 'motion', '1s') AS effects, array('hero', 'features', 'cta', 'our story') AS key_sections"""
 
 
-@query("token_css", """SELECT ':root {' || chr(10) || '  --color-primary: #112233;' || chr(10) || '  --color-bg: #ffffff;' || chr(10) || '  --color-text: #000000;' || chr(10) || '  --color-on-primary: #ffffff;' || chr(10) || '  --font-heading: "Open Sans", serif;' || chr(10) || '  --radius: 8px;' || chr(10) || '}' || chr(10) AS css""")
+@case("token_css", """SELECT ':root {' || chr(10) || '  --color-primary: #112233;' || chr(10) || '  --color-bg: #ffffff;' || chr(10) || '  --color-text: #000000;' || chr(10) || '  --color-on-primary: #ffffff;' || chr(10) || '  --font-heading: "Open Sans", serif;' || chr(10) || '  --radius: 8px;' || chr(10) || '}' || chr(10) AS css""")
 def token_css(spark, sf_dir):
     return render.token_sheets(spark.sql(_DESIGN)).select("css")
 
 
-@query("token_sheets")
+@case("token_sheets")
 def token_sheets(spark, sf_dir):
     return render.token_sheets(spark.sql(_DESIGN)).select("scss", "tailwind", "json")
 
 
-@query("render_page")
+@case("render_page")
 def render_page(spark, sf_dir):
     return render.pages(spark.sql(_DESIGN)).select("product_type", "page")
 
@@ -382,12 +397,12 @@ def _builds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("b1", html, {"s.css": b"p{}", "a.js": b"go()\n//# sourceMappingURL=a.map", "p.png": b"\x89PNG"})], "id string, html string, files map<string,binary>")
 
 
-@query("portable_inline")
+@case("portable_inline")
 def portable_inline(spark, sf_dir):
     return render.unhandled(render.bundles(_builds(spark))).select("id", "bundle", F.array_join("notes", "|").alias("notes"), F.array_join("references", ",").alias("references"))
 
 
-@query("platform_fit")
+@case("platform_fit")
 def platform_fit(spark, sf_dir):
     return render.platform_fit(render.bundles(_builds(spark)))
 
@@ -395,27 +410,27 @@ def platform_fit(spark, sf_dir):
 # --- scores and comparisons
 
 
-@query("audit_score", f"""SELECT site, round(sum(w * score) / sum(w), 2) AS score, count(*) AS specialists FROM (SELECT site, CAST(score AS DOUBLE) AS score, CASE specialist WHEN 'technical' THEN 30 WHEN 'content' THEN 30 WHEN 'schema' THEN 15 WHEN 'media' THEN 10 WHEN 'ai' THEN 15 END AS w FROM ({X.LINKS})) WHERE w IS NOT NULL GROUP BY site""")
+@case("audit_score", f"""SELECT site, round(sum(w * score) / sum(w), 2) AS score, count(*) AS specialists FROM (SELECT site, CAST(score AS DOUBLE) AS score, CASE specialist WHEN 'technical' THEN 30 WHEN 'content' THEN 30 WHEN 'schema' THEN 15 WHEN 'media' THEN 10 WHEN 'ai' THEN 15 END AS w FROM ({X.LINKS})) WHERE w IS NOT NULL GROUP BY site""")
 def audit_score(spark, sf_dir):
     return audit.health_score(spark.sql(X.LINKS).withColumn("score", F.col("score").cast("double")))
 
 
-@query("qa_verdict", f"SELECT site, CASE WHEN bool_or(severity = 'critical') THEN 'FAIL' ELSE 'PASS' END AS verdict FROM ({X.FINDINGS}) GROUP BY site")
+@case("qa_verdict", f"SELECT site, CASE WHEN bool_or(severity = 'critical') THEN 'FAIL' ELSE 'PASS' END AS verdict FROM ({X.FINDINGS}) GROUP BY site")
 def qa_verdict(spark, sf_dir):
     return audit.qa_verdict(spark.sql(X.FINDINGS))
 
 
-@query("merged_findings", f"SELECT site, code, CASE min(CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 5 END) WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'info' END AS severity, 2 * count(*) AS n FROM ({X.FINDINGS}) GROUP BY site, code")
+@case("merged_findings", f"SELECT site, code, CASE min(CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 5 END) WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'info' END AS severity, 2 * count(*) AS n FROM ({X.FINDINGS}) GROUP BY site, code")
 def merged_findings(spark, sf_dir):
     return audit.merged_findings(spark.sql(X.FINDINGS), spark.sql(X.FINDINGS))
 
 
-@query("white_space", f"SELECT dimension, CAST(max(score) AS DOUBLE) AS best FROM ({X.SCORES}) GROUP BY dimension HAVING max(score) < 3")
+@case("white_space", f"SELECT dimension, CAST(max(score) AS DOUBLE) AS best FROM ({X.SCORES}) GROUP BY dimension HAVING max(score) < 3")
 def white_space(spark, sf_dir):
     return audit.white_space(spark.sql(X.SCORES).withColumn("score", F.col("score").cast("double")))
 
 
-@query("keyword_clusters", f"SELECT x.keyword AS a, y.keyword AS b, count(*) AS shared FROM ({X.RESULTS}) x JOIN ({X.RESULTS}) y ON x.url = y.url AND x.keyword < y.keyword WHERE x.rank <= 10 AND y.rank <= 10 GROUP BY ALL HAVING count(*) >= 2")
+@case("keyword_clusters", f"SELECT x.keyword AS a, y.keyword AS b, count(*) AS shared FROM ({X.RESULTS}) x JOIN ({X.RESULTS}) y ON x.url = y.url AND x.keyword < y.keyword WHERE x.rank <= 10 AND y.rank <= 10 GROUP BY ALL HAVING count(*) >= 2")
 def keyword_clusters(spark, sf_dir):
     return audit.keyword_clusters(spark.sql(X.RESULTS), least=2)
 
@@ -457,12 +472,12 @@ def on_page_links(spark, sf_dir):
     return audit.on_page(load(spark, sf_dir, "pages"))
 
 
-@query("image_inventory", "SELECT * FROM (VALUES ('https://x.test/1', 0, 'a.png', false, 0.0::DOUBLE), ('https://x.test/1', 1, 'b.webp', true, 1.0::DOUBLE), ('http://x.test/2', 0, 'c.jpg', true, 0.25::DOUBLE)) AS t(url, pos, src, has_alt, score)")
+@case("image_inventory", "SELECT * FROM (VALUES ('https://x.test/1', 0, 'a.png', false, 0.0::DOUBLE), ('https://x.test/1', 1, 'b.webp', true, 1.0::DOUBLE), ('http://x.test/2', 0, 'c.jpg', true, 0.25::DOUBLE)) AS t(url, pos, src, has_alt, score)")
 def image_inventory(spark, sf_dir):
     return audit.images(spark.sql(X.HTML)).select("url", "pos", "src", "has_alt", "score")
 
 
-@query("accessibility")
+@case("accessibility")
 def accessibility(spark, sf_dir):
     return audit.accessibility(spark.sql(X.HTML))
 
@@ -484,13 +499,13 @@ def metric_change(spark, sf_dir):
     return audit.metric_change(daily)
 
 
-@query("dangling_references", "SELECT 'a.md' AS path, 'scripts/x/none.py' AS ref")
+@case("dangling_references", "SELECT 'a.md' AS path, 'scripts/x/none.py' AS ref")
 def dangling_references(spark, sf_dir):
     files = spark.createDataFrame([("a.md", "see scripts/x/one.py and scripts\\x\\none.py"), ("scripts/x/one.py", "")], "path string, content string")
     return consistency.dangling_references(files)
 
 
-@query("cyclic_nodes", "SELECT * FROM (VALUES ('b'), ('c'), ('d')) AS t(node)")
+@case("cyclic_nodes", "SELECT * FROM (VALUES ('b'), ('c'), ('d')) AS t(node)")
 def cyclic_nodes(spark, sf_dir):
     edges = spark.sql("SELECT * FROM (VALUES ('a', 'b'), ('b', 'c'), ('c', 'd'), ('d', 'b')) AS t(source, target)")
     return audit.cyclic_nodes(edges).where("node <> 'a'")

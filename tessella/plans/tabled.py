@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions.ranks import positions
 from tessella.operators import audit, color, consistency, jsonld, locale, pages, profile, recommend, render, robots, sitemap
 from tessella.operators.profile import Report
-from tessella.plans.derived import _FILES, _LOCALES, _files, _locales
+from tessella.plans import fixtures as X
+from tessella.plans.derived import _FILES, _FONTS, _LOCALES, _files, _locales, _tokens
 from tessella.plans.more import _hex
 from tessella.plans.registry import ORACLE_SQL, _lum, load, query
 from tessella.sources import readers, sinks
@@ -287,3 +288,64 @@ def csv_repeated_headers(spark, sf_dir):
     header.union(lines).coalesce(1).write.text(path)  # a file has its header first
     rows, names, _ = readers.read_csv(spark, path)
     return rows.select("id", "name", F.lit(",".join(profile.duplicate_headers(names))).alias("repeated"))
+
+
+# --- keywords, listings and designs
+
+_KEYWORDS = "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Buy ' WHEN 1 THEN 'best ' WHEN 2 THEN 'sign in ' WHEN 3 THEN 'reviews ' WHEN 4 THEN 'official price ' ELSE '' END || substr(text, 1, 30) AS keyword FROM documents"
+
+
+@query("intents_documents", rf"""SELECT doc_id, CASE WHEN regexp_matches(keyword, '(?i)\b(buy|price|order|cheap|coupon|deal)\b') THEN 'transactional' WHEN regexp_matches(keyword, '(?i)\b(best|top|review|vs|compare)\b') THEN 'commercial' WHEN regexp_matches(keyword, '(?i)\b(login|sign in|website|official)\b') THEN 'navigational' ELSE 'informational' END AS intent FROM ({_KEYWORDS})""")
+def intents_documents(spark, sf_dir):
+    return audit.intents(_view(spark, sf_dir, _KEYWORDS, "documents")).select("doc_id", "intent")
+
+
+_PAIRS = "SELECT 'k' || CAST(doc_id AS {0}) AS a, 'k' || CAST(doc_id + 1 + doc_id % 13 AS {0}) AS b FROM documents WHERE doc_id % 3 = 0"
+
+
+@query("keyword_groups_documents", f"WITH RECURSIVE p AS ({_PAIRS.format('VARCHAR')}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS keyword, min(least(a, b)) AS cluster FROM r GROUP BY a")
+def keyword_groups_documents(spark, sf_dir):
+    return audit.cluster_ids(_view(spark, sf_dir, _PAIRS.format("STRING"), "documents"))
+
+
+@query("nap_mismatches_customers", r"""WITH l AS (SELECT c_custkey % 400 AS business, CASE WHEN c_custkey % 3 = 0 THEN 'other' ELSE 'shop-co' END AS name, CASE c_custkey % 5 WHEN 0 THEN '123' WHEN 1 THEN '123' WHEN 2 THEN '9' END AS phone FROM customer)
+SELECT business, count(DISTINCT name) AS names, 1::BIGINT AS addresses, count(DISTINCT phone) AS phones FROM l GROUP BY business HAVING count(DISTINCT name) > 1 OR count(DISTINCT phone) > 1""")
+def nap_mismatches_customers(spark, sf_dir):
+    sql = "SELECT c_custkey % 400 AS business, CASE c_custkey % 3 WHEN 0 THEN 'Other' WHEN 1 THEN 'Shop & Co.' ELSE 'shop co' END AS name, '1 Main St.' AS address, CASE c_custkey % 5 WHEN 0 THEN '+1 (2) 3' WHEN 1 THEN '123' WHEN 2 THEN '9' END AS phone FROM customer"
+    return audit.nap_mismatches(_view(spark, sf_dir, sql, "customer"))
+
+
+_WISHES = """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'Shop' WHEN 1 THEN 'journal' WHEN 2 THEN c_mktsegment WHEN 3 THEN '' END AS product_type, CASE c_custkey % 4 WHEN 0 THEN 'retail' WHEN 1 THEN 'Media' WHEN 2 THEN 'zzz' END AS industry,
+CASE c_custkey % 11 WHEN 0 THEN 'soft glass, big' WHEN 1 THEN 'vivid sales' WHEN 2 THEN 'quiet paper print' WHEN 3 THEN 'reading' WHEN 4 THEN 'soft modern' WHEN 5 THEN 'Apps hero' ELSE c_name END AS keywords FROM customer"""
+_SPLIT = "list_filter(list_transform(regexp_split_to_array(coalesce({0}, ''), '[;,]'), lambda t: trim(t)), lambda t: t <> '')"
+
+
+def _scored(name: str, q: str, words: str, extra: str = "") -> str:
+    """CTE with the row of a library of largest overlap for each request, the earlier one on ties."""
+    return f"{name} AS (SELECT * FROM (SELECT w.id, l.*, len(list_intersect({q}, {words})) {extra} AS score FROM w, {name}_lib l) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, row_idx) = 1)"
+
+
+@query("designs_of_customers", f"""WITH product_lib AS ({X.PRODUCTS}), style_lib AS ({X.STYLES}), palette_lib AS ({X.PALETTES}), w AS ({_WISHES}),
+{_scored('product', _tokens('w.product_type', 'w.industry', 'w.keywords'), _tokens('l.product_type', 'l.industry', 'l.notes', 'l.key_sections', 'l.recommended_style'))},
+p AS (SELECT w.id, w.product_type, w.industry, w.keywords, e.row_idx IS NOT NULL OR s.score > 0 AS product_matched, coalesce(e.row_idx, CASE WHEN s.score > 0 THEN s.row_idx END, 0) AS pid FROM w LEFT JOIN product_lib e ON lower(e.product_type) = lower(coalesce(w.product_type, '')) JOIN product s ON s.id = w.id),
+q AS (SELECT p.*, l.recommended_pattern, l.recommended_style, l.palette_mood, l.typography_mood, l.key_sections, l.anti_patterns FROM p JOIN product_lib l ON l.row_idx = pid),
+named AS (SELECT q.id, l.row_idx, l.style FROM q, style_lib l WHERE len(list_intersect({_tokens('l.style')}, {_tokens('q.keywords')})) = len({_tokens('l.style')}) AND lower(l.style) <> lower(q.recommended_style) QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY len({_tokens('l.style')}) DESC, l.row_idx) = 1),
+loose AS (SELECT * FROM (SELECT q.id, l.row_idx, len(list_intersect({_tokens('q.keywords', 'q.palette_mood', 'q.typography_mood', 'q.recommended_style')}, {_tokens('l.style', 'l.mood_tags', 'l.characteristics', 'l.best_for', 'l.summary')})) - CASE WHEN len(list_intersect({_tokens('q.keywords', 'q.palette_mood', 'q.typography_mood', 'q.recommended_style')}, {_tokens('l.avoid_for')})) > 0 THEN 2 ELSE 0 END AS score FROM q, style_lib l) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, row_idx) = 1),
+s AS (SELECT q.*, d.row_idx IS NOT NULL OR o.score > 0 AS style_matched, CASE WHEN d.row_idx IS NOT NULL THEN n.style END AS style_override, coalesce(CASE WHEN d.row_idx IS NOT NULL THEN n.row_idx END, d.row_idx, CASE WHEN o.score > 0 THEN o.row_idx END, 0) AS sid FROM q LEFT JOIN style_lib d ON lower(d.style) = lower(q.recommended_style) LEFT JOIN named n ON n.id = q.id JOIN loose o ON o.id = q.id),
+c AS (SELECT * FROM (SELECT s.id, l.name, len(list_intersect({_tokens('s.industry', 's.palette_mood', 's.keywords')}, {_tokens('l.industry', 'l.mood', 'l.tags', 'l.name')})) AS hits, hits + CASE WHEN l.aa_body_text = 'pass' THEN 1 ELSE 0 END AS score, l.row_idx FROM s, palette_lib l) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, row_idx) = 1)
+SELECT s.id, s.recommended_pattern AS pattern, l.style, style_override, c.name AS palette, array_to_string({_SPLIT.format('s.key_sections')}, '|') AS sections,
+array_to_string(list_concat({_SPLIT.format('s.anti_patterns')}, list_filter({_SPLIT.format('l.avoid_for')}, lambda t: NOT list_contains({_SPLIT.format('s.anti_patterns')}, t))), '|') AS anti_patterns,
+array_to_string(list_filter(['no_fonts_library', 'no_rules_library', CASE WHEN NOT product_matched THEN 'product_not_matched' END, CASE WHEN NOT style_matched THEN 'style_not_matched' END, CASE WHEN c.hits = 0 THEN 'palette_not_matched' END, 'style_overridden_by_' || style_override], lambda t: t IS NOT NULL), '|') AS fallbacks
+FROM s JOIN style_lib l ON l.row_idx = sid JOIN c ON c.id = s.id""")
+def designs_of_customers(spark, sf_dir):
+    made = recommend.compose(_view(spark, sf_dir, _WISHES, "customer"), spark.sql(X.PRODUCTS), spark.sql(X.STYLES), spark.sql(X.PALETTES))
+    lists = [F.array_join(c, "|").alias(name) for c, name in (("key_sections", "sections"), ("anti_patterns", "anti_patterns"), ("fallbacks", "fallbacks"))]
+    return made.select("id", "pattern", F.col("style.style").alias("style"), "style_override", F.col("palette.name").alias("palette"), *lists)
+
+
+@query("rendered_customers")
+def rendered_customers(spark, sf_dir):
+    """A page for each customer's design, of our own template; no SQL, its parts are queried above."""
+    colours = spark.sql(X.PALETTES).withColumns({c: F.lit(None).cast("string") for c in render.DEFAULT_COLOURS if c != "name"})
+    made = recommend.compose(_view(spark, sf_dir, _WISHES, "customer"), spark.sql(X.PRODUCTS), spark.sql(X.STYLES), colours, spark.sql(_FONTS).selectExpr("*", "name as heading_font", "best_for as body_font"))
+    return render.pages(made).select("id", "page")

@@ -29,17 +29,18 @@ def plain(v):
     return repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL | registry.CASE_SQL))
 def test_query_equals_its_sql(spark, duck, name):
-    df = registry.QUERIES[name](spark, DIR)
-    want = duck.sql(registry.ORACLE_SQL[name])
+    df = (registry.QUERIES | registry.CASES)[name](spark, DIR)
+    sql = (registry.ORACLE_SQL | registry.CASE_SQL)[name]
+    want = duck.sql(sql)
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)
     quoted = ", ".join(f'"{c}"' for c in columns)
     got = sorted(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in columns]).collect())
-    assert got == sorted(tuple(map(plain, r)) for r in duck.sql(f"select {quoted} from ({registry.ORACLE_SQL[name]})").fetchall())
+    assert got == sorted(tuple(map(plain, r)) for r in duck.sql(f"select {quoted} from ({sql})").fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted((set(registry.QUERIES) | set(registry.CASES)) - set(registry.ORACLE_SQL) - set(registry.CASE_SQL)))
 def test_other_queries_give_rows(spark, name):
-    assert registry.QUERIES[name](spark, DIR).count() > 0
+    assert (registry.QUERIES | registry.CASES)[name](spark, DIR).count() > 0
