@@ -25,6 +25,8 @@ def interleave(docs: DataFrame, n_shards: int = 16, seed: int = SEED, id_col: st
     * size: the text's UTF-8 bytes and 1; a null text counts as empty.
     * A null source is a source of its own. Repeated rows each get a slot; rows
       alike in id, size and text share neither, and either may come first.
+    * A shard holds of each source its share, its rows / n_shards, to within 1 + rows * sources / all rows:
+      a piece of the order may begin and end just before or after a row of each source.
     * An empty table gives no row. Further columns are ignored.
 
     Only ids, sizes and checksums are shuffled, never texts. No source is windowed

@@ -98,3 +98,13 @@ def test_training_stream_repeats_and_cuts(spark):
     for r in stream:
         seen[r.doc_id] += n_words(r.text)
     assert all(seen[i] == taken[i, n_words(t)] for i, t, *_ in data)
+
+
+def test_each_source_is_shared_out(spark):
+    """Sources of very different sizes over 16 shards: every one within the stated bound of its share."""
+    data = [(i, f"t{i}", "en", "big" if i % 3 else f"s{i % 8}", None) for i in range(800)]
+    got = sharding.interleave(frame(spark, data), 16).collect()
+    per = Counter((r.source, r.shard) for r in got)
+    sizes = Counter(r.source for r in got)
+    assert all(abs(per[s, k] - n / 16) <= 1 + n * len(sizes) / len(got) for s, n in sizes.items() for k in range(16))
+    assert len(sizes) == 9 and min(sizes.values()) > 30
