@@ -44,10 +44,16 @@ def competitors_nearby(spark, sf_dir):
     return places.competitors(spots, "c_custkey", 400.0)
 
 
-@query("names_in_documents", "WITH n AS (SELECT DISTINCT substr(text, 1, 24) AS name FROM documents WHERE length(text) >= 24) SELECT doc_id, name FROM documents JOIN n ON contains(text, name)")
+_NAMES = "SELECT substr(text, 1, 24) AS name FROM benchmark UNION SELECT substr(text, 40, 12) FROM benchmark UNION SELECT lower(r_name) FROM region UNION SELECT p_name FROM part"
+
+
+@query("names_in_documents", f"WITH n AS ({_NAMES}) SELECT doc_id, name FROM documents JOIN n ON contains(text, name)")
 def names_in_documents(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
-    return routing.found(docs, "doc_id", "text", docs.where("length(text) >= 24").select(F.substring("text", 1, 24).alias("name"))).select("doc_id", "name")
+    sql = _NAMES
+    for name in ("benchmark", "region", "part"):
+        load(spark, sf_dir, name).createOrReplaceTempView(f"_names_{name}")
+        sql = sql.replace(f"FROM {name}", f"FROM _names_{name}")
+    return routing.found(load(spark, sf_dir, "documents"), "doc_id", "text", spark.sql(sql)).select("doc_id", "name")
 
 
 _RULES = "SELECT 1 + c_custkey % 3 AS rank, CAST(c_custkey * 37 AS {0}) AS trigger, c_mktsegment AS route FROM customer UNION ALL SELECT 9, lower(n_name), 'nation' FROM nation UNION ALL SELECT 5, lower(substr(text, 1, 4)), 'benchmark' FROM benchmark"
