@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.ranks import positions
-from tessella.operators import audit, consistency, places, routing, sampling, sketches, sparse
+from tessella.operators import audit, consistency, places, routing, sampling, sitemap, sketches, sparse
 
 
 def profile_rows(n, seed=1):
@@ -196,3 +196,16 @@ def test_cube_counts_pages_once(spark):
             groups[None if level & 2 else s, None if level & 1 else v, level].append(p)
         want |= {k: (len(v), len({p for p in v if p})) for k, v in groups.items()}
     assert got == want
+
+
+def test_keywords_that_share_few_urls_are_paired_by_sets(spark, monkeypatch):
+    rnd = random.Random(3)
+    held = {k: sorted(rnd.sample(range(25), rnd.randint(1, 9))) for k in range(120)}
+    rows = [(k, 1 + i % 5, u) for k, urls in held.items() for i, u in enumerate(urls)]  # tied ranks: more URLs than the depth
+    df = spark.createDataFrame(rows, "keyword long, rank int, url long")
+    want = {(a, b, len(set(held[a]) & set(held[b]))) for a in held for b in held if a < b and len(set(held[a]) & set(held[b])) >= 3}
+    for most, width in ((0, 1), (12, 2), (64, 3)):
+        monkeypatch.setattr(audit, "MOST_SETS", most)
+        assert len(audit._sets(df.groupBy("keyword").agg(F.collect_list("url").alias("urls")).where("size(urls) >= 3"), 3)[1]) == width
+        for block in (1_000, 3):
+            assert Counter(map(tuple, audit.keyword_clusters(df, 3, 5, block).collect())) == Counter(want)
