@@ -11,6 +11,8 @@ from tessella.functions.text import absolute, xml_escaped
 # URLs and bytes a file may hold, and the namespace of the format.
 MAX_URLS, MAX_BYTES = 50_000, 50 * 1024 * 1024
 NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
+#: URLs that a task counts out of runs, about.
+RUN_URLS = 4_000_000
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n'
 
 
@@ -32,6 +34,22 @@ def chunked(urls: DataFrame, order: str = "idx", size: int = MAX_URLS) -> DataFr
     return positions(urls, order).withColumn("chunk", F.floor(F.col("position") / size) + 1)
 
 
+def chunked_runs(pages: DataFrame, order: str, n: int, size: int = MAX_URLS) -> DataFrame:
+    """pages with k (0 to n - 1), position and chunk of n URLs each, which in the order of all follow one
+    another from page to page.
+
+    Only pages are ranked, dealt out and stored; their URLs are counted out where they lie, and no
+    URL is shuffled. Pages of equal order take turns, URL by URL. No n gives no URLs.
+    """
+    ranked = positions(pages, order)
+    alike = ranked.groupBy(F.col(order).alias("_of")).agg(F.min("position").alias("_first"), F.count("*").alias("_copies"))
+    tasks = ranked.count() * n // RUN_URLS + 1
+    placed = ranked.join(alike, F.col(order).eqNullSafe(F.col("_of"))).repartition(tasks)  # a few pages are many URLs
+    urls = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")))
+    position = F.col("_first") * n + F.col("k") * F.col("_copies") + F.col("position") - F.col("_first")
+    return urls.withColumn("position", position).withColumn("chunk", F.floor(F.col("position") / size) + 1).drop("_of", "_first", "_copies")
+
+
 def entry(tag: str, url: str | Column, lastmod: str | None = None) -> Column:
     stamp = F.lit(f"    <lastmod>{lastmod}</lastmod>\n" if lastmod else "")
     return F.concat(F.lit(f"  <{tag}>\n    <loc>"), xml_escaped(url), F.lit("</loc>\n"), stamp, F.lit(f"  </{tag}>\n"))

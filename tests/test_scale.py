@@ -198,6 +198,21 @@ def test_cube_counts_pages_once(spark):
     assert got == want
 
 
+def test_runs_are_chunked_as_their_urls_would_be(spark):
+    ids = [5, 3, 3, 9, 0, 3, 7]  # 3 comes three times
+    got = sitemap.chunked_runs(spark.createDataFrame([(p,) for p in ids], "page int"), "page", 4, size=6).collect()
+    rows = sorted((r.position, r.page * 4 + r.k, r.chunk) for r in got)
+    assert [i for _, i, _ in rows] == sorted(p * 4 + k for p in ids for k in range(4))
+    assert [p for p, _, _ in rows] == list(range(28)) and all(c == p // 6 + 1 for p, _, c in rows)
+    assert sitemap.chunked_runs(spark.range(3), "id", 0).count() == 0
+
+
+def test_urls_of_runs_are_not_shuffled(spark):
+    found = sitemap.chunked_runs(spark.range(50), "id", 4000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # what lies below the explosion is dealt out, nothing above
+
+
 def test_keywords_that_share_few_urls_are_paired_by_sets(spark, monkeypatch):
     rnd = random.Random(3)
     held = {k: sorted(rnd.sample(range(25), rnd.randint(1, 9))) for k in range(120)}
