@@ -10,6 +10,7 @@ from tessella.plans import registry
 HTML = '<html><head><title>T{0}</title></head><body><nav><ul><li><a href="/a">a</a><li><a href="/b"> </a></ul></nav><article><p>x</p></article></body></html>'
 QUERIES = [
     "appeared_pages",
+    "broken_links",
 ]
 
 
