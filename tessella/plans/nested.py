@@ -16,24 +16,25 @@ _ADDED = """SELECT url, page_id, replace(replace(html, '</article>',
 
 def _elements(spark, sf_dir):
     load(spark, sf_dir, "pages").createOrReplaceTempView("_added_pages")
-    return markup.elements(spark.sql(_ADDED.format("STRING").replace("FROM pages", "FROM _added_pages")))
+    rows = spark.sql(_ADDED.format("STRING").replace("FROM pages", "FROM _added_pages"))
+    return markup.elements(rows.select(F.struct("page_id", "url").alias("page"), "html"), "page")  # URLs may repeat
 
 
 @query("links_by_region", """WITH n AS (SELECT url, page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*</nav>'), '<a href')) AS n, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*</nav>'), '<a href="[^"]*">\\s*</a>')) AS e FROM pages)
 SELECT url, 'nav' AS region, n AS links, e AS empty FROM n WHERE n > 0 UNION ALL SELECT url, 'aside', 2, 1 FROM n UNION ALL SELECT url, 'article', 1, 0 FROM n WHERE page_id % 2 = 0""")
 def links_by_region(spark, sf_dir):
-    return markup.links_by_region(_elements(spark, sf_dir))
+    return markup.links_by_region(_elements(spark, sf_dir), "page").select("page.url", "region", "links", "empty")
 
 
 @query("unlabelled_controls", """SELECT url, 'input' AS tag, 'x0' AS name FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT url, 'select', 'x1' FROM pages WHERE page_id % 3 <> 1 UNION ALL SELECT url, 'textarea', 't' FROM pages WHERE page_id % 5 <> 0""")
 def unlabelled_controls(spark, sf_dir):
-    return markup.unlabelled(_elements(spark, sf_dir)).select("url", "tag", "name")
+    return markup.unlabelled(_elements(spark, sf_dir), "page").select("page.url", "tag", "name")
 
 
 @query("social_cards", """WITH c AS (SELECT url, CASE WHEN page_id % 2 = 0 THEN 'summary' ELSE 'summary_large_image' END AS card, CASE WHEN page_id % 4 = 0 THEN CAST(page_id AS VARCHAR) WHEN page_id % 3 = 0 THEN 'og & more' END AS title FROM pages)
 SELECT url, card, title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS image, CASE WHEN title IS NULL THEN 'title,' ELSE '' END || 'description,image' AS missing FROM c""")
 def social_cards(spark, sf_dir):
-    return markup.social_cards(_elements(spark, sf_dir))
+    return markup.social_cards(_elements(spark, sf_dir), "page").select("page.url", "card", "title", "description", "image", "missing")
 
 
 @query("paragraphs_by_path", "SELECT split_part(url, '/', 3) AS host, sum(len(regexp_extract_all(html, '<p[ >]')))::BIGINT AS paragraphs, sum(len(regexp_extract_all(html, '<li[ >]')))::BIGINT AS items FROM pages GROUP BY 1")

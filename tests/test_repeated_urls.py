@@ -11,6 +11,9 @@ HTML = '<html><head><title>T{0}</title></head><body><nav><ul><li><a href="/a">a<
 QUERIES = [
     "appeared_pages",
     "broken_links",
+    "links_by_region",
+    "social_cards",
+    "unlabelled_controls",
 ]
 
 
