@@ -347,3 +347,14 @@ def test_designs_for_people_and_from_json(spark):
     assert view.startswith("DESIGN SYSTEM: Shop / retail") and "Style: bold" in view and "  [ ] " in view and "  ! " in view and X.REQUESTS
     design = readers.read_designs(spark, '[{"product_type":"p","palette":{"primary":"#000000"},"key_sections":["hero"]}]')
     assert "--primary:#000000;--secondary:#6954d4;" in render.pages(design).first().page
+
+
+def test_intents_at_letters_beyond_ascii(spark):
+    keywords = ["éprice", "topé", "bestéx", "prices", "x_deal", "BEST shoe", "beſt x", "aſign in b", "vſ", "order"]
+    found = {r.keyword: r.intent for r in audit.intents(spark.createDataFrame([(k,) for k in keywords], "keyword string")).collect()}
+    import duckdb  # its \\b knows ASCII only, and its (?i) the long s
+
+    patterns = [("transactional", "buy|price|order|cheap|coupon|deal"), ("commercial", "best|top|review|vs|compare"), ("navigational", "login|sign in|website|official")]
+    matches = lambda k, p: duckdb.execute("select regexp_matches(?, ?)", [k, rf"(?i)\b({p})\b"]).fetchall()[0][0]
+    assert found == {k: next((name for name, p in patterns if matches(k, p)), "informational") for k in keywords}
+    assert found["éprice"] == "transactional" and found["prices"] == "informational"
