@@ -15,6 +15,7 @@ QUERIES = [
     "social_cards",
     "unlabelled_controls",
     "headers_of_pages",
+    "snapshot_file_scan",
 ]
 
 
