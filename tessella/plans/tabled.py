@@ -251,13 +251,14 @@ def cycles_of_documents(spark, sf_dir):
 
 # --- drift, sorted and escalated
 
-_NOINDEX = "SELECT url, CASE WHEN page_id % 4 = 0 THEN replace(html, '<head>', '<head><meta name=\"robots\" content=\"NoIndex, follow\">') WHEN page_id % 4 = 1 THEN replace(html, '<head>', '<head><meta name=\"robots\" content=\"index\">') ELSE html END AS html FROM pages"
+_NOINDEX = "SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN replace(html, '<head>', '<head><meta name=\"robots\" content=\"NoIndex, follow\">') WHEN page_id % 4 = 1 THEN replace(html, '<head>', '<head><meta name=\"robots\" content=\"index\">') ELSE html END AS html FROM pages"
 
 
 @query("robots_drift", "SELECT url, 'meta_robots' AS element, 'critical' AS severity, CAST(NULL AS VARCHAR) AS old, CASE WHEN page_id % 4 = 0 THEN 'NoIndex, follow' ELSE 'index' END AS new FROM pages WHERE page_id % 4 < 2")
 def robots_drift(spark, sf_dir):
     before, after = load(spark, sf_dir, "pages"), _view(spark, sf_dir, _NOINDEX, "pages")
-    return pages.drift(pages.snapshot(before), pages.snapshot(after)).select("url", "element", "severity", "old", "new")
+    keys = ("page_id", "url")
+    return pages.drift(pages.snapshot(before, keys=keys), pages.snapshot(after, keys=keys), keys).select("url", "element", "severity", "old", "new")
 
 
 @query("drift_in_order", f"""WITH d AS (SELECT *, CASE element WHEN 'title' THEN 0 WHEN 'h2_count' THEN 9 ELSE 10 END AS ord FROM ({ORACLE_SQL['drift_diff']})) SELECT url, element, severity, row_number() OVER (ORDER BY encode(url), {_RANK}, ord) - 1 AS position FROM d""")

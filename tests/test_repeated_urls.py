@@ -16,6 +16,7 @@ QUERIES = [
     "unlabelled_controls",
     "headers_of_pages",
     "snapshot_file_scan",
+    "robots_drift",
 ]
 
 
