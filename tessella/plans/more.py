@@ -93,8 +93,8 @@ def keyword_groups(spark, sf_dir):
 
 @query("sitemap_gate", "SELECT url, CASE WHEN page_id % 5 = 0 THEN 'not_fetched' WHEN page_id % 7 = 0 THEN 'status' WHEN page_id % 3 = 0 THEN 'noindex' WHEN page_id % 2 = 0 THEN 'canonical_elsewhere' END AS reason FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0 OR page_id % 3 = 0 OR page_id % 2 = 0")
 def sitemap_gate(spark, sf_dir):
-    seen = load(spark, sf_dir, "pages").where("page_id % 5 <> 0").selectExpr("url", "if(page_id % 7 = 0, 404, 200) AS status", "if(page_id % 3 = 0, 'NoIndex', null) AS meta_robots", "if(page_id % 2 = 0, 'https://other/', url) AS canonical")
-    return audit.sitemap_gate(load(spark, sf_dir, "pages").select("url"), seen)
+    seen = load(spark, sf_dir, "pages").where("page_id % 5 <> 0").selectExpr("page_id", "url", "if(page_id % 7 = 0, 404, 200) AS status", "if(page_id % 3 = 0, 'NoIndex', null) AS meta_robots", "if(page_id % 2 = 0, 'https://other/', url) AS canonical")
+    return audit.sitemap_gate(load(spark, sf_dir, "pages").select("page_id", "url"), seen, ("page_id", "url"))
 
 
 @query("page_type_mismatch", "WITH c AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY 1, 2) SELECT p_brand AS keyword, p_type AS usual, 'none' AS target_type FROM c WHERE r = 1")

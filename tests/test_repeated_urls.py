@@ -17,6 +17,7 @@ QUERIES = [
     "headers_of_pages",
     "snapshot_file_scan",
     "robots_drift",
+    "sitemap_gate",
 ]
 
 
