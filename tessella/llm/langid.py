@@ -11,6 +11,7 @@ scoring is a gather and a segment sum over Arrow buffers, without Python strings
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -182,8 +183,16 @@ def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, id_col: str = "doc_id", tex
         of = counts.select(F.col("l").alias("of"), "n")
         of = F.broadcast(of) if total["langs"] <= SMALL_LANGS else of  # else texts are shuffled
         usable = usable.join(of, F.col("l") == F.col("of")).where(taken).select("i", "t", "l")
-    got = usable.limit(2 * max_rows).toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
-    return train(got["t"].to_pylist(), got["l"].to_pylist())
+    made = usable.limit(2 * max_rows).repartition(1).mapInArrow(_learn, "model binary").first()  # one task for a bounded sample
+    return pickle.loads(made["model"]) if made else train([], [])
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of all rows (i, t, l); trained in a task, as its examples would stay in the driver's memory."""
+    rows = [b for b in batches if b.num_rows]
+    got = pa.Table.from_batches(rows).sort_by([("i", "ascending"), ("t", "ascending")]) if rows else {"t": pa.array([]), "l": pa.array([])}
+    model = train(got["t"].to_pylist(), got["l"].to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 KIND = "struct<lang_pred:string,score:double,rejected:boolean>"
