@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import listed, tokens
-from tessella.sources.staging import small_table
+from tessella.sources.staging import small_table, spread
 
 # Corner radius, shadow and motion of the styles that have their own, and of the rest.
 EFFECTS = {
@@ -126,12 +126,17 @@ def checklist(rules: DataFrame | None, requests: DataFrame) -> DataFrame:
     return beside(requests, one, "checklist")
 
 
+#: Requests that one task sets beside the libraries.
+REQUESTS = 5_000
+
+
 def compose(requests: DataFrame, products: DataFrame | None = None, styles: DataFrame | None = None, palettes: DataFrame | None = None, fonts: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """requests (product_type, industry, keywords) with pattern, style, palette, typography,
     effects, key_sections, anti_patterns, checklist and fallbacks. A missing library falls
     back on defaults and says so."""
     product = "struct<recommended_pattern:string,recommended_style:string,palette_mood:string,typography_mood:string,key_sections:string,anti_patterns:string>"
     none = lambda kind: F.lit(None).cast(kind)
+    requests = spread(requests, REQUESTS)
     rows = pick_product(requests, products) if products is not None else requests.withColumns({"product": none(product), "product_matched": none("boolean")})
     rows = pick_style(rows, styles) if styles is not None else rows.withColumns({"style": none("struct<style:string,summary:string,avoid_for:string>"), "style_matched": none("boolean"), "style_override": none("string")})
     rows = pick_palette(rows, palettes) if palettes is not None else rows.withColumns({"palette": none("struct<name:string>"), "palette_matched": none("boolean")})
