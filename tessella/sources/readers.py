@@ -103,10 +103,19 @@ def read_xml(spark: SparkSession, source: str) -> DataFrame:
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, data_uri) of binary files; the kind follows from the extension, image/png otherwise."""
+    return _files(spark, path).select("path", "bytes", "data_uri")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content, bytes, data_uri): what read_texts and read_assets give, from one scan of the files."""
+    return _files(spark, path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "bytes", "data_uri")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
     kinds = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp"}
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))), F.lit("image/png"))
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("content")).alias("data_uri"))
+    return files.select("path", "content", F.col("length").alias("bytes"), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("content")).alias("data_uri"))
 
 
 # Bytes after which a page audit and a citation check stop reading.
