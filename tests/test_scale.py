@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,31 @@ def test_pairs_within_a_radius(spark, monkeypatch, km, block):
         places.within(df, df, 30_000)
 
 
+@pytest.mark.parametrize("km, crowd, piece", [(1.0, 100_000, 500_000), (400.0, 7, 50), (12_000.0, 40, 1)])
+def test_competitors_are_counted_without_pairs(spark, monkeypatch, km, crowd, piece):
+    def no_pairs(*_):
+        raise AssertionError("as many rows as pairs")
+
+    monkeypatch.setattr(places, "within", no_pairs)
+    monkeypatch.setattr(places, "CROWD", crowd)
+    rnd = random.Random(3)
+    spots = [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(60)] + [(90 - abs(rnd.gauss(0, 2)), rnd.uniform(-180, 180)) for _ in range(60)]
+    spots += [(float(rnd.randint(-1, 1)), float(rnd.randint(178, 182))) for _ in range(60)] + [(48 + rnd.gauss(0, 0.01), 11.0) for _ in range(40)] + [(-90.0, 5.0), (-90.0, 5.0)]
+    lat, lon = np.array(spots).T
+    with np.errstate(all="ignore"):
+        far = places._km(lat[:, None], lon[:, None], lat[None], lon[None])
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)] + [(900, 1.0, math.inf), (901, None, 1.0)], "id long, lat double, lon double")
+    got = {r.id: (r.competitors, r.nearest) for r in places.competitors(df, "id", km).collect()}
+    near = {i: sorted((far[i, j], j) for j in range(len(spots)) if j != i and far[i, j] <= km) for i in range(len(spots))}
+    assert got == {i: (len(n), n[0][1] if n else None) for i, n in near.items()} | {900: (0, None), 901: (0, None)}
+    # The work in a task, in pieces of any size: half of the rows met by all, and keys of another kind.
+    monkeypatch.setattr(places, "PIECE", piece)
+    keys = [f"k{i:03d}" for i in range(len(spots))]
+    table = pa.table({"_key": keys, "_lat": lat, "_lon": lon})
+    met = places._met(table.slice(0, 150), table, km).to_pylist()
+    assert [(r["key"], r["n"] - 1, r["at"]) for r in met] == [(keys[i], len(n), keys[n[0][1]] if n else None) for i, n in list(near.items())[:150]]
+
+
 def test_names_in_texts(spark, monkeypatch):
     rnd = random.Random(1)
     texts = [(i, "".join(rnd.choice("abcé ") for _ in range(rnd.randint(0, 60)))) for i in range(80)] + [(90, None), (91, ""), (91, "")]
