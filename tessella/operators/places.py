@@ -100,11 +100,15 @@ def _laid_out(of: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[tupl
 
 
 class _Strips:
-    """Places in strips of latitude with equally many each, along the longitude: each strip a turn, then once more."""
+    """Places in strips of latitude with about equally many each, along the longitude: each strip a turn, then once
+    more. A latitude is never cut; one with more places than a strip should have is a strip of its own."""
 
     def __init__(self, lat: np.ndarray, lon: np.ndarray, strips: int) -> None:
         by_lat = np.argsort(lat, kind="stable")
-        cuts = np.linspace(0, len(lat), strips + 1).astype(np.int64)
+        some = lat[by_lat[np.linspace(0, len(lat), strips, endpoint=False).astype(np.int64)]]
+        left, right = (np.searchsorted(lat[by_lat], some, side) for side in ("left", "right"))
+        cuts = np.unique(np.concatenate([left, right[(right - left) * strips > len(lat)], [0, len(lat)]]))
+        strips = len(cuts) - 1
         self.size, self.start = np.diff(cuts), 2 * cuts[:-1]
         self.bottom, self.top = lat[by_lat[cuts[:-1]]], lat[by_lat[cuts[1:] - 1]]
         strip, turn = np.repeat(np.arange(strips), self.size), _turned(lon[by_lat])

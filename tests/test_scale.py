@@ -159,6 +159,13 @@ def test_competitors_are_counted_without_pairs(spark, monkeypatch, km, crowd, pi
     assert [(r["key"], r["n"] - 1, r["at"]) for r in met] == [(keys[i], len(n), keys[n[0][1]] if n else None) for i, n in list(near.items())[:150]]
 
 
+def test_one_latitude_is_one_strip():
+    line = places._Strips(np.zeros(50), np.arange(50.0), 7)  # else places far apart are each other's neighbours
+    assert line.size.tolist() == [50]
+    mixed = places._Strips(np.array([0.0, 1.0, 2.0, *[3.0] * 30, 4.0, 5.0]), np.arange(35.0), 5)
+    assert list(zip(mixed.bottom, mixed.top, mixed.size, strict=True)) == [(0, 2, 3), (3, 3, 30), (4, 5, 2)]
+
+
 def test_names_in_texts(spark, monkeypatch):
     rnd = random.Random(1)
     texts = [(i, "".join(rnd.choice("abcé ") for _ in range(rnd.randint(0, 60)))) for i in range(80)] + [(90, None), (91, ""), (91, "")]
