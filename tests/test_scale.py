@@ -186,6 +186,26 @@ def test_names_in_texts(spark, monkeypatch):
         routing.found(df, "id", "text", list_)
 
 
+@pytest.mark.parametrize("part, step", [(3, 1), (4, 16), (8_000_000, 500_000)])
+def test_names_are_found_in_parts_and_pieces(spark, monkeypatch, part, step):
+    for constant, value in (("PART", part), ("STEP", step), ("HITS", 7)):
+        monkeypatch.setattr(routing, constant, value, raising=False)
+    rnd = random.Random(2)
+    texts = [(i, "".join(rnd.choice("ab\u00e9\0\U0001f600 ") for _ in range(rnd.choice([0, 1, 3, 40, 90])))) for i in range(40)] + [(90, None), (91, "")]
+    whole = [t for _, t in texts if t]
+    names = {"", "a", "\0", "\0\0", "a\0", "\u00e9", "\U0001f600a", "zz", "a" * 200, *whole[:3], *(t[i : i + n] for t in whole for i, n in [(rnd.randint(0, 20), rnd.randint(1, 30))])}
+    df, list_ = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    got = Counter(map(tuple, routing.found(df, "id", "text", list_).collect()))
+    occurs = lambda t, n: sum(t.startswith(n, i) for i in range(len(t) + (not n)))
+    assert got == Counter((i, n, occurs(t, n)) for i, t in texts if t is not None for n in names if n in t)
+
+
+def test_lists_of_millions_of_names(spark):
+    many = spark.range(3_500_000).select(F.lit(1).alias("rank"), F.concat(F.lit("name-"), F.col("id").cast("string")).alias("trigger"), F.lit("many").alias("route"))
+    tasks = spark.createDataFrame([("t", "has NAME-3499999 in it"), ("u", "name-")], "task string, text string")
+    assert {tuple(r) for r in routing.routed(tasks, many).collect()} == {("t", "many", "name-3499999", 7), ("u", "keep", None, 0)}
+
+
 def test_tasks_are_routed_by_the_first_rule(spark):
     rules = spark.createDataFrame([(1, "auth", "review"), (1, "migrations", "review"), (2, "whole repository", "context"), (2, "verify", "review"), (2, "Verify all", "context"), (3, "", "never")], "rank int, trigger string, route string")
     tasks = [("a", "Edit src/AUTH/login and verify"), ("b", "read the Whole Repository"), ("c", "say hello"), ("d", "verify ALL of it"), ("e", None), (None, "auth")]
