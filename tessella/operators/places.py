@@ -253,6 +253,8 @@ def competitors(places: DataFrame, key: str, km: float, lat: str = "lat", lon: s
     b = spots.select(*[F.col(c).alias(c) for c in kept], _cornered(edge, 4 * edge).alias("_cell")).select(*kept, "_cell.*")
     blocks = lambda rows, name: rows.groupBy(*cell).agg(F.ceil(F.count("*") / CROWD).cast("int").alias(name))
     full = blocks(a, "_na").join(blocks(b, "_nb"), cell)
+    if edge > EARTH_KM / 200:
+        full = F.broadcast(full)  # some 50,000 cubes at most lie on the sphere
     cut = lambda rows, own, n, other, m: rows.join(full, cell).select(*kept[:3], *cell, F.pmod("_mix", n).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
     group = [*cell, "_i", "_j"]
     met = cut(a, "_i", "_na", "_j", "_nb").groupBy(*group).cogroup(cut(b, "_j", "_nb", "_i", "_na").groupBy(*group))
