@@ -74,9 +74,9 @@ def _km(lat: np.ndarray, lon: np.ndarray, other_lat: np.ndarray, other_lon: np.n
     return 2 * EARTH_KM * np.arcsin(np.sqrt(h))
 
 
-def _distinct(lat: np.ndarray, lon: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Latitude and longitude of the distinct places, their numbers of rows, least and second ranks (-1: none), and
-    the place of each row."""
+def _distinct(lat: np.ndarray, lon: np.ndarray, rank: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Latitude and longitude of the distinct places, the sums of their weights, least and second ranks (-1: none),
+    and the place of each row."""
     order = np.lexsort((rank, lon, lat))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(lat[order]) != 0) | (np.diff(lon[order]) != 0)
@@ -84,7 +84,7 @@ def _distinct(lat: np.ndarray, lon: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     n = np.diff([*at, len(order)])
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
-    return lat[order][at], lon[order][at], n, ranks[at], np.where(n > 1, ranks[np.minimum(at + 1, len(ranks) - 1)], -1), of
+    return lat[order][at], lon[order][at], np.add.reduceat(weight[order], at), ranks[at], np.where(n > 1, ranks[np.minimum(at + 1, len(ranks) - 1)], -1), of
 
 
 def _turned(lon: np.ndarray) -> np.ndarray:
@@ -160,7 +160,7 @@ class _Strips:
 
 
 def _numbers(lat: np.ndarray, lon: np.ndarray, others: tuple[np.ndarray, ...], km: float) -> np.ndarray:
-    """How many rows of the other places lie within km of each place. Only those at the rim are measured."""
+    """How much weight of the other places lies within km of each place. Only those at the rim are measured."""
     o_lat, o_lon, weight = others[:3]
     strips = _Strips(o_lat, o_lon, max(1, round(len(o_lat) ** 0.5 / 2)))
     sums = np.concatenate([[0], np.cumsum(weight[strips.place])])
@@ -203,15 +203,16 @@ def _nearest(lat: np.ndarray, lon: np.ndarray, others: tuple[np.ndarray, ...], k
 
 
 def _met(a: pa.Table, b: pa.Table, km: float) -> pa.Table:
-    """(key, n, at, km) of a's rows: how many of b's lie within km, itself included, and the nearest with another key."""
+    """(key, n, at, km) of a's rows: how much of b's weight lies within km, itself included, and the nearest with
+    another key."""
     names = ["key", "n", "at", "km"]
     keys, other_keys = (t.column("_key").combine_chunks() for t in (a, b))
     if not len(keys) or not len(other_keys):
         return pa.table([keys[:0], pa.array([], pa.int64()), other_keys[:0], pa.array([], pa.float64())], names)
     ranks = np.asarray(pc.rank(pa.concat_arrays([keys, other_keys]), tiebreaker="dense")).astype(np.int64)
     rank, other_rank = ranks[: len(keys)], ranks[len(keys) :]
-    lat, lon, *_, of = _distinct(a.column("_lat").to_numpy(), a.column("_lon").to_numpy(), rank)
-    others = _distinct(b.column("_lat").to_numpy(), b.column("_lon").to_numpy(), other_rank)
+    weight = lambda t: t.column("_weight").to_numpy() if "_weight" in t.column_names else np.ones(len(t), np.int64)
+    (lat, lon, *_, of), others = (_distinct(t.column("_lat").to_numpy(), t.column("_lon").to_numpy(), r, weight(t)) for t, r in ((a, rank), (b, other_rank)))
     with np.errstate(all="ignore"):
         n, (far, which) = _numbers(lat, lon, others, km), _nearest(lat, lon, others, km)
     # At the same place stands the least other key, if any.
@@ -233,9 +234,10 @@ def _cornered(edge: float, side: float) -> Column:
     return F.explode(F.array_distinct(F.array(*[F.struct(p.alias("c0"), q.alias("c1"), r.alias("c2")) for p in near[0] for q in near[1] for r in near[2]])))
 
 
-def competitors(places: DataFrame, key: str, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def competitors(places: DataFrame, key: str, km: float, lat: str = "lat", lon: str = "lon", weight: str | None = None) -> DataFrame:
     """(key, competitors, nearest, nearest_km) of each place: how many others lie within km, and which is the
     nearest (ties: the smallest key); 0 and nulls without one. Keys tell places apart; null keys are left out.
+    weight: a column of whole numbers, what each place counts for in place of 1.
 
     Pairs are not formed: the places of a cube, four times as wide as the radius' chord, meet those within a chord of
     it, and are counted along strips of latitude. Shuffled: places once and some three times for the cubes around
@@ -244,23 +246,24 @@ def competitors(places: DataFrame, key: str, km: float, lat: str = "lat", lon: s
     if not 0 < km < math.pi * EARTH_KM:
         raise ValueError("the radius is above 0 and below half of the way around")
     edge = 2 * EARTH_KM * math.sin(km / (2 * EARTH_KM)) * (1 + 1e-9)
-    rows = places.select(key, lat, lon).dropna(subset=[key]).dropDuplicates([key])
+    own = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = places.select(key, lat, lon, own.alias("_weight")).dropna(subset=[key]).dropDuplicates([key])
     y, x = F.radians("_lat"), F.radians("_lon")
-    spots = rows.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(n) for c, n in ((lat, "_lat"), (lon, "_lon"))]).where((F.abs("_lat") <= 90) & (F.abs("_lon") < float("inf")))
+    spots = rows.select(F.col(key).alias("_key"), "_weight", *[F.col(c).cast("double").alias(n) for c, n in ((lat, "_lat"), (lon, "_lon"))]).where((F.abs("_lat") <= 90) & (F.abs("_lon") < float("inf")))
     spots = spots.select("*", F.xxhash64("_key").alias("_mix"), *[(EARTH_KM * c).alias(n) for c, n in ((F.cos(y) * F.cos(x), "x"), (F.cos(y) * F.sin(x), "y"), (F.sin(y), "z"))])
-    cell, kept = ["c0", "c1", "c2"], ["_key", "_lat", "_lon", "_mix"]
+    cell, kept = ["c0", "c1", "c2"], ["_key", "_lat", "_lon", "_weight", "_mix"]
     a = spots.select(*kept, *[F.floor(F.col(c) / (4 * edge)).cast("long").alias(f"c{i}") for i, c in enumerate("xyz")])
     b = spots.select(*[F.col(c).alias(c) for c in kept], _cornered(edge, 4 * edge).alias("_cell")).select(*kept, "_cell.*")
     blocks = lambda rows, name: rows.groupBy(*cell).agg(F.ceil(F.count("*") / CROWD).cast("int").alias(name))
     full = blocks(a, "_na").join(blocks(b, "_nb"), cell)
     if edge > EARTH_KM / 200:
         full = F.broadcast(full)  # some 50,000 cubes at most lie on the sphere
-    cut = lambda rows, own, n, other, m: rows.join(full, cell).select(*kept[:3], *cell, F.pmod("_mix", n).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
+    cut = lambda rows, own, n, other, m: rows.join(full, cell).select(*kept[:4], *cell, F.pmod("_mix", n).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
     group = [*cell, "_i", "_j"]
     met = cut(a, "_i", "_na", "_j", "_nb").groupBy(*group).cogroup(cut(b, "_j", "_nb", "_i", "_na").groupBy(*group))
     kind = rows.schema[key].dataType.simpleString()
     found = met.applyInArrow(lambda left, right: _met(left, right, km), f"key {kind}, n long, at {kind}, km double")
     first = F.min(F.when(F.col("at").isNotNull(), F.struct("km", "at")))
-    near = found.groupBy(F.col("key").alias("_key")).agg((F.sum("n") - 1).alias("n"), first.alias("first"))
+    near = found.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("n"), first.alias("first"))
     out = rows.join(near, F.col(key) == F.col("_key"), "left")
-    return out.select(key, F.coalesce("n", F.lit(0).cast("long")).alias("competitors"), F.col("first.at").alias("nearest"), F.round("first.km", 3).alias("nearest_km"))
+    return out.select(key, F.coalesce(F.col("n") - F.col("_weight"), F.lit(0).cast("long")).alias("competitors"), F.col("first.at").alias("nearest"), F.round("first.km", 3).alias("nearest_km"))
