@@ -6,7 +6,7 @@ import json
 import os
 import shutil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,7 +74,7 @@ def read_library(spark: SparkSession, path: str) -> DataFrame | None:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of whole files; bytes that aren't UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return files.select("path", _text("content"))
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
@@ -108,14 +108,32 @@ def read_assets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, bytes, data_uri): what read_texts and read_assets give, from one scan of the files."""
-    return _files(spark, path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "bytes", "data_uri")
+    return _files(spark, path).select("path", _text("content"), "bytes", "data_uri")
+
+
+def read_packed(spark: SparkSession, path: str, between: str) -> DataFrame:
+    """(name, content, bytes, data_uri) of each text that write_packed left, as read_files gives of whole files; nulls
+    for a text that was null."""
+    found = spark.read.option("lineSep", between).text(path).select("value", F.substring_index("value", "\n", 1).alias("line"))
+    head = F.from_json("line", "name string, missing boolean")
+    raw = F.substr(F.col("value").cast("binary"), F.octet_length("line") + 2)
+    files = found.select(head.alias("head"), raw.alias("raw")).select("head.name", F.when(~F.col("head.missing"), F.col("raw")).alias("content"))
+    return files.select("name", _text("content"), F.octet_length("content").cast("long").alias("bytes"), _data_uri("name"))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    kinds = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp"}
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))), F.lit("image/png"))
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content", F.col("length").alias("bytes"), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("content")).alias("data_uri"))
+    return files.select("path", "content", F.col("length").alias("bytes"), _data_uri("path"))
+
+
+def _text(content: str) -> Column:
+    return F.make_valid_utf8(F.col(content).cast("string")).alias("content")
+
+
+def _data_uri(path: str) -> Column:
+    kinds = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp"}
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("image/png"))
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("content")).alias("data_uri")
 
 
 # Bytes after which a page audit and a citation check stop reading.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,15 @@ def write_texts(df: DataFrame, path: str, text: str, name: str) -> None:
     df.select(F.col(name).cast("string").alias("name"), value.alias("value")).write.mode("overwrite").partitionBy("name").text(path)
 
 
+def write_packed(df: DataFrame, path: str, text: str, name: str) -> str:
+    """Texts as they are, many to a file, each after a line of JSON with its name; for more texts than a file each is
+    good for. Returns what stands between them, which read_packed asks for: drawn anew, so that no text holds it."""
+    between = "\x1e" + uuid.uuid4().hex
+    head = F.to_json(F.struct(F.col(name).cast("string").alias("name"), F.col(text).isNull().alias("missing")))
+    df.select(F.concat(head, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).alias("value")).write.mode("overwrite").option("lineSep", between).text(path)
+    return between
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     """A baseline for later comparison, as Parquet."""
     df.write.mode("overwrite").parquet(path)
