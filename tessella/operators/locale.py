@@ -25,9 +25,10 @@ def code_fault(code: str | Column) -> Column:
 
 def entry_faults(entries: DataFrame) -> DataFrame:
     """(page, pos, code, fault) from entries (page, pos, hreflang, href): bad code, href that is
-    not absolute (an empty one passes), and each repeat of a code, in any case."""
+    not absolute (an empty one passes), and each repeat of a code, in any case. Where entries share
+    a pos, the later spelling in code-point order is the repeat."""
     e = entries.withColumns({"hreflang": F.coalesce("hreflang", F.lit("")), "href": F.coalesce("href", F.lit(""))})
-    nth = F.row_number().over(Window.partitionBy("page", F.lower("hreflang")).orderBy("pos"))
+    nth = F.row_number().over(Window.partitionBy("page", F.lower("hreflang")).orderBy("pos", "hreflang"))
     faults = F.array_compact(F.array(
         F.concat(F.lit("bad_"), code_fault("hreflang")),
         F.when((F.col("href") != "") & ~F.regexp_like("href", F.lit("^https?://")), F.lit("relative_href")),
